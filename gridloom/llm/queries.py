@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import cooccur
+from gridloom.llm import cooccur, leak
 from gridloom.plans._tables import last_samples
+from gridloom.runtime import load
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -23,4 +24,13 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("grp").alias("zone"), F.col("item_a").cast("int").alias("biome_a"), F.col("item_b").cast("int").alias("biome_b"), F.col("both").alias("samples"), F.round("lift", 6).alias("lift"), F.round("llr", 3).alias("llr"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, into how many documents, and the longest passage."""
+    return leak.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p8_found, p8_items)}
