@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import cooccur, leak
+from gridloom.llm import cooccur, leak, sentences
 from gridloom.plans._tables import last_samples
 from gridloom.runtime import load
 
@@ -33,4 +33,8 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p8_found, p8_items)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p8_found, p8_items, p9_found)}
