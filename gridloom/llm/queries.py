@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import cooccur, leak, sentences
+from gridloom.llm import cooccur, leak, packing, quantiles, sentences
 from gridloom.plans._tables import last_samples
-from gridloom.runtime import load
+from gridloom.runtime import latest, load
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,33 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("grp").alias("zone"), F.col("item_a").cast("int").alias("biome_a"), F.col("item_b").cast("int").alias("biome_b"), F.col("both").alias("samples"), F.round("lift", 6).alias("lift"), F.round("llr", 3).alias("llr"))
 
 
+FRACTIONS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of both climate columns per zone, per biome and per world."""
+    metrics = ["temperatureC", "precipitationMm"]
+    climate = latest(load(spark, d, "climate_samples").select("sample_id", "sampled_at", "world_seed", *metrics), ["sample_id"], "sampled_at", ["world_seed", *metrics])
+    where = last_samples(spark, d, ["zone", "biome_index"])
+    states = quantiles.sketch(climate.join(where, "sample_id", "left"), {"zone": "zone", "biome": "biome_index", "world": "world_seed"}, metrics, absent=-9999.0)
+    return quantiles.percentiles(states, FRACTIONS)
+
+
+def p5_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per noise family over all its probes."""
+    cols = ["family", "samples", "quantile_pcts", "quantile_vals"]
+    t = latest(load(spark, d, "noise_families").select("probe_id", "probed_at", *cols), ["probe_id"], "probed_at", cols)
+    return quantiles.percentiles(quantiles.table_states(t), FRACTIONS)
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(load(spark, d, "documents"))
+
+
+def p7_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(packing.pack(load(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -37,4 +64,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p8_found, p8_items, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_percentiles, p5_noise, p7_packing, p7_usage, p8_found, p8_items, p9_found)}
