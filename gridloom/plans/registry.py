@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import records
+from gridloom.plans import records, scalars
 
-MODULES = [records]
+MODULES = [records, scalars]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
