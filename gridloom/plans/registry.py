@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import records, scalars
+from gridloom.plans import rasters, records, scalars
 
-MODULES = [records, scalars]
+MODULES = [records, scalars, rasters]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
