@@ -28,11 +28,14 @@ FRACTIONS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of both climate columns per zone, per biome and per world."""
+    """Percentiles of both climate columns per zone, per biome, per world, and per zone, biome and world together."""
     metrics = ["temperatureC", "precipitationMm"]
     climate = latest(load(spark, d, "climate_samples").select("sample_id", "sampled_at", "world_seed", *metrics), ["sample_id"], "sampled_at", ["world_seed", *metrics])
     where = last_samples(spark, d, ["zone", "biome_index"])
-    states = quantiles.sketch(climate.join(where, "sample_id", "left"), {"zone": "zone", "biome": "biome_index", "world": "world_seed"}, metrics, absent=-9999.0)
+    each = F.when(F.col("zone").isNotNull() & F.col("biome_index").isNotNull() & F.col("world_seed").isNotNull(), F.concat_ws("|", "zone", "biome_index", "world_seed"))
+    joined = climate.join(where, "sample_id", "left").withColumn("each", each)
+    groups = {"zone": "zone", "biome": "biome_index", "world": "world_seed", "zone_biome_world": "each"}
+    states = quantiles.sketch(joined, groups, metrics, absent=-9999.0)
     return quantiles.percentiles(states, FRACTIONS)
 
 
