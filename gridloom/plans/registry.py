@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import rasters, records, scalars
+from gridloom.plans import rasters, records, ruling, scalars
 
-MODULES = [records, scalars, rasters]
+MODULES = [records, scalars, rasters, ruling]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
