@@ -10,6 +10,7 @@ from gridloom.plans import grid
 from gridloom.rules import catalog as cat
 from gridloom.rules import checks
 from gridloom.rules import compile as comp
+from gridloom.runtime import cut
 
 CAT = cat.sample()
 COLUMNS = {"elevationM", "temperatureC", "temperatureSeasonality", "precipitationMm", "precipitationCv", "moisture", "aridity", "treeMoisture", "treeCoverage", "sparsity", "slope", "growingSeasonDays", "ocean", "snowy", "bareSlope", "mountain", "lowland", "variantNoise", "regionNoise"}
@@ -17,12 +18,18 @@ COLUMNS = {"elevationM", "temperatureC", "temperatureSeasonality", "precipitatio
 FAMILIES = [("variantNoise", -0.8, 0.8), ("cherryNoise", -0.8, 0.8), ("paleNoise", -0.8, 0.8), ("clearingNoise", -0.8, 0.8), ("flowerNoise", -0.8, 0.8), ("regionNoise", -0.73, 0.73)]
 
 
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    """The sample records, written once: rules are many, and a filter over them must not be pushed into the
+    expressions that derive the records, where each would be put together again."""
+    return cut(grid.samples(spark, d))
+
+
 def _matched(spark: SparkSession, d: str) -> DataFrame:
-    return comp.zone_matches(grid.samples(spark, d), CAT)
+    return comp.zone_matches(_samples(spark, d), CAT)
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    return comp.classify(grid.samples(spark, d), CAT)
+    return comp.classify(_samples(spark, d), CAT)
 
 
 def _table(spark: SparkSession, usable: bool = False) -> DataFrame:
@@ -31,12 +38,12 @@ def _table(spark: SparkSession, usable: bool = False) -> DataFrame:
 
 def g_matches(spark: SparkSession, d: str) -> DataFrame:
     """Every rule of a cell's zone whose conditions hold."""
-    return _matched(spark, d).select("cell", F.explode("matches").alias("m")).select("cell", F.col("m.ord").alias("ord"), F.col("m.class_index").alias("class_index"))
+    return _matched(spark, d).select("cell", F.explode_outer("matches").alias("m")).filter("m is not null").select("cell", F.col("m.ord").alias("ord"), F.col("m.class_index").alias("class_index"))
 
 
 def g_bucket_matches(spark: SparkSession, d: str) -> DataFrame:
     """The same through temperature buckets."""
-    return comp.bucket_matches(grid.samples(spark, d), CAT).select("cell", F.explode("matches").alias("m")).select("cell", F.col("m.ord").alias("ord"), F.col("m.class_index").alias("class_index"))
+    return comp.bucket_matches(_samples(spark, d), CAT).select("cell", F.explode_outer("matches").alias("m")).filter("m is not null").select("cell", F.col("m.ord").alias("ord"), F.col("m.class_index").alias("class_index"))
 
 
 def g_classify(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +120,7 @@ def _conditions() -> dict:
 
 def h_pass_rates(spark: SparkSession, d: str) -> DataFrame:
     """Joint and single pass rates of every rule, in one scan, with a flag for low joint rates."""
-    p = stats.pass_rates(grid.samples(spark, d), _conditions())
+    p = stats.pass_rates(_samples(spark, d), _conditions())
     return p.select("name", F.round("rate", 8).alias("rate"), (F.col("name").endswith("|joint") & (F.col("rate") > 0) & (F.col("rate") < 0.005)).alias("low"))
 
 
@@ -172,12 +179,12 @@ def k_snap(spark: SparkSession, d: str) -> DataFrame:
 
 def k_remap(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds by target rate."""
-    return checks.remap(grid.samples(spark, d), "variantNoise", [0.02, 0.1, 0.25, 0.5, 0.98]).select("rate", F.round("threshold", 8).alias("threshold"))
+    return checks.remap(_samples(spark, d), "variantNoise", [0.02, 0.1, 0.25, 0.5, 0.98]).select("rate", F.round("threshold", 8).alias("threshold"))
 
 
 def k_widen(spark: SparkSession, d: str) -> DataFrame:
     """The temperature above which dry cells reach a tenth of all cells."""
-    w = checks.widened(grid.samples(spark, d), "temperatureC", F.col("aridity") < 1.5, 0.1, "above")
+    w = checks.widened(_samples(spark, d), "temperatureC", F.col("aridity") < 1.5, 0.1, "above")
     return w.select(F.round("threshold", 6).alias("threshold"), "held", "n")
 
 
