@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 SIZE, FAN = 512, 8
 #: Rows that a task gathers before it folds them; a bound on its memory.
 CHUNK = 300_000
-#: With more input partitions than this, states are first merged in salted groups.
+#: With more shuffle partitions than this, states are first merged in salted groups.
 SALT_FROM, SALTS = 256, 32
 
 STATE_DDL = "by string, key string, metric string, level int, weight double, err double, vals array<double>"
@@ -207,7 +207,7 @@ def combine(states: DataFrame) -> DataFrame:
 
     s = states.select(*names)
     keys = ["by", "key", "metric"]
-    if s.rdd.getNumPartitions() > SALT_FROM:  # a hot group's states from very many tasks
+    if int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")) > SALT_FROM:  # a hot group's states from very many tasks
         s = s.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition(*keys, "salt").sortWithinPartitions(*keys).select(*names).mapInArrow(merge, STATE_DDL)
     return s.repartition(*keys).sortWithinPartitions(*keys, "level").mapInArrow(merge, STATE_DDL)
 
