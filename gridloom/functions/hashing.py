@@ -52,7 +52,10 @@ def with_hash(df: DataFrame, **spec: tuple[int | str, str, str]) -> DataFrame:
     for shift, k in ((30, MIX_A), (27, MIX_B)):
         d = stage(d, lambda v, s=shift: v.bitwiseXOR(F.shiftrightunsigned(v, s)))
         d = stage(d, lambda v, m=k: wrapping_product(v, m))
-    return stage(d, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)))
+    # The partition number is never negative, so this adds nothing; but no filter is pushed through a projection that
+    # reads it, which would put all rounds together into one expression of thousands of terms. Filter before hashing.
+    still = F.when(F.spark_partition_id() < 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    return stage(d, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 31)).bitwiseXOR(still))
 
 
 def unit(h: str | Column) -> Column:
@@ -65,7 +68,7 @@ def signed(h: str | Column) -> Column:
     return unit(h) * 2 - 1
 
 
-def with_value_noise(df: DataFrame, name: str, seed: int | str, x: str, z: str, *, wave: float = 1.0) -> DataFrame:
+def with_value_noise(df: DataFrame, name: str, seed: int | str, x: str, z: str, *, wave: float | Column = 1.0) -> DataFrame:
     """Adds ``name``: bilinear, smoothstep-eased noise of the signed lattice hash at (x / wave, z / wave)."""
     d = df.withColumns({"_x": F.floor(F.col(x) / wave), "_z": F.floor(F.col(z) / wave)}).withColumns({"_x1": F.col("_x") + 1, "_z1": F.col("_z") + 1})
     d = with_hash(d, _a=(seed, "_x", "_z"), _b=(seed, "_x1", "_z"), _c=(seed, "_x", "_z1"), _d=(seed, "_x1", "_z1"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import rasters, records, ruling, scalars
+from gridloom.plans import places, rasters, records, ruling, scalars, water
 
-MODULES = [records, scalars, rasters, ruling]
+MODULES = [records, scalars, rasters, ruling, water, places]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
