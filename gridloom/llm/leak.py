@@ -130,7 +130,7 @@ class Index:
             self.keys[dense] = key[o], item[o], pos[o]
 
     def candidates(self, doc: list[str], dense: bool) -> Iterator[tuple[int, int, int]]:
-        """(item, place in the item, place in the document) of agreeing blocks, one per stretch of a diagonal."""
+        """(item, place in the item, place in the document) of agreeing blocks, along each diagonal in order."""
         key, item, pos = self.keys[dense]
         b = blocks(doc, dense)
         if not len(key) or not len(b):
@@ -145,9 +145,7 @@ class Index:
         it, ip = item[j], pos[j]
         o = np.lexsort((dp, dp - ip, it))
         it, ip, dp = it[o], ip[o], dp[o]
-        new = np.ones(len(o), bool)
-        new[1:] = (it[1:] != it[:-1]) | (dp[1:] - ip[1:] != dp[:-1] - ip[:-1]) | (dp[1:] != dp[:-1] + 1)
-        yield from zip(it[new].tolist(), ip[new].tolist(), dp[new].tolist())
+        yield from zip(it.tolist(), ip.tolist(), dp.tolist())
 
 
 def is_dense(p: str) -> bool:
@@ -155,13 +153,14 @@ def is_dense(p: str) -> bool:
     return 2 * len(_DENSE.findall(p)) > sum(map(len, _WORD.findall(p)))
 
 
-def words_held(doc: list[str], item: list[str], word: list[int], dp: int, ip: int, half: int) -> int:
-    """The most consecutive words of the item, at most one altered, around an agreeing half window; 0 if it doesn't agree.
+def words_held(doc: list[str], item: list[str], word: list[int], dp: int, ip: int, half: int) -> tuple[int, int]:
+    """The most consecutive words of the item, at most one altered, around an agreeing half window, and the end of
+    the stretch that agrees exactly; (0, dp) if the half windows differ, as unequal texts may share a fingerprint.
 
     The altered word may also be the passage's first or last one.
     """
     if doc[dp : dp + half] != item[ip : ip + half]:
-        return 0
+        return 0, dp
     n, m = len(item), len(doc)
     a, x = ip, dp
     while a and x and item[a - 1] == doc[x - 1]:
@@ -174,7 +173,7 @@ def words_held(doc: list[str], item: list[str], word: list[int], dp: int, ip: in
     last = word[b - 1] - (b < n and word[b] == word[b - 1])
     whole = last - first + 1
     if whole <= 0:
-        return 0
+        return 0, y
     best = whole
     # one altered word to the right, then more of the item
     if b < n:
@@ -211,7 +210,7 @@ def words_held(doc: list[str], item: list[str], word: list[int], dp: int, ip: in
                 best = max(best, whole + 1 + left)
         if q > 0:
             best = max(best, whole + 1)
-    return best
+    return best, y
 
 
 def held_items(text: str, index: Index) -> dict[int, int]:
@@ -223,8 +222,13 @@ def held_items(text: str, index: Index) -> dict[int, int]:
             continue
         doc = char_tokens(p) if dense else word_tokens(p)
         least = CHARS if dense else WORDS
+        done = (-1, 0, 0)  # item, diagonal, end of the stretch that has been verified
         for it, ip, dp in index.candidates(doc, dense):
-            n = words_held(doc, index.tokens[it], index.words[it], dp, ip, least // 2)
+            if done[:2] == (it, dp - ip) and dp + least // 2 <= done[2]:
+                continue
+            n, end = words_held(doc, index.tokens[it], index.words[it], dp, ip, least // 2)
+            if n:
+                done = (it, dp - ip, end)
             if n >= least and n > out.get(index.ids[it], 0):
                 out[index.ids[it]] = n
     return out
