@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import drift, hierarchy, keyed, shred
 from gridloom.plans._tables import cells, last_samples
+from gridloom.plans.records_sql import P6_FOUND
 from gridloom.runtime import latest, load
 
 FILE_KEYS = ["pack_id", "file_name"]
@@ -96,6 +97,7 @@ _LAST = """last AS (SELECT sample_id, lower(trim(zone)) AS zone, biome_index, ca
 _V = "CASE WHEN NOT isnan({0}::DOUBLE) AND {0} <> -9999 THEN {0}::DOUBLE END"
 
 SQL = {
+    "p6_found": P6_FOUND,
     "p3_found": """WITH RECURSIVE c AS (SELECT tile_id, cell, downstream FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, cell ORDER BY written_at DESC, downstream DESC NULLS LAST) r FROM coarse_cells) WHERE r = 1),
  l AS (SELECT a.tile_id, a.cell, b.cell AS p FROM c a LEFT JOIN c b ON a.tile_id = b.tile_id AND a.downstream = b.cell),
  t AS (SELECT tile_id, cell, cell AS root_cell, 0 AS depth FROM l WHERE p IS NULL
