@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import places, rasters, records, ruling, scalars, water
+from gridloom.plans import extras, places, rasters, records, ruling, scalars, water
 
-MODULES = [records, scalars, rasters, ruling, water, places]
+MODULES = [records, scalars, rasters, ruling, water, places, extras]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
