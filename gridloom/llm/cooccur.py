@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import cut
+
 #: Entries of all associative arrays of one task, after which it flushes them.
 FLUSH_ENTRIES = 500_000
 #: A neighbour that no item has: the number of records of a group is kept under it.
@@ -63,7 +65,9 @@ def cooccurrence(records: DataFrame, group: str, items: str) -> DataFrame:
     cells = records.select(F.col(group).alias("grp"), F.col(items).alias("items")).filter("grp is not null and items is not null")
     cells = cells.select("grp", F.sort_array(F.array_distinct(F.filter(F.col("items"), lambda x: x.isNotNull())).cast("array<long>")).alias("items"))
     stripes = cells.mapInArrow(_stripes, "grp string, item long, near array<long>, times array<long>")
-    merged = (
+    # written once: what follows reads it four times with filters that would be pushed below the aggregate, and the
+    # records would be folded again for each
+    merged = cut(
         stripes.select("grp", "item", F.explode(F.arrays_zip("near", "times")).alias("e"))
         .groupBy("grp", "item", F.col("e.near").alias("near")).agg(F.sum("e.times").alias("times"))
     )

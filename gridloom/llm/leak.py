@@ -6,7 +6,7 @@ per half of the window: a block is the sign pattern of the summed hash bits of t
 of neighbouring characters, where characters are the tokens). One altered word can move bits of one block only,
 so every window within that radius agrees with its item in at least one whole block, and looking blocks up in a
 multi-index finds all of them; a SimHash summed over the whole window gives no such guarantee, as one word of 18
-moves nine or ten of 64 bits on average and sometimes more than twenty. Candidates are then verified exactly, word
+moves six of 64 bits on average and up to eighteen in a few thousand trials. Candidates are then verified exactly, word
 by word, from the agreeing half outwards.
 """
 
