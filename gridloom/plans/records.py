@@ -96,17 +96,20 @@ _LAST = """last AS (SELECT sample_id, lower(trim(zone)) AS zone, biome_index, ca
   SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY classified_at DESC, zone DESC NULLS LAST, biome_index DESC NULLS LAST) AS r FROM classification_result) WHERE r = 1)"""
 _V = "CASE WHEN NOT isnan({0}::DOUBLE) AND {0} <> -9999 THEN {0}::DOUBLE END"
 
-SQL = {
-    "p6_found": P6_FOUND,
-    "p3_found": """WITH RECURSIVE c AS (SELECT tile_id, cell, downstream FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, cell ORDER BY written_at DESC, downstream DESC NULLS LAST) r FROM coarse_cells) WHERE r = 1),
+_TREE = """WITH RECURSIVE c AS (SELECT tile_id, cell, downstream FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, cell ORDER BY written_at DESC, downstream DESC NULLS LAST) r FROM coarse_cells) WHERE r = 1),
  l AS (SELECT a.tile_id, a.cell, b.cell AS p FROM c a LEFT JOIN c b ON a.tile_id = b.tile_id AND a.downstream = b.cell),
- t AS (SELECT tile_id, cell, cell AS root_cell, 0 AS depth FROM l WHERE p IS NULL
-       UNION ALL SELECT l.tile_id, l.cell, t.root_cell, t.depth + 1 FROM t JOIN l ON l.tile_id = t.tile_id AND l.p = t.cell),
+ t AS (SELECT tile_id, cell, cell AS root_cell, 0 AS depth, [cell] AS path FROM l WHERE p IS NULL
+       UNION ALL SELECT l.tile_id, l.cell, t.root_cell, t.depth + 1, list_prepend(l.cell, t.path) FROM t JOIN l ON l.tile_id = t.tile_id AND l.p = t.cell),
  k AS (SELECT l.* FROM l ANTI JOIN t ON l.tile_id = t.tile_id AND l.cell = t.cell),
  w AS (SELECT tile_id, cell, p AS z FROM k UNION SELECT w.tile_id, w.cell, k.p FROM w JOIN k ON k.tile_id = w.tile_id AND k.cell = w.z),
  ring AS (SELECT tile_id, cell FROM w WHERE cell = z)
-SELECT tile_id, cell, root_cell, depth FROM t
-UNION ALL SELECT w.tile_id, w.cell, min(w.z), -1 FROM w JOIN ring ON ring.tile_id = w.tile_id AND ring.cell = w.z GROUP BY w.tile_id, w.cell""",
+"""
+
+SQL = {
+    "p6_found": P6_FOUND,
+    "p3_paths": _TREE + "SELECT tile_id, cell, root_cell, depth, path FROM t UNION ALL SELECT w.tile_id, w.cell, min(w.z), -1, NULL FROM w JOIN ring ON ring.tile_id = w.tile_id AND ring.cell = w.z GROUP BY w.tile_id, w.cell",
+    "p3_descendants": _TREE + ", u AS (SELECT tile_id, cell AS upstream_cell, unnest(path) AS cell, generate_subscripts(path, 1) - 1 AS steps FROM t) SELECT tile_id, cell, upstream_cell, steps::INTEGER AS steps FROM u WHERE steps > 0",
+    "p3_found": _TREE + "SELECT tile_id, cell, root_cell, depth FROM t UNION ALL SELECT w.tile_id, w.cell, min(w.z), -1 FROM w JOIN ring ON ring.tile_id = w.tile_id AND ring.cell = w.z GROUP BY w.tile_id, w.cell",
     "p4_found": f"""WITH {_LAST}, k AS (SELECT zone, biome_index, count(*) n FROM last WHERE zone IS NOT NULL AND biome_index IS NOT NULL GROUP BY ALL)
 SELECT zone, biome_index FROM k WHERE n * 50 >= (SELECT sum(n) FROM k)""",
     "p4_profile": f"""WITH {_LAST}, clim AS (SELECT DISTINCT ON (sample_id) * FROM climate_samples ORDER BY sample_id, sampled_at DESC)
