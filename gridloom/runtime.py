@@ -34,6 +34,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with at least as many partitions as the session has cores, for work that is heavy per row.
+
+    A small file is one partition whatever its rows cost. Larger inputs have enough splits and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the session's own, else a temporary one (single-machine tests)."""
     sc = spark.sparkContext
