@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import cooccur, leak, packing, quantiles, sentences
 from gridloom.plans._tables import last_samples
-from gridloom.runtime import latest, load
+from gridloom.runtime import latest, load, spread
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -46,25 +46,29 @@ def p5_noise(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.table_states(t), FRACTIONS)
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "documents").select("doc_id", "text"))
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(load(spark, d, "documents"))
+    return packing.pack(_documents(spark, d))
 
 
 def p7_usage(spark: SparkSession, d: str) -> DataFrame:
-    return packing.usage(packing.pack(load(spark, d, "documents")))
+    return packing.usage(packing.pack(_documents(spark, d)))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leak.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leak.leaks(_documents(spark, d), load(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Which test items leaked, into how many documents, and the longest passage."""
-    return leak.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
+    return leak.leaks(_documents(spark, d), load(spark, d, "eval_items")).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split(load(spark, d, "documents"))
+    return sentences.split(_documents(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_percentiles, p5_noise, p7_packing, p7_usage, p8_found, p8_items, p9_found)}
