@@ -75,18 +75,22 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
 
 
 def _block(text: str, start: int, end: int, out: list[tuple[int, int, bool]]) -> None:
-    while start < end and text[start].isspace():
-        start += 1
-    while end > start and text[end - 1].isspace():
-        end -= 1
-    if start == end:
-        return
-    if text[start] == "#" and _HASH.match(text, start, end):
+    while True:
+        while start < end and text[start].isspace():
+            start += 1
+        while end > start and text[end - 1].isspace():
+            end -= 1
+        if start == end:
+            return
+        if text[start] != "#" or not _HASH.match(text, start, end):
+            break
         stop = text.find("\n", start, end)
-        out.append((start, end if stop < 0 else stop, True))
-        if stop >= 0:
-            _block(text, stop, end, out)
-        return
+        stop = end if stop < 0 else stop
+        last = stop
+        while text[last - 1].isspace():
+            last -= 1
+        out.append((start, last, True))
+        start = stop
     if not _BULLET.match(text, start, end):
         out.append((start, end, False))
         return

@@ -247,5 +247,10 @@ def test_long_text_without_end():
     assert sentences.units(t, m) == [(0, len(t) - 1)]
 
 
+def test_heading_lines_and_line_ends():
+    assert len(sentences.blocks("# a \n" * 5000)) == 5000
+    assert [(a, b) for a, b, _ in sentences.blocks("# Title\r\nSome text\r\n\r\n* one\r\n* two")] == [(0, 7), (9, 18), (22, 27), (29, 34)]
+
+
 def test_arrow_types():
     assert pa.types.is_list(dict(quantiles._TYPES)["vals"])
