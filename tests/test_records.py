@@ -176,6 +176,11 @@ def test_levels_tell_nulls_apart():
     assert record.tolist() == [0, 1, 2, 3, 3, 3, 3] and places[0].tolist() == [0, 0, 0, 0, 0, 1, 2] and places[1].tolist()[3:] == [0, 1, 0, 0]
 
 
+def test_bottomless_nesting():
+    deep = '{"rules": ' + "[" * 200_000 + "]" * 200_000 + "}"
+    assert shred.parse_class(deep) is None and drift.path_values(deep) is None
+
+
 def test_long_values(spark):
     body = json.dumps({"requiredMods": ["m" * 300_000], "rules": []})
     df = spark.createDataFrame([(1, body)], "record_id long, body string")
