@@ -25,15 +25,15 @@ def flood(elev: np.ndarray, sea: float = 0.0) -> tuple[np.ndarray, np.ndarray, n
     """(filled, downstream index or -1, order of visit) of one tile by priority flood.
 
     Seeds are the border and cells at or below the sea; the lowest (fill, index) is taken next and its unvisited
-    neighbours drain to it, in scan order.
+    neighbours drain to it, in scan order. NaN marks a place without a cell, and the cells beside it are border.
     """
     h, w = elev.shape
     filled, down, order = elev.astype(float).copy(), np.full(h * w, -1), []
-    seen = np.zeros(h * w, bool)
     flat = filled.ravel()
-    rim = np.zeros((h, w), bool)
-    rim[0], rim[-1], rim[:, 0], rim[:, -1] = True, True, True, True
-    seeds = np.flatnonzero(rim.ravel() | (elev.ravel() <= sea))
+    seen = np.isnan(flat)
+    beyond = np.pad(seen.reshape(h, w), 1, constant_values=True)
+    rim = np.logical_or.reduce([beyond[1 + a : h + 1 + a, 1 + b : w + 1 + b] for a, b in AROUND])
+    seeds = np.flatnonzero((rim.ravel() | (flat <= sea)) & ~seen)
     seen[seeds] = True
     heap = [(flat[i], int(i)) for i in seeds]
     heapq.heapify(heap)
@@ -52,17 +52,21 @@ def flood(elev: np.ndarray, sea: float = 0.0) -> tuple[np.ndarray, np.ndarray, n
 
 
 def flood_tiles(cells: DataFrame, tile: list[str], elev: str = "elev") -> DataFrame:
-    """(tile, r, c, filled, down_r, down_c) of every tile; a tile's cells are a full rectangle and fit one task."""
+    """(tile, r, c, filled, down_r, down_c) of every tile; a tile's cells fit one task, and may end short of the rectangle."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values(["r", "c"])
         r0, c0 = d["r"].min(), d["c"].min()
         h, w = int(d["r"].max() - r0 + 1), int(d["c"].max() - c0 + 1)
-        if h * w != len(d):
-            raise ValueError("a tile has gaps")
-        filled, down, _ = flood(d[elev].to_numpy().reshape(h, w))
+        at = ((d["r"] - r0) * w + d["c"] - c0).to_numpy()
+        if len(np.unique(at)) != len(at):
+            raise ValueError("a tile has a cell twice")
+        level = np.full(h * w, np.nan)
+        level[at] = d[elev].to_numpy()
+        filled, down, _ = flood(level.reshape(h, w))
+        filled, down = filled.ravel()[at], down[at]
         out = d[[*tile, "r", "c"]].copy()
-        out["filled"] = filled.ravel()
+        out["filled"] = filled
         out["down_r"] = np.where(down >= 0, down // w + r0, -1)
         out["down_c"] = np.where(down >= 0, down % w + c0, -1)
         return out

@@ -43,8 +43,8 @@ def j_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j_flood(spark: SparkSession, d: str) -> DataFrame:
-    """Exact priority flood, tile by tile of 25 x 25 cells."""
-    g = _cells(spark, d).filter("r < 10").withColumns({"tile_i": F.lit(0), "tile_j": F.floor(F.col("c") / 25).cast("int")})
+    """Exact priority flood, tile by tile of 25 x 25 cells; the last row of tiles may be short."""
+    g = _cells(spark, d).withColumns({f"tile_{i}": F.floor(F.col(x) / 25) for i, x in (("i", "r"), ("j", "c"))})
     return drainage.flood_tiles(g, ["tile_i", "tile_j"]).select("r", "c", F.round("filled", 6).alias("filled"), "down_r", "down_c")
 
 
