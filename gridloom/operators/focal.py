@@ -124,7 +124,7 @@ def resize(g: DataFrame, value: str, size: tuple[int, int], target: tuple[int, i
     """Bilinear resize with half-pixel centres: (r, c, value) of the target grid, or of its window (r0, c0, r1, c1).
 
     Samples beyond the outer centres repeat the edge, or follow its last difference with ``extrapolate``. Only the
-    window's cells are generated, and only their four taps are read.
+    window's cells are generated, and only their four taps are read; where a tap has no cell the value is null.
     """
     (h, w), (th, tw) = size, target
     r0, c0, r1, c1 = window or (0, 0, th, tw)
@@ -144,7 +144,8 @@ def resize(g: DataFrame, value: str, size: tuple[int, int], target: tuple[int, i
         for a in ((0, 1) if h > 1 else (0,)) for b in ((0, 1) if w > 1 else (0,))
     ])).alias("t")).select("r", "c", "t.*").filter("wt <> 0")
     src = g.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).alias("v"))
-    return four.join(src, ["sr", "sc"]).groupBy("r", "c").agg(F.sum(F.col("v") * F.col("wt")).alias(value))
+    whole = F.count("v") == F.count("*")
+    return four.join(src, ["sr", "sc"], "left").groupBy("r", "c").agg(F.when(whole, F.sum(F.col("v") * F.col("wt"))).alias(value))
 
 
 def nearest(g: DataFrame, value: str, size: tuple[int, int], target: tuple[int, int]) -> DataFrame:

@@ -82,6 +82,7 @@ def e_blur(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tile(spark: SparkSession, d: str) -> DataFrame:
+    """The small tile of the queries whose SQL twins are fixed to it; the ``_whole`` queries take every cell."""
     return grid.cells(spark, d).filter("r < 8 and c < 10")
 
 
@@ -98,11 +99,35 @@ def e_nearest(spark: SparkSession, d: str) -> DataFrame:
     return focal.nearest(_tile(spark, d), "elev", (8, 10), (24, 25)).select("r", "c", "elev")
 
 
+def _size(g: DataFrame) -> tuple[int, int]:
+    """Rows and columns of a grid that starts at (0, 0)."""
+    m = g.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    return (0, 0) if m.r is None else (m.r + 1, m.c + 1)
+
+
+def e_resize_whole(spark: SparkSession, d: str, extrapolate: bool = False) -> DataFrame:
+    """The whole grid, 2.5 times as high and 3.3 times as wide (checked against numpy in the tests)."""
+    g = grid.cells(spark, d)
+    h, w = _size(g)
+    return focal.resize(g, "elev", (h, w), (h * 5 // 2, w * 33 // 10), extrapolate=extrapolate).select("r", "c", F.round("elev", 6).alias("elev"))
+
+
+def e_resize_extrapolated_whole(spark: SparkSession, d: str) -> DataFrame:
+    return e_resize_whole(spark, d, extrapolate=True)
+
+
+def e_nearest_whole(spark: SparkSession, d: str) -> DataFrame:
+    g = grid.cells(spark, d)
+    h, w = _size(g)
+    return focal.nearest(g, "elev", (h, w), (h * 3, w * 5 // 2)).select("r", "c", "elev")
+
+
 def e_pyramid(spark: SparkSession, d: str) -> DataFrame:
-    """A fine residual plus a resized coarse band."""
-    fine = grid.cells(spark, d).filter("r < 10 and c < 40").select("r", "c", "elev")
-    low = fine.filter("r < 5 and c < 20").select("r", "c", (F.col("elev") / 3).alias("elev"))
-    return focal.pyramid_decode(fine, low, "elev", (5, 20), (10, 40)).select("r", "c", F.round("elev", 6).alias("elev"))
+    """A fine residual plus a resized coarse band of half the size, over the whole grid."""
+    fine = grid.cells(spark, d).select("r", "c", "elev")
+    h, w = _size(fine)
+    low = fine.groupBy(F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).alias("c")).agg((F.avg("elev") / 3).alias("elev"))
+    return focal.pyramid_decode(fine, low, "elev", ((h + 1) // 2, (w + 1) // 2), (h, w)).select("r", "c", F.round("elev", 6).alias("elev"))
 
 
 def e_lapse(spark: SparkSession, d: str) -> DataFrame:
@@ -141,6 +166,13 @@ def e_pad_crop(spark: SparkSession, d: str) -> DataFrame:
     return focal.crop(focal.pad(_tile(spark, d), (8, 10), ["elev"]), 0, 0, 6, 12).select("r", "c", "elev")
 
 
+def e_pad_crop_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid padded, and all of that but its lowest row."""
+    g = grid.cells(spark, d)
+    h, w = _size(g)
+    return focal.crop(focal.pad(g, (h, w), ["elev"]), 0, 0, h + 1, w + 2).select("r", "c", "elev")
+
+
 W = tensor.Windows(8, 6, -2)
 
 
@@ -166,7 +198,7 @@ def f_upstream(spark: SparkSession, d: str) -> DataFrame:
     return tensor.upstream_windows(gone, W, tensor.Windows(16, 12), margin=1)
 
 
-QUERIES = {f.__name__: f for f in (e_sobel, e_box, e_step_slope, d_coastline, d_around, d_range_filter, e_majority, e_organic, e_blur, e_resize, e_resize_extrapolated, e_nearest, e_pyramid, e_lapse, e_hillshade, e_dilate, e_steepest, e_bed, e_pad_crop, f_overlap_add, f_windows, f_upstream)}
+QUERIES = {f.__name__: f for f in (e_sobel, e_box, e_step_slope, d_coastline, d_around, d_range_filter, e_majority, e_organic, e_blur, e_resize, e_resize_extrapolated, e_nearest, e_resize_whole, e_resize_extrapolated_whole, e_nearest_whole, e_pyramid, e_lapse, e_hillshade, e_dilate, e_steepest, e_bed, e_pad_crop, e_pad_crop_whole, f_overlap_add, f_windows, f_upstream)}
 
 _OFF = "(VALUES " + ", ".join(f"({a}, {b})" for a, b in focal.AROUND) + ") o(dr, dc)"
 

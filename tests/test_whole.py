@@ -51,3 +51,51 @@ def test_flood_covers_every_tile(spark, grid_dir):
                 if r.down_r >= 0:
                     assert max(abs(r.down_r - r.r), abs(r.down_c - r.c)) == 1 and r.down_r // 25 == i // 25 and r.down_c // 25 == j // 25
                     assert got[r.down_r, r.down_c].filled <= r.filled
+
+
+def resized(e, target, extrapolate=False):
+    def taps(n, t):
+        at = (np.arange(t) + 0.5) * n / t - 0.5
+        at = at if extrapolate else at.clip(0, n - 1)
+        low = np.floor(at).clip(0, n - 2).astype(int)
+        return low, at - low
+
+    (y, fy), (x, fx) = taps(e.shape[0], target[0]), taps(e.shape[1], target[1])
+    at = lambda a, b: e[np.ix_(y + a, x + b)]
+    fy, fx = fy[:, None], fx[None, :]
+    return (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
+
+
+@pytest.fixture(scope="module")
+def full_dir(spark, tmp_path_factory):
+    """13 full rows of 100 cells."""
+    d = tmp_path_factory.mktemp("full")
+    v = np.round(np.random.default_rng(2).uniform(0, 500, 1300), 2)
+    spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "event_id long, value double").write.parquet(str(d / "events.parquet"))
+    return str(d), (v * 10 - 200).reshape(13, 100)
+
+
+def collected(spark, name, d, shape):
+    rows = entry.queries()[name](spark, d).collect()
+    assert len(rows) == shape[0] * shape[1]
+    out = np.full(shape, np.nan)
+    for r in rows:
+        out[r.r, r.c] = r.elev
+    return out
+
+
+def test_resampling_covers_the_grid(spark, full_dir):
+    d, e = full_dir
+    for name, far in (("e_resize_whole", False), ("e_resize_extrapolated_whole", True)):
+        assert np.allclose(collected(spark, name, d, (32, 330)), resized(e, (32, 330), far), atol=2e-6)
+    i, j = np.arange(39) * 13 // 39, np.arange(250) * 100 // 250
+    assert np.array_equal(collected(spark, "e_nearest_whole", d, (39, 250)), e[np.ix_(i, j)])
+    assert np.array_equal(collected(spark, "e_pad_crop_whole", d, (14, 102)), np.pad(e, 1, "edge")[:14])
+    low = np.array([[e[2 * a : 2 * a + 2, 2 * b : 2 * b + 2].mean() / 3 for b in range(50)] for a in range(7)])
+    assert np.allclose(collected(spark, "e_pyramid", d, (13, 100)), e + resized(low, (13, 100)), atol=2e-6)
+
+
+def test_resize_has_no_value_beside_a_gap(spark, grid_dir):
+    d, e = grid_dir
+    got = {(r.r, r.c): r.elev for r in entry.queries()["e_resize_whole"](spark, d).collect()}
+    assert len(got) == 77 * 330 and got[76, 329] is None and got[70, 329] is not None and got[76, 0] is not None
