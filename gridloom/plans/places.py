@@ -32,13 +32,12 @@ def g_sites(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("site").cast("string").alias("site"), "x", "z")
 
 
-BOX = (0, 0, 99, 999)
-
-
 def _eligible(spark: SparkSession, d: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(eligible sites, raster); the lattice is four blocks wide, so that a small raster holds many sites."""
     raster = cut(_raster(spark, d))
-    s = sites.feature_sites(sites.feature_table(spark, SEED, names), BOX, cell=4)
+    m = raster.agg(F.min("x"), F.min("z"), F.max("x"), F.max("z")).first()
+    box = (0, 0, -1, -1) if m[0] is None else tuple(m)
+    s = sites.feature_sites(sites.feature_table(spark, SEED, names), box, cell=4)
     return sites.eligible(s, raster), raster
 
 

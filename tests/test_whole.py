@@ -3,7 +3,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from gridloom.operators import sites
+from gridloom.plans import places
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +103,16 @@ def test_resize_has_no_value_beside_a_gap(spark, grid_dir):
     d, e = grid_dir
     got = {(r.r, r.c): r.elev for r in entry.queries()["e_resize_whole"](spark, d).collect()}
     assert len(got) == 77 * 330 and got[76, 329] is None and got[70, 329] is not None and got[76, 0] is not None
+
+
+def test_sites_reach_the_whole_raster(spark, tmp_path):
+    v = np.round(np.random.default_rng(3).uniform(20, 500, 6000), 2)
+    spark.createDataFrame([(100_000 + i, float(x)) for i, x in enumerate(v)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    ras = places._raster(spark, str(tmp_path))
+    wide = sites.eligible(sites.feature_sites(sites.feature_table(spark, places.SEED), (0, 900, 99, 1200), cell=4), ras)
+    want = sorted((r.feature, r.x, r.z) for r in wide.collect())
+    got = sorted((r.feature, r.x, r.z) for r in entry.queries()["site_features"](spark, str(tmp_path)).collect())
+    assert got == want and len(got) > 5 and min(z for _, _, z in got) >= 1000
+    spans = [n for n, f in sites.FEATURES.items() if f.span]
+    anchored = sites.opposing(wide.filter(F.col("feature").isin(spans)), ras)
+    assert sorted((r.feature, r.x, r.z, r.bx, r.bz) for r in entry.queries()["site_anchors"](spark, str(tmp_path)).collect()) == sorted((r.feature, r.x, r.z, r.bx, r.bz) for r in anchored.collect())
