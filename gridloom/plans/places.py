@@ -60,8 +60,8 @@ def c_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c_normals(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded tiles of normals."""
-    t = grid.cells(spark, d).filter("cell % 50 = 0").select(F.col("r").alias("ty"), F.col("c").alias("tx"))
+    """A seeded tile of normals for every cell."""
+    t = grid.cells(spark, d).select(F.col("r").alias("ty"), F.col("c").alias("tx"))
     t = t.withColumn("seed", hashing.tile_seed(F.lit(99), F.col("ty"), F.col("tx")))
     return noise.normal_tiles(t, 4)
 

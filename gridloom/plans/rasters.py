@@ -198,7 +198,13 @@ def f_upstream(spark: SparkSession, d: str) -> DataFrame:
     return tensor.upstream_windows(gone, W, tensor.Windows(16, 12), margin=1)
 
 
-QUERIES = {f.__name__: f for f in (e_sobel, e_box, e_step_slope, d_coastline, d_around, d_range_filter, e_majority, e_organic, e_blur, e_resize, e_resize_extrapolated, e_nearest, e_resize_whole, e_resize_extrapolated_whole, e_nearest_whole, e_pyramid, e_lapse, e_hillshade, e_dilate, e_steepest, e_bed, e_pad_crop, e_pad_crop_whole, f_overlap_add, f_windows, f_upstream)}
+def f_upstream_whole(spark: SparkSession, d: str) -> DataFrame:
+    """the same for the windows of all cells against all stored tiles (checked against numpy in the tests)."""
+    gone = tensor.missing_windows(tensor.windows_of(grid.cells(spark, d).select("r", "c"), W), _tiles(spark, d))
+    return tensor.upstream_windows(gone, W, tensor.Windows(16, 12), margin=1)
+
+
+QUERIES = {f.__name__: f for f in (e_sobel, e_box, e_step_slope, d_coastline, d_around, d_range_filter, e_majority, e_organic, e_blur, e_resize, e_resize_extrapolated, e_nearest, e_resize_whole, e_resize_extrapolated_whole, e_nearest_whole, e_pyramid, e_lapse, e_hillshade, e_dilate, e_steepest, e_bed, e_pad_crop, e_pad_crop_whole, f_overlap_add, f_windows, f_upstream, f_upstream_whole)}
 
 _OFF = "(VALUES " + ", ".join(f"({a}, {b})" for a, b in focal.AROUND) + ") o(dr, dc)"
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from gridloom.functions import hashing, noise
 from gridloom.operators import sites
 from gridloom.plans import places
 
@@ -116,3 +117,26 @@ def test_sites_reach_the_whole_raster(spark, tmp_path):
     spans = [n for n, f in sites.FEATURES.items() if f.span]
     anchored = sites.opposing(wide.filter(F.col("feature").isin(spans)), ras)
     assert sorted((r.feature, r.x, r.z, r.bx, r.bz) for r in entry.queries()["site_anchors"](spark, str(tmp_path)).collect()) == sorted((r.feature, r.x, r.z, r.bx, r.bz) for r in anchored.collect())
+
+
+def test_normals_of_every_cell(spark, full_dir):
+    d, e = full_dir
+    rows = entry.queries()["c_normals"](spark, d).collect()
+    got = {(r.ty, r.tx, r.i, r.j): r.v for r in rows}
+    assert len(rows) == len(got) == e.size * 16
+    at = spark.createDataFrame([(0, 0), (7, 33), (12, 99)], "y long, x long")
+    for r in at.select("y", "x", hashing.tile_seed(F.lit(99), F.col("y"), F.col("x")).alias("s")).collect():
+        assert [got[r.y, r.x, k // 4, k % 4] for k in range(16)] == list(noise.normals(r.s, 16))
+
+
+def test_upstream_of_all_missing_windows(spark, full_dir, tmp_path):
+    d, e = full_dir
+    held = [(i, j) for i in range(2) for j in range(20)]  # tiles of the upper rows only
+    spark.read.parquet(f"{d}/events.parquet").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(i * 20 + j, [0.0] * 64) for i, j in held], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    over = lambda n: [w for w in range(-3, n) if w * 6 - 2 < n and w * 6 + 6 > 0]
+    gone = {(i, j) for i in over(13) for j in over(100)} - set(held)
+    reads = lambda w: [u for u in range(-5, 50) if u * 12 <= w * 6 + 6 and u * 12 + 15 >= w * 6 - 3]
+    want = {(a, b) for i, j in gone for a in reads(i) for b in reads(j)}
+    rows = entry.queries()["f_upstream_whole"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {(r.w_i, r.w_j) for r in rows} == want
