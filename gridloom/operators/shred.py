@@ -130,6 +130,12 @@ def _num(v: object) -> float | None:
         return None
 
 
+def _whole(v: object) -> int | None:
+    """A whole number of 32 bits, also written as text."""
+    n = _num(v)
+    return int(n) if n is not None and n.is_integer() and -(2**31) <= n < 2**31 else None
+
+
 def _flag(v: object) -> bool | None:
     if isinstance(v, bool):
         return v
@@ -169,6 +175,12 @@ def _rule(v: object) -> dict | None:
     }
 
 
+#: The scalar fields of a class, their types and how they are read from JSON; a body has two under shorter names.
+CLASS_FIELDS = [("biome_index", pa.int32(), _whole), ("biome_key", pa.string(), _text), ("fallbackKey", pa.string(), _text), ("kind", pa.string(), _text), ("color", pa.int32(), _whole)]
+CLASS_FIELDS += [(n, pa.bool_(), _flag) for n in ("hardBoundary", "blendable", "river", "frozenRiver", "canGenerateOverworld")]
+_SHORT = {"biome_index": "index", "biome_key": "key"}
+
+
 def parse_class(body: str | None) -> dict | None:
     """The canonical class record of a JSON body; None if the body is not a readable object."""
     if body is None:
@@ -179,25 +191,27 @@ def parse_class(body: str | None) -> dict | None:
         return None
     if not isinstance(j, dict):
         return None
-    return {"requiredMods": [_text(m) for m in as_list(j.get("requiredMods"))], "rules": [_rule(r) for r in as_list(j.get("rules"))]}
+    own = {n: read(next((j[k] for k in (n, _SHORT.get(n)) if k in j), None)) for n, _, read in CLASS_FIELDS}
+    return own | {"requiredMods": [_text(m) for m in as_list(j.get("requiredMods"))], "rules": [_rule(r) for r in as_list(j.get("rules"))]}
 
 
 COND = pa.struct([("variable", pa.string()), ("op", pa.string()), ("value", pa.float64()), ("value2", pa.float64()), ("bool", pa.bool_())])
 RULE = pa.struct([("zone", pa.string()), ("rarity", pa.float64()), ("override", pa.bool_()), ("conditions", pa.list_(COND)), ("noiseConditions", pa.list_(COND)), ("requiredMods", pa.list_(pa.string()))])
 CLASS_DDL = (
-    "record_id long, requiredMods array<string>, rules array<struct<zone string, rarity double, override boolean, "
+    "record_id long, pack_id int, biome_index int, biome_key string, fallbackKey string, kind string, color int, hardBoundary boolean, "
+    "blendable boolean, river boolean, frozenRiver boolean, canGenerateOverworld boolean, requiredMods array<string>, rules array<struct<zone string, rarity double, override boolean, "
     "conditions array<struct<variable string, op string, value double, value2 double, bool boolean>>, "
     "noiseConditions array<struct<variable string, op string, value double, value2 double, bool boolean>>, requiredMods array<string>>>"
 )
 
 
 def parse_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(record_id, body) to the canonical nested record; unreadable bodies give a record without lists."""
+    """(record_id, pack_id if there is one, body) to the canonical nested record; unreadable bodies give a record without fields or lists."""
     for b in batches:
         rows = [parse_class(x) or {"requiredMods": [], "rules": []} for x in b.column("body").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b.column("record_id"), pa.array([r["requiredMods"] for r in rows], pa.list_(pa.string())), pa.array([r["rules"] for r in rows], pa.list_(RULE))],
-            names=["record_id", "requiredMods", "rules"],
+            [b.column("record_id"), b.column("pack_id") if "pack_id" in b.schema.names else pa.nulls(len(rows), pa.int32()), *[pa.array([r.get(n) for r in rows], t) for n, t, _ in CLASS_FIELDS], pa.array([r["requiredMods"] for r in rows], pa.list_(pa.string())), pa.array([r["rules"] for r in rows], pa.list_(RULE))],
+            names=["record_id", "pack_id", *[n for n, _, _ in CLASS_FIELDS], "requiredMods", "rules"],
         )
 
 
@@ -242,6 +256,25 @@ def rule_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+CONDITION_DDL = "record_id long, rule_no int, list_name string, item_no int, variable string, op string, value double, value2 double, bool boolean"
+
+
+def condition_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Canonical records to one row per non-null condition of either list, with all its fields, through the levels."""
+    for b in batches:
+        ids = np.asarray(b.column("record_id"))
+        by = {lv.path: lv for lv in shred(b.column("rules"), "rules")}
+        for name in ("conditions", "noiseConditions"):
+            lv = by[f"rules.{name}.variable"]
+            record, places = ordinals(lv)
+            keep = present_elements(lv, not_null=True)
+            take = pa.array(keep)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[record[keep]], pa.int64()), pa.array(places[0][keep], pa.int32()), pa.array([name] * int(keep.sum()), pa.string()), pa.array(places[1][keep], pa.int32()), *[by[f"rules.{name}.{f.name}"].values.filter(take).cast(f.type) for f in COND]],
+                names=["record_id", "rule_no", "list_name", "item_no", *[f.name for f in COND]],
+            )
+
+
 LEVEL_DDL = "record_id long, path string, entry int, rep int, def int, value string"
 
 

@@ -70,27 +70,39 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
-    typed = load(spark, d, "biome_catalog").select("record_id", "loaded_at", "requiredMods", "rules")
-    typed = latest(typed, ["record_id"], "loaded_at", ["requiredMods", "rules"]).drop("loaded_at")
-    raw = latest(load(spark, d, "catalog_raw").select("record_id", "received_at", "body"), ["record_id"], "received_at", ["body"])
-    parsed = raw.select("record_id", "body").mapInArrow(shred.parse_bodies, shred.CLASS_DDL)
-    rules = parsed.schema["rules"].dataType.simpleString()
-    return typed.select("record_id", "requiredMods", F.col("rules").cast(rules).alias("rules")).unionByName(parsed)
+    own = [n for n, _, _ in shred.CLASS_FIELDS]
+    values = ["requiredMods", "rules", "pack_id", *own]
+    typed = latest(load(spark, d, "biome_catalog").select("record_id", "loaded_at", *values), ["record_id"], "loaded_at", values).drop("loaded_at")
+    raw = latest(load(spark, d, "catalog_raw").select("record_id", "received_at", "body", "pack_id"), ["record_id"], "received_at", ["body", "pack_id"])
+    parsed = raw.select("record_id", "pack_id", "body").mapInArrow(shred.parse_bodies, shred.CLASS_DDL)
+    return typed.select("record_id", *[F.col(n).cast(parsed.schema[n].dataType.simpleString()).alias(n) for n in ["pack_id", *own, "requiredMods", "rules"]]).unionByName(parsed)
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    return _classes(spark, d).select("record_id", "requiredMods", "rules")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _classes(spark, d).mapInArrow(shred.item_rows, shred.ITEM_DDL)
+    return _lists(spark, d).mapInArrow(shred.item_rows, shred.ITEM_DDL)
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _classes(spark, d).drop("requiredMods", "rules")
+
+
+def p6_conditions(spark: SparkSession, d: str) -> DataFrame:
+    return _lists(spark, d).mapInArrow(shred.condition_rows, shred.CONDITION_DDL)
 
 
 def p6_rules(spark: SparkSession, d: str) -> DataFrame:
-    return _classes(spark, d).mapInArrow(shred.rule_rows, shred.RULE_ROW_DDL).withColumn("rarity", F.round("rarity", 4))
+    return _lists(spark, d).mapInArrow(shred.rule_rows, shred.RULE_ROW_DDL).withColumn("rarity", F.round("rarity", 4))
 
 
 def p6_levels(spark: SparkSession, d: str) -> DataFrame:
-    return _classes(spark, d).mapInArrow(shred.level_rows, shred.LEVEL_DDL)
+    return _lists(spark, d).mapInArrow(shred.level_rows, shred.LEVEL_DDL)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_failed_casts, p3_found, p3_paths, p3_descendants, p4_found, p4_profile, p6_found, p6_rules, p6_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_failed_casts, p3_found, p3_paths, p3_descendants, p4_found, p4_profile, p6_found, p6_classes, p6_conditions, p6_rules, p6_levels)}
 
 _LAST = """last AS (SELECT sample_id, lower(trim(zone)) AS zone, biome_index, candidate_counts, candidates FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY classified_at DESC, zone DESC NULLS LAST, biome_index DESC NULLS LAST) AS r FROM classification_result) WHERE r = 1)"""

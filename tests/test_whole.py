@@ -1,5 +1,8 @@
 """Queries cover their whole input, against numpy on small tables."""
 
+import datetime
+import json
+
 import numpy as np
 import pytest
 
@@ -140,3 +143,20 @@ def test_upstream_of_all_missing_windows(spark, full_dir, tmp_path):
     want = {(a, b) for i, j in gone for a in reads(i) for b in reads(j)}
     rows = entry.queries()["f_upstream_whole"](spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {(r.w_i, r.w_j) for r in rows} == want
+
+
+def test_class_and_condition_tables(spark, tmp_path):
+    cond = "array<struct<variable string, op string, value double, value2 double, bool boolean>>"
+    rule = f"array<struct<zone string, rarity float, override boolean, conditions {cond}, noiseConditions {cond}, requiredMods array<string>>>"
+    flags = ("hardBoundary", "blendable", "river", "frozenRiver", "canGenerateOverworld")
+    t = datetime.datetime(2025, 1, 1)
+    rules = [None, ("LAND", 1.0, None, [None, ("slope", "between", 1.0, 2.0, None)], [], None)]
+    typed = [(1, 3, 14, "a:b", None, "OCEAN", 7, *[True, False, None, False, True], None, rules, t), (2, 4, 5, "c:d", "e:f", None, None, *[None] * 5, [], None, t)]
+    spark.createDataFrame(typed, f"record_id long, pack_id int, biome_index short, biome_key string, fallbackKey string, kind string, color int, {', '.join(f'{f} boolean' for f in flags)}, requiredMods array<string>, rules {rule}, loaded_at timestamp").write.parquet(str(tmp_path / "biome_catalog.parquet"))
+    body = {"index": "38", "key": "g:h", "kind": "BEACH", "color": 9, "river": "true", "rules": {"zone": "X", "noiseConditions": [{"variable": "snowy", "op": "eq", "bool": False}, {"op": "lt", "value": "2.5"}]}}
+    spark.createDataFrame([(8, 6, t, json.dumps(body)), (9, 6, t, "{broken")], "record_id long, pack_id int, received_at timestamp, body string").write.parquet(str(tmp_path / "catalog_raw.parquet"))
+    got = sorted(map(tuple, entry.queries()["p6_classes"](spark, str(tmp_path)).collect()))
+    none = [None] * 5
+    assert got == [(1, 3, 14, "a:b", None, "OCEAN", 7, True, False, None, False, True), (2, 4, 5, "c:d", "e:f", None, None, *none), (8, 6, 38, "g:h", None, "BEACH", 9, None, None, True, None, None), (9, 6, *none, *none)]
+    rows = sorted(map(tuple, entry.queries()["p6_conditions"](spark, str(tmp_path)).collect()))
+    assert rows == [(1, 1, "conditions", 1, "slope", "between", 1.0, 2.0, None), (8, 0, "noiseConditions", 0, "snowy", "eq", None, None, False), (8, 0, "noiseConditions", 1, None, "lt", 2.5, None, None)]
