@@ -87,7 +87,7 @@ def relax_fill(cells: DataFrame, elev: str = "elev", *, sea: float = 0.0, rounds
     """(r, c, filled): the least surface with fill = max(elev, lowest fill around), grown from rim and sea.
 
     A relational fixpoint for grids with many seeds; each round is one aggregate, and the state is written every
-    ``check`` rounds, when the change is counted. Equals the flood's filled surface.
+    ``check`` rounds, when the change is counted. Equals the flood's filled surface; raises if ``rounds`` do not reach it.
     """
     e = F.col(elev)
     box = cells.agg(F.min("r").alias("a"), F.max("r").alias("b"), F.min("c").alias("p"), F.max("c").alias("q")).first()
@@ -103,6 +103,8 @@ def relax_fill(cells: DataFrame, elev: str = "elev", *, sea: float = 0.0, rounds
             if not state.filter("not (f <=> was)").limit(1).count():
                 break
         state = state.drop("was")
+    else:
+        raise RuntimeError(f"the filled surface still changes after {rounds} rounds")
     return state.select("r", "c", F.col("f").alias("filled"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridloom.functions import hashing, noise
-from gridloom.operators import sites
+from gridloom.operators import drainage, sites
 from gridloom.plans import places
 
 
@@ -160,3 +160,10 @@ def test_class_and_condition_tables(spark, tmp_path):
     assert got == [(1, 3, 14, "a:b", None, "OCEAN", 7, True, False, None, False, True), (2, 4, 5, "c:d", "e:f", None, None, *none), (8, 6, 38, "g:h", None, "BEACH", 9, None, None, True, None, None), (9, 6, *none, *none)]
     rows = sorted(map(tuple, entry.queries()["p6_conditions"](spark, str(tmp_path)).collect()))
     assert rows == [(1, 1, "conditions", 1, "slope", "between", 1.0, 2.0, None), (8, 0, "noiseConditions", 0, "snowy", "eq", None, None, False), (8, 0, "noiseConditions", 1, None, "lt", 2.5, None, None)]
+
+
+def test_unfinished_fill_is_an_error(spark):
+    g = spark.createDataFrame([(i, j, 5.0) for i in range(13) for j in range(13)], "r long, c long, elev double")
+    with pytest.raises(RuntimeError):
+        drainage.relax_fill(g, rounds=4)
+    assert {r.filled for r in drainage.relax_fill(g, rounds=12).collect()} == {5.0}
