@@ -121,21 +121,29 @@ def lowest_links(cells: DataFrame, elev: str, width: int) -> DataFrame:
     return cells.select("r", "c").join(linked, ["r", "c"], "left").select((F.col("r") * width + F.col("c")).alias("cell"), "down")
 
 
-def _forest(links: DataFrame) -> DataFrame:
-    return links.select(F.lit(0).cast("long").alias("s"), F.col("cell").alias("v"), F.col("down").alias("p"))
+#: Cells a side of the blocks in which chains of links are followed in memory.
+BLOCK = 512
 
 
-def depths(links: DataFrame) -> DataFrame:
+def _forest(links: DataFrame, *extra: str) -> DataFrame:
+    return links.select(F.lit(0).cast("long").alias("s"), F.col("cell").alias("v"), F.col("down").alias("p"), *extra)
+
+
+def square_blocks(width: int, side: int = BLOCK) -> hierarchy.Block:
+    """Cells by squares of the grid, so that most links stay inside their block."""
+    across = -(-width // side)
+    return lambda x: F.floor(x / (width * side)) * across + F.floor((x % width) / side)
+
+
+def depths(links: DataFrame, width: int) -> DataFrame:
     """(cell, root, depth): outlet and number of steps; roots first in any order by depth."""
-    return hierarchy.resolve(_forest(links)).select(F.col("v").alias("cell"), "root", "depth")
+    return hierarchy.resolve(_forest(links), block=square_blocks(width)).select(F.col("v").alias("cell"), "root", "depth")
 
 
-def accumulate(links: DataFrame, load: DataFrame, value: str) -> DataFrame:
+def accumulate(links: DataFrame, load: DataFrame, value: str, width: int) -> DataFrame:
     """(cell, acc): each cell's load plus that of every cell that drains through it."""
-    f = _forest(links)
-    pathed = hierarchy.paths(f, hierarchy.resolve(f)).filter("path is not null").select(F.col("v").alias("cell"), "path")
-    through = load.select("cell", F.col(value).alias("x")).join(pathed, "cell").select(F.explode("path").alias("cell"), "x")
-    return through.groupBy("cell").agg(F.sum("x").alias("acc"))
+    f = _forest(links.join(load.select("cell", F.col(value).alias("_load")), "cell", "left"), "_load")
+    return hierarchy.accumulate(f, "_load", block=square_blocks(width)).select(F.col("v").alias("cell"), "acc")
 
 
 def flats(cells: DataFrame, filled: str) -> DataFrame:
@@ -160,14 +168,14 @@ def sources(cells: DataFrame, links: DataFrame) -> DataFrame:
     return v.join(fed, "cell", "left_anti")
 
 
-def bodies(cells: DataFrame, links: DataFrame) -> DataFrame:
+def bodies(cells: DataFrame, links: DataFrame, width: int) -> DataFrame:
     """(cell, body, throughflow, depth): standing water grouped by following links inside one filled level.
 
     cells: (cell, elev, filled, acc). A body is named by the submerged cell that leaves it.
     """
     wet = cells.filter("elev > 0 and filled > elev").select("cell", "filled", "elev", "acc")
     inside = wet.select("cell", "filled").join(links, "cell").join(wet.select(F.col("cell").alias("down"), F.col("filled").alias("f2")), "down", "left").select("cell", F.when(F.col("f2") == F.col("filled"), F.col("down")).alias("down"))
-    body = depths(inside).select("cell", F.col("root").alias("body"))
+    body = depths(inside, width).select("cell", F.col("root").alias("body"))
     d = wet.join(body, "cell")
     per = d.groupBy("body").agg(F.max("acc").alias("throughflow"), F.max(F.col("filled") - F.col("elev")).alias("depth"))
     return d.select("cell", "body").join(per, "body")

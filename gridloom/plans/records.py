@@ -23,29 +23,52 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(versions, FILE_KEYS, "pack_format")
 
 
+def _unified(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return drift.unify(_files(spark, d).drop("received_at"), ["file_id", "pack_id", "file_name", "pack_format"])
+
+
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
-    maps = _files(spark, d).mapInArrow(drift.parse_maps, f"file_id long, pack_id int, file_name string, pack_format int, received_at timestamp, fields {drift.MAP_DDL}")
-    return drift.unify(maps, ["file_id", "pack_id", "file_name", "pack_format"])[0].drop("other")
+    """One table over all files; settings beyond the widest table are in ``other``, as JSON text."""
+    return _unified(spark, d)[0].withColumn("other", F.to_json("other"))
 
 
 def p1_failed_casts(spark: SparkSession, d: str) -> DataFrame:
-    maps = _files(spark, d).mapInArrow(drift.parse_maps, f"file_id long, pack_id int, file_name string, pack_format int, received_at timestamp, fields {drift.MAP_DDL}")
-    return drift.unify(maps, ["file_id", "pack_id", "file_name", "pack_format"])[1]
+    return _unified(spark, d)[1]
+
+
+def p1_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Path-type statistics by file name."""
+    versions = drift.readable_versions(_files(spark, d), FILE_KEYS, "pack_format", "received_at")
+    return drift.path_statistics(versions, ["file_name"], "pack_format")
+
+
+def p1_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """How many paths each version retypes, loses and gains against the one before."""
+    versions = drift.readable_versions(_files(spark, d), FILE_KEYS, "pack_format", "received_at")
+    return drift.shifts(versions, FILE_KEYS, "pack_format").select(*FILE_KEYS, "pack_format", *[F.size(x).alias(x) for x in ("retyped", "gone", "come")])
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
-    return c.select(F.col("tile_id").alias("s"), F.col("cell").cast("long").alias("v"), F.col("downstream").cast("long").alias("p"))
+    p = F.when(F.col("downstream") >= 0, F.col("downstream").cast("long"))  # a negative one is an outlet
+    return c.select(F.col("tile_id").alias("s"), F.col("cell").cast("long").alias("v"), p.alias("p"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    r = hierarchy.resolve(_links(spark, d))
+def _resolved(r: DataFrame) -> DataFrame:
     return r.select(F.col("s").alias("tile_id"), F.col("v").cast("int").alias("cell"), F.col("root").cast("int").alias("root_cell"), F.col("depth").cast("int").alias("depth"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _resolved(hierarchy.resolve(_links(spark, d)))
+
+
+def p3_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The same with blocks of 64 keys and every move between blocks as a join, none in one task."""
+    return _resolved(hierarchy.resolve(_links(spark, d), block=lambda x: F.shiftright(x, 6), base_rows=0))
+
+
 def _paths(spark: SparkSession, d: str) -> DataFrame:
-    links = _links(spark, d)
-    return hierarchy.paths(links, hierarchy.resolve(links))
+    return hierarchy.paths(_links(spark, d))
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +125,7 @@ def p6_levels(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).mapInArrow(shred.level_rows, shred.LEVEL_DDL)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_failed_casts, p3_found, p3_paths, p3_descendants, p4_found, p4_profile, p6_found, p6_classes, p6_conditions, p6_rules, p6_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_failed_casts, p1_paths, p1_shifts, p3_found, p3_joined, p3_paths, p3_descendants, p4_found, p4_profile, p6_found, p6_classes, p6_conditions, p6_rules, p6_levels)}
 
 _LAST = """last AS (SELECT sample_id, lower(trim(zone)) AS zone, biome_index, candidate_counts, candidates FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY classified_at DESC, zone DESC NULLS LAST, biome_index DESC NULLS LAST) AS r FROM classification_result) WHERE r = 1)"""
@@ -117,7 +140,23 @@ _TREE = """WITH RECURSIVE c AS (SELECT tile_id, cell, downstream FROM (SELECT *,
  ring AS (SELECT tile_id, cell FROM w WHERE cell = z)
 """
 
+#: Readable bodies with every path outside lists, then one body per version; its kinds are spelt as here.
+_BODIES = """WITH b AS (SELECT file_id, pack_id, file_name, pack_format, received_at, ltrim(body, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS j FROM dimension_files),
+ ok AS (SELECT * FROM b WHERE json_valid(j) AND json_type(j) = 'OBJECT'),
+ v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pack_id, file_name, pack_format ORDER BY received_at DESC NULLS LAST, file_id DESC) AS r FROM ok) WHERE r = 1),
+ t AS (SELECT v.pack_id, v.file_name, v.pack_format, replace(replace(substring(x.fullkey, 3), '"', ''), '\\', '') AS path, CASE WHEN x.type = 'OBJECT' THEN 'object' WHEN x.type = 'ARRAY' THEN 'list' WHEN x.type = 'VARCHAR' THEN 'string' WHEN x.type = 'BOOLEAN' THEN 'boolean' WHEN x.type = 'NULL' THEN 'null' ELSE 'number' END AS kind
+   FROM v, json_tree(v.j) x WHERE x.fullkey <> '$' AND x.fullkey NOT LIKE '%[%')
+"""
+
 SQL = {
+    "p1_paths": _BODIES + "SELECT file_name, path, kind, count(*) AS files, min(pack_format) AS first, max(pack_format) AS last FROM t GROUP BY file_name, path, kind",
+    "p1_shifts": _BODIES + """, s AS (SELECT pack_id, file_name, pack_format, lag(pack_format) OVER (PARTITION BY pack_id, file_name ORDER BY pack_format) AS before FROM v),
+ p AS (SELECT * FROM s WHERE before IS NOT NULL),
+ d AS (SELECT p.*, n.path AS np, n.kind AS nk FROM p LEFT JOIN t n ON n.pack_id = p.pack_id AND n.file_name = p.file_name AND n.pack_format = p.pack_format),
+ o AS (SELECT p.*, n.path AS op, n.kind AS ok FROM p LEFT JOIN t n ON n.pack_id = p.pack_id AND n.file_name = p.file_name AND n.pack_format = p.before),
+ r AS (SELECT pack_id, file_name, pack_format, count(*) FILTER (WHERE nk IS NOT NULL AND nk <> ok AND nk <> 'null' AND ok <> 'null') AS retyped, count(*) FILTER (WHERE op IS NOT NULL AND nk IS NULL AND ok <> 'object') AS gone FROM (SELECT o.*, d.nk FROM o LEFT JOIN d ON d.pack_id = o.pack_id AND d.file_name = o.file_name AND d.pack_format = o.pack_format AND d.np = o.op) GROUP BY ALL),
+ c AS (SELECT pack_id, file_name, pack_format, count(*) FILTER (WHERE np IS NOT NULL AND ok IS NULL AND nk <> 'object') AS come FROM (SELECT d.*, o.ok FROM d LEFT JOIN o ON o.pack_id = d.pack_id AND o.file_name = d.file_name AND o.pack_format = d.pack_format AND o.op = d.np) GROUP BY ALL)
+SELECT pack_id, file_name, pack_format, retyped::INTEGER AS retyped, gone::INTEGER AS gone, come::INTEGER AS come FROM r JOIN c USING (pack_id, file_name, pack_format)""",
     "p6_found": P6_FOUND,
     "p3_paths": _TREE + "SELECT tile_id, cell, root_cell, depth, path FROM t UNION ALL SELECT w.tile_id, w.cell, min(w.z), -1, NULL FROM w JOIN ring ON ring.tile_id = w.tile_id AND ring.cell = w.z GROUP BY w.tile_id, w.cell",
     "p3_descendants": _TREE + ", u AS (SELECT tile_id, cell AS upstream_cell, unnest(path) AS cell, generate_subscripts(path, 1) - 1 AS steps FROM t) SELECT tile_id, cell, upstream_cell, steps::INTEGER AS steps FROM u WHERE steps > 0",
@@ -129,3 +168,4 @@ SELECT zone, biome_index, count(*) AS samples, round(avg(candidate_counts::DOUBL
 {', '.join(f'round(avg({_V.format(m)}), 4) AS mean_{m}' for m in CLIMATE)}, {', '.join(f'count({_V.format(m)}) AS n_{m}' for m in CLIMATE)}
 FROM last LEFT JOIN clim USING (sample_id) GROUP BY zone, biome_index""",
 }
+SQL["p3_joined"] = SQL["p3_found"]

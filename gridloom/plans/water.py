@@ -28,13 +28,13 @@ def j_links(spark: SparkSession, d: str) -> DataFrame:
 
 def j_depth(spark: SparkSession, d: str) -> DataFrame:
     """Outlet and steps of every cell."""
-    return drainage.depths(_links(spark, d))
+    return drainage.depths(_links(spark, d), W)
 
 
 def j_accumulate(spark: SparkSession, d: str) -> DataFrame:
     """Runoff summed along the links."""
     g = grid.climate(spark, d).withColumn("run", scalar.col("runoff", elev="elev", temp="temp", precip="precip", pcv="pcv"))
-    return drainage.accumulate(_links(spark, d), g, "run").select("cell", F.round("acc", 6).alias("acc"))
+    return drainage.accumulate(_links(spark, d), g, "run", W).select("cell", F.round("acc", 6).alias("acc"))
 
 
 def j_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def j_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Water bodies and lakes."""
     c = _watered(spark, d)
     links = cut(_fill_links(c))
-    water = cut(drainage.bodies(c, links))
+    water = cut(drainage.bodies(c, links, W))
     lake = drainage.lakes(c, water)
     return water.join(lake, "cell", "left").select("cell", "body", F.round("throughflow", 6).alias("throughflow"), F.round("depth", 6).alias("depth"), F.round("lake", 6).alias("lake"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a side counts as small enough to be broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of one join key from which it counts as a hub.
+HUB_ROWS = 1_000_000
 _SHIPPED: set[str] = set()
 
 
@@ -44,10 +46,13 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's own, else a temporary one (single-machine tests)."""
+    """The shared folder for cut lineage: the session's own; on a single machine without one, a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
     return sc.getCheckpointDir()
 
 
@@ -67,6 +72,21 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded_rows(df, limit) else df
 
 
+def hub_join(left: DataFrame, right: DataFrame, keys: list[str], *, hub: int = HUB_ROWS) -> DataFrame:
+    """Left join on ``keys`` where a few keys may hold most of the left rows; the right side is unique on the keys.
+
+    Keys with more than ``hub`` left rows are counted first (a partial aggregate). Their rows stay where they are and
+    meet the matching right rows as a broadcast, of which there are at most the left rows over ``hub``; all others go
+    through an ordinary join. Rows with a null key match nothing and stay.
+    """
+    heavy = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hub).select(*keys)
+    if not bounded_rows(heavy, 0) and bounded_rows(heavy, BROADCAST_ROWS):
+        heavy = cut(heavy)
+        few = left.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")), keys, "left")
+        return left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, "left").unionByName(few)
+    return left.join(right, keys, "left")
+
+
 def clean_name(col, *, lower: bool = True):
     """Trimmed (and lower-case) spelling of a descriptive string column."""
     out = F.trim(col)

@@ -66,7 +66,7 @@ def test_accumulation_is_conserved(spark):
     e = terrain(4)
     g = frame(spark, e)
     links = drainage.lowest_links(g, "elev", e.shape[1])
-    acc = {r.cell: r.acc for r in drainage.accumulate(links, g.withColumn("one", F.lit(1.0)), "one").collect()}
+    acc = {r.cell: r.acc for r in drainage.accumulate(links, g.withColumn("one", F.lit(1.0)), "one", e.shape[1]).collect()}
     roots = [r.cell for r in links.collect() if r.down is None]
     assert sum(acc[k] for k in roots) == e.size
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gridloom.operators import drift, hierarchy, keyed, shred
-from gridloom.runtime import latest
+from gridloom.runtime import hub_join, latest
 
 
 def brute_roots(links):
@@ -47,14 +47,44 @@ def test_hierarchy_against_brute_force(spark):
     links = make_links(3)
     want = brute_roots(links)
     df = spark.createDataFrame(links, "s long, v long, p long").withColumn("root", F.lit("clash")).withColumn("low", F.lit(1))
-    for base in (100_000, 30):
-        got = {(r.s, r.v): (r.root, r.depth) for r in hierarchy.resolve(df, base_rows=base).collect()}
+    for kw in ({}, {"block": lambda x: F.floor(x / 16), "base_rows": 0}, {"block": lambda x: F.floor(x / 40), "base_rows": 30, "chunk": 50}):
+        got = {(r.s, r.v): (r.root, r.depth) for r in hierarchy.resolve(df, **kw).collect()}
         assert got == want
 
 
+def test_hierarchy_paths_and_sums_across_blocks(spark):
+    links = [x for x in make_links(5) if x[0] in (0, 9, 10, 11)]
+    want = brute_roots(links)
+    par = {(s, v): p for s, v, p in links}
+
+    def way(s, v):
+        out = [v]
+        while (s, par[s, out[-1]]) in par:
+            out.append(par[s, out[-1]])
+        return out
+
+    ways = {(s, v): way(s, v) if want[s, v][1] >= 0 else None for s, v in want}
+    sums = {k: 0.0 for k, w in ways.items() if w}
+    for (s, v), w in ways.items():
+        for q in w or []:
+            sums[s, q] += v % 5
+    df = spark.createDataFrame(links, "s long, v long, p long").withColumn("x", F.when(F.col("v") % 5 != 0, F.col("v") % 5)).withColumn("acc", F.lit(1))
+    for kw in ({}, {"block": lambda x: F.floor(x / 16), "base_rows": 0}, {"block": lambda x: F.floor(x / 16)}):
+        assert {(r.s, r.v): (r.root, r.depth, r.path) for r in hierarchy.paths(df, **kw).collect()} == {k: (*want[k], ways[k]) for k in want}
+        assert {(r.s, r.v): r.acc for r in hierarchy.accumulate(df, "x", **kw).collect()} == sums
+
+
+def test_hub_join(spark):
+    left = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 7), (None, 8)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (3, "c")], "k int, w string")
+    want = sorted(map(str, left.join(right, ["k"], "left").collect()))
+    for hub in (10, 1000):
+        assert sorted(map(str, hub_join(left, right, ["k"], hub=hub).collect())) == want
+
+
 def test_hierarchy_paths_and_descendants(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 4, 2), (1, 8, 9), (1, 9, 8)], "s long, v long, p long")
-    p = hierarchy.paths(df, hierarchy.resolve(df))
+    p = hierarchy.paths(df)
     got = {r.v: r.path for r in p.collect()}
     assert got == {1: [1], 2: [2, 1], 3: [3, 2, 1], 4: [4, 2, 1], 8: None, 9: None}
     d = {(r.ancestor, r.v, r.distance) for r in hierarchy.descendants(p).collect()}
@@ -62,7 +92,8 @@ def test_hierarchy_paths_and_descendants(spark):
 
 
 def test_hierarchy_empty(spark):
-    assert hierarchy.resolve(spark.createDataFrame([], "s long, v long, p long")).count() == 0
+    none = spark.createDataFrame([], "s long, v long, p long, x double")
+    assert hierarchy.resolve(none).count() == hierarchy.paths(none).count() == hierarchy.accumulate(none, "x").count() == 0
 
 
 def test_names_and_renames():
@@ -76,11 +107,15 @@ def test_names_and_renames():
     assert not drift.likeness("x.min_inclusive", "x.max_inclusive")
 
 
-def test_diff_kinds():
-    old = {"a": "number", "b": "string", "c": "number", "d": "null", "e": "object", "e.x": "number", "gone": "list"}
-    new = {"a": "string", "b": "null", "c": "object", "c.amount": "number", "d": "number", "e": "object", "wrap": "object", "wrap.x": "string", "come": "boolean"}
-    got = set(drift.diff(old, new))
+def test_changes_of_kind(spark):
+    old = '{"a": 1, "b": "x", "c": 2, "d": null, "e": {"x": 1}, "gone": []}'
+    new = '{"a": "1", "b": null, "c": {"amount": 2}, "d": 4, "e": {}, "wrap": {"x": "1"}, "come": true}'
+    files = spark.createDataFrame([(1, 7, "f", 1, None, old), (2, 7, "f", 2, None, new)], "file_id long, pack_id int, file_name string, pack_format int, received_at timestamp, body string")
+    v = drift.readable_versions(files, ["pack_id", "file_name"], "pack_format", "received_at")
+    got = {(r.change, r.field_path, r.new_path) for r in drift.changes(v, ["pack_id", "file_name"], "pack_format").collect()}
     assert got == {("retyped", "a", ""), ("retyped", "c", ""), ("added", "c.amount", ""), ("renamed", "e.x", "wrap.x"), ("removed", "gone", ""), ("added", "come", "")}
+    n = {(r.path, r.kind): r.files for r in drift.path_statistics(v, ["file_name"], "pack_format").collect()}
+    assert n["a", "number"] == n["a", "string"] == 1 and n["e", "object"] == 2 and n["d", "null"] == 1
 
 
 def test_unreadable_bodies():
@@ -105,8 +140,7 @@ def test_versions_changes_and_table(spark):
     v = drift.readable_versions(files, ["pack_id", "file_name"], "pack_format", "received_at")
     got = {(r.pack_format, r.change, r.field_path, r.new_path) for r in drift.changes(v, ["pack_id", "file_name"], "pack_format").collect()}
     assert got == {(5, "renamed", "min_y", "bounds.minY"), (5, "retyped", "on", "")}
-    maps = files.drop("kinds").mapInArrow(drift.parse_maps, f"file_id long, pack_id int, file_name string, pack_format int, received_at timestamp, fields {drift.MAP_DDL}")
-    table, failed = drift.unify(maps, ["file_id"])
+    table, failed = drift.unify(files, ["file_id"])
     rows = {r.file_id: r for r in table.collect()}
     assert len(rows) == 6 and rows[4].min_y == 4.0 and rows[4].on is True and rows[2].x == "5" and rows[3].min_y is None
     assert failed.count() == 0
@@ -116,10 +150,27 @@ def test_versions_changes_and_table(spark):
 
 def test_failed_casts(spark):
     rows = [(k, '{"n": %d}' % k) for k in range(3)] + [(8, '{"n": "many"}'), (9, '{"n": [1]}')]
-    maps = spark.createDataFrame(rows, "file_id long, body string").mapInArrow(drift.parse_maps, f"file_id long, fields {drift.MAP_DDL}")
-    table, failed = drift.unify(maps, ["file_id"])
+    table, failed = drift.unify(spark.createDataFrame(rows, "file_id long, body string"), ["file_id"])
     assert {r.file_id: r.n for r in table.collect()} == {0: 0.0, 1: 1.0, 2: 2.0, 8: None, 9: None}
-    assert {(r.file_id, r.kind, r.raw, r.wanted) for r in failed.collect()} == {(8, "string", "many", "number"), (9, "list", "[1]", "number")}
+    assert {(r.file_id, r.kind, r.raw, r.wanted, r.reason) for r in failed.collect()} == {(8, "string", "many", "number", "cast"), (9, "list", "[1]", "number", "cast")}
+
+
+def test_no_value_is_lost(spark):
+    rows = [(1, '{"a": {"top": 1}, "b": {"top": 2}, "x_y": 3, "xY": 4, "rare": true}'), (2, '{"a": {"top": "no"}, "b": {"top": 5}, "x_y": 6}'), (3, '{"top": 7}')]
+    files = spark.createDataFrame(rows, "file_id long, body string")
+    table, report = drift.unify(files, ["file_id"])
+    got = {r.file_id: r.asDict() for r in table.collect()}
+    # two settings of one name go by their whole path; the third file's own has the short name as its whole path
+    assert got[1]["a__top"] == 1.0 and got[1]["b__top"] == 2.0 and got[2]["b__top"] == 5.0 and got[3]["top"] == 7.0
+    # two spellings of one path: the first has the column, the other keeps its value
+    assert got[1]["x_y"] == 4.0 and got[1]["other"] == {"x_y": "3"} and got[2]["x_y"] == 6.0
+    assert {(r.path, r.raw, r.reason) for r in report.collect()} == {("a.top", "no", "cast"), ("x_y", "3", "clash")}
+    # beyond the widest table: still there, and still reported
+    table, report = drift.unify(files, ["file_id"], max_columns=1)
+    got = {r.file_id: r.other for r in table.collect()}
+    assert got[1]["rare"] == "true" and len(got[1]) == 4 and len(table.columns) == 3
+    assert ("a.top", "no", "cast") in {(r.path, r.raw, r.reason) for r in report.collect()}
+    assert drift.unify(files.limit(0), ["file_id"])[0].count() == 0
 
 
 def test_keyed(spark):
