@@ -1,13 +1,17 @@
 """Evaluation texts inside training text.
 
 A passage counts if 18 consecutive words of an item (36 characters in scripts written without spaces) stand in
-a document, at most one of them altered. The window of that size is fingerprinted by SimHash in two blocks, one
-per half of the window: a block is the sign pattern of the summed hash bits of the half's tokens (of the pairs
-of neighbouring characters, where characters are the tokens). One altered word can move bits of one block only,
-so every window within that radius agrees with its item in at least one whole block, and looking blocks up in a
-multi-index finds all of them; a SimHash summed over the whole window gives no such guarantee, as one word of 18
-moves six of 64 bits on average and up to eighteen in a few thousand trials. Candidates are then verified exactly, word
-by word, from the agreeing half outwards.
+a document, at most one of them altered. Windows of that size are fingerprinted by SimHash in two blocks of 32 bits,
+one per half of the window: a block is the sign pattern of the summed hash bits of the half's tokens (of the pairs
+of neighbouring characters, where characters are the tokens). One altered word moves bits of one block only, up to
+all 32 of them, and leaves the other equal; so within that radius every window agrees with its item in at least one
+whole block, and a multi-index over blocks finds all of them. A SimHash summed over the whole window gives no such
+guarantee: one word of 18 moves six of 64 bits on average and up to eighteen in a few thousand trials.
+
+Candidates are verified by weighted-shingle similarity: the share of an item window's shingles of five words, each
+weighted by its rarity among the items, that stand in the document's stretch. A window passes if it keeps what is
+left of its weight when its heaviest word is altered, so the bound follows from the definition and loses nothing.
+What passes is checked word by word, from the agreeing half outwards.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import html
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS, CHARS = 18, 36
+#: Words of a shingle, and tokens that a document's stretch may be longer on either side.
+SHINGLE, MARGIN = 5, 8
 #: Items, and characters of items, in one broadcast index; more items are searched in several passes.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 40_000_000
 LANES = 32
@@ -105,8 +112,19 @@ def blocks(tokens: list[str], dense: bool) -> np.ndarray:
     return np.concatenate(out)
 
 
+def shingles(tokens: list[str]) -> np.ndarray:
+    """A hash of every run of SHINGLE tokens, by start position."""
+    n = max(len(tokens) - SHINGLE + 1, 0)
+    out = np.zeros(n, np.uint64)
+    if n:
+        h = np.fromiter(map(_HASH.__getitem__, tokens), np.uint64, len(tokens))
+        for k in range(SHINGLE):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return out
+
+
 class Index:
-    """Blocks of all half windows of the items, sorted by value."""
+    """Blocks of all half windows of the items, sorted by value, and the weighted shingles of each item."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids: list[int] = []
@@ -122,6 +140,12 @@ class Index:
             self.ids.append(item_id)
             self.tokens.append(tokens)
             self.words.append(list(range(len(tokens))) if dense else item_words(p))
+        self.shingles = [shingles(t) for t in self.tokens]
+        times = Counter(x for s in self.shingles for x in set(s.tolist()))
+        #: running sums of the shingles' weights: the rarer among the items, the heavier
+        self.weight = [np.r_[0.0, np.cumsum([math.log(1 + len(self.ids) / times[x]) for x in s.tolist()])] for s in self.shingles]
+        self.starts = [np.flatnonzero(np.r_[True, np.diff(w) > 0]) if len(w) else np.zeros(0, int) for w in map(np.array, self.words)]
+        self._needed: dict[tuple[int, int], float] = {}
         for dense, parts in found.items():
             key = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.uint32)
             item = np.concatenate([np.full(len(k), i) for k, i in parts]) if parts else np.zeros(0, int)
@@ -129,6 +153,30 @@ class Index:
             o = np.argsort(key, kind="stable")
             self.keys[dense] = key[o], item[o], pos[o]
 
+    def window(self, it: int, word: int, dense: bool) -> tuple[int, int]:
+        """First token and end of the item's window that begins at a word."""
+        at, n = self.starts[it], CHARS if dense else WORDS
+        return int(at[word]), int(at[word + n]) if word + n < len(at) else len(self.tokens[it])
+
+    def needed(self, it: int, word: int, dense: bool) -> float:
+        """The weight that the window keeps if its heaviest word is altered."""
+        if (it, word) not in self._needed:
+            a, b = self.window(it, word, dense)
+            w, n = self.weight[it], CHARS if dense else WORDS
+            edges = [*self.starts[it][word : word + n].tolist(), b]
+            last = max(b - SHINGLE + 1, a)
+            lost = max(w[max(min(e, last), a)] - w[min(max(s - SHINGLE + 1, a), last)] for s, e in zip(edges, edges[1:]))
+            self._needed[it, word] = w[last] - w[a] - lost
+        return self._needed[it, word]
+
+    def similar(self, it: int, word: int, doc: np.ndarray, at: int, dense: bool) -> bool:
+        """Whether the item's window from ``word`` on keeps enough weight in the document's stretch around token ``at``."""
+        a, b = self.window(it, word, dense)
+        s = self.shingles[it][a : max(b - SHINGLE + 1, a)]
+        near = doc[max(at - MARGIN, 0) : at + b - a + MARGIN]
+        w = np.diff(self.weight[it][a : a + len(s) + 1])
+        return float(w[np.isin(s, near)].sum()) >= self.needed(it, word, dense) - 1e-9
+
     def candidates(self, doc: list[str], dense: bool) -> Iterator[tuple[int, int, int]]:
         """(item, place in the item, place in the document) of agreeing blocks, along each diagonal in order."""
         key, item, pos = self.keys[dense]
@@ -153,6 +201,30 @@ def is_dense(p: str) -> bool:
     return 2 * len(_DENSE.findall(p)) > sum(map(len, _WORD.findall(p)))
 
 
+def verified(index: Index, it: int, ip: int, dp: int, doc: list[str], shingled: np.ndarray, dense: bool) -> bool:
+    """Weighted-shingle similarity of the item's windows that begin, or end, with the stretch around an agreeing half.
+
+    A passage with an altered word lies across one end of the stretch, so one of the two windows holds it.
+    """
+    item, word = index.tokens[it], index.words[it]
+    n = CHARS if dense else WORDS
+    a, b, x = ip, ip + n // 2, dp
+    if doc[dp : dp + n // 2] == item[ip : ip + n // 2]:
+        y = dp + n // 2
+        while a and x and item[a - 1] == doc[x - 1]:
+            a, x = a - 1, x - 1
+        while b < len(item) and y < len(doc) and item[b] == doc[y]:
+            b, y = b + 1, y + 1
+    last = len(index.starts[it]) - n
+    if last < 0:
+        return False
+    first, end = word[a] + (a > 0 and word[a - 1] == word[a]), word[b - 1] - (b < len(item) and word[b] == word[b - 1])
+    for w in {min(max(first, 0), last), min(max(end - n + 1, 0), last)}:
+        if index.similar(it, w, shingled, x + index.window(it, w, dense)[0] - a, dense):
+            return True
+    return False
+
+
 def words_held(doc: list[str], item: list[str], word: list[int], dp: int, ip: int, half: int) -> tuple[int, int]:
     """The most consecutive words of the item, at most one altered, around an agreeing half window, and the end of
     the stretch that agrees exactly; (0, dp) if the half windows differ, as unequal texts may share a fingerprint.
@@ -222,10 +294,14 @@ def held_items(text: str, index: Index) -> dict[int, int]:
             continue
         doc = char_tokens(p) if dense else word_tokens(p)
         least = CHARS if dense else WORDS
+        shingled = None
         done = (-1, 0, 0)  # item, diagonal, end of the stretch that has been verified
         for it, ip, dp in index.candidates(doc, dense):
             if done[:2] == (it, dp - ip) and dp + least // 2 <= done[2]:
                 continue
+            shingled = shingles(doc) if shingled is None else shingled
+            if not verified(index, it, ip, dp, doc, shingled, dense):
+                continue
             n, end = words_held(doc, index.tokens[it], index.words[it], dp, ip, least // 2)
             if n:
                 done = (it, dp - ip, end)

@@ -10,12 +10,17 @@ from gridloom.plans._tables import last_samples
 from gridloom.runtime import latest, load, spread
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccur.cooccurrence(last_samples(spark, d, ["zone", "candidates"]), "zone", "candidates")
+#: Likelihood ratio of a level of 10 percent. A pair of 8 records at twice chance has at least 8 * 2 * (ln 2 - 1/2) = 3.09.
+SIGNIFICANT = 2.71
+
+
+def _pairs(spark: SparkSession, d: str, least: float = 0.0) -> DataFrame:
+    return cooccur.cooccurrence(last_samples(spark, d, ["zone", "candidates"]), "zone", "candidates", least=least)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    hit = _pairs(spark, d).filter("both >= 8 and 200 * both >= records and both * records >= 2 * n_a * n_b")
+    """Significant pairs that are frequent and well above chance; the definition's bounds imply the significance."""
+    hit = _pairs(spark, d, SIGNIFICANT).filter("both >= 8 and 200 * both >= records and both * records >= 2 * n_a * n_b")
     return hit.select(F.col("grp").alias("zone"), F.col("item_a").cast("int").alias("biome_a"), F.col("item_b").cast("int").alias("biome_b"))
 
 

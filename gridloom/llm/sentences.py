@@ -3,26 +3,30 @@
 Text is first cut by its layout: blank lines end blocks, and a block of lines with list markers is one unit per
 item. Inside a block every place where a sentence might end (after a sentence mark and its closing quotes, or at a
 blank in scripts that write neither marks nor blanks between words) is a hidden event: a boundary token stands
-there or not. Its probability comes from the n-grams around it. Block edges are boundaries that can be seen, so
-how often a word stands last or first in a block, against how often it stands before or after a possible
-boundary, gives the model's first estimate without any labels; a pass of expected counts over all possible
-boundaries refines it. Forward-backward over a block gives the posteriors, as what a closing quote means depends on
-whether the sentence began with that quote, that is, on the event before it.
-
-Statistics are counted over all documents. The model is a table of fixed size (hashed words, and word shapes for
-rare words), so it can be broadcast whatever the corpus.
+there or not. Between all other words the model has no boundary token, since a stretch without an end mark is one unit.
+
+The token's odds are those of the two readings of the words around it: P(b | left) P(right | b) with the boundary
+token b in between, against P(no b | left) P(right | no b, left) without. The n-grams back off from a word to its shape,
+and from the left word with the class of the right one to the two apart. Block edges are boundaries that can be seen,
+so how often a word stands last or first in a block, against how often it stands before or after a possible boundary,
+gives the first estimate without any labels; passes of expected counts refine it. Forward-backward runs over every
+block, in those passes as in decoding, as what a closing quote means depends on whether the sentence began with that
+quote, that is, on the event before it.
+
+Texts are read once: possible boundaries are kept as packed numbers, and all passes work on those. Statistics are
+counted over all documents. The model is a table of fixed size (hashed words, and word shapes for rare words), so it
+can be broadcast whatever the corpus.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +125,7 @@ class Site:
     inner: tuple[str, str] | None = None
 
 
+@lru_cache(200_000)
 def _shape(w: str) -> str:
     if not w:
         return "-"
@@ -138,6 +143,7 @@ def _shape(w: str) -> str:
     return "d" if _DENSE.match(w) else "o" + str(min(len(w), 4))
 
 
+@lru_cache(200_000)
 def _word_key(w: str) -> str:
     return _shape(w) if any(ch.isdigit() for ch in w) else w
 
@@ -305,9 +311,14 @@ class _Slots(dict):
 
 
 _SLOTS = _Slots()
-EVENT_DDL = "lw int, ls int, rw int, rs int, lr int, rc int, n long"
+#: Documents and characters that are packed together.
+PACK_DOCS, PACK_CHARS = 2_000, 8_000_000
+_ALL = (("ids", np.int64), ("n_blocks", np.int32))
+_BLOCKS = (("start", np.int32), ("end", np.int32), ("n_sites", np.int32), ("rw", np.int32), ("rs", np.int32), ("lw", np.int32), ("ls", np.int32))
+_SITES = (("end", np.int32), ("next", np.int32), ("lw", np.int32), ("ls", np.int32), ("rw", np.int32), ("rs", np.int32), ("rc", np.int8), ("ilw", np.int32), ("ils", np.int32))
 
 
+@lru_cache(100_000)
 def _class(shape: str) -> int:
     """What the right side begins with: 0 capital, 1 small letter, 2 digit, 3 opener, 4 dense, 5 other (8 more: unmarked script)."""
     w = shape[1:]
@@ -318,33 +329,75 @@ def _class(shape: str) -> int:
     return base + (0 if w[0] in "XA" else 1 if w[0] in "xa" else 2 if w[0] == "0" else 4 if w[0] in "do" else 3 if w[0] in PAIRS or w[0] in '"¿¡' else 5)
 
 
-def event(left: tuple[str, str], right: tuple[str, str]) -> tuple[int, int, int, int, int, int]:
-    c = _class(right[1])
-    return (*_SLOTS[left], *_SLOTS[right], _SLOTS[f"{left[0]}|{c}", ""][0], c)
+def with_class(lw: np.ndarray, rc: np.ndarray) -> np.ndarray:
+    """Slot of a left word together with the class of the right side."""
+    return (lw.astype(np.int64) + rc.astype(np.int64) * 0x61C8B) % WORDS
+
+
+def pack(rows: list[tuple[int | None, str]]) -> bytes:
+    """Blocks and possible boundaries of some documents as numbers: all that the model and the units need of a text."""
+    ids, n_blocks, blocks_, sites_ = [], [], [], []
+    for doc_id, text in rows:
+        found = blocks(text)
+        ids.append(doc_id)
+        n_blocks.append(len(found))
+        for s, e, whole in found:
+            body = s
+            if whole and (m := _BULLET.match(text, s, e)):
+                body = m.end()
+            last = last_keys(text, body, e)
+            here = [] if whole else sites(text, s, e)
+            blocks_.append((s, e, len(here), *_SLOTS[right_keys(text, body, e, is_unmarked(text[s:e]))], *(_SLOTS[last] if last else (-1, -1))))
+            for x in here:
+                sites_.append((x.end, x.next, *_SLOTS[x.left], *_SLOTS[x.right], _class(x.right[1]), *(_SLOTS[x.inner] if x.inner else (-1, -1))))
+    out = [np.array([len(ids), len(blocks_), len(sites_)], np.int64).tobytes(), np.array(ids, np.int64).tobytes(), np.array(n_blocks, np.int32).tobytes()]
+    for names, found in ((_BLOCKS, blocks_), (_SITES, sites_)):
+        columns = list(zip(*found)) or [()] * len(names)
+        out += [np.array(c, t).tobytes() for c, (_, t) in zip(columns, names)]
+    return zlib.compress(b"".join(out), 1)
 
 
-def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, the kinds of possible boundary and their counts; a side that is a block's edge is -1."""
+@dataclass
+class Packed:
+    ids: np.ndarray
+    n_blocks: np.ndarray
+    blocks: dict[str, np.ndarray]
+    sites: dict[str, np.ndarray]
+
+    @classmethod
+    def read(cls, data: bytes) -> Packed:
+        raw = zlib.decompress(data)
+        nd, nb, ns = np.frombuffer(raw, np.int64, 3)
+        at = 24
+
+        def take(n: int, t: type) -> np.ndarray:
+            nonlocal at
+            a = np.frombuffer(raw, t, n, at)
+            at += a.nbytes
+            return a
+
+        ids, n_blocks = take(nd, np.int64), take(nd, np.int32)
+        return cls(ids, n_blocks, {n: take(nb, t) for n, t in _BLOCKS}, {n: take(ns, t) for n, t in _SITES})
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = lambda rows: pa.RecordBatch.from_arrays([pa.array([pack(rows)], pa.binary())], names=["data"])
+    held: list[tuple[int | None, str]] = []
+    chars = 0
     for b in batches:
-        seen: Counter = Counter()
-        for text in b.column("text").to_pylist():
-            for s, e, whole in blocks(text):
-                body = s
-                if whole and (m := _BULLET.match(text, s, e)):
-                    body = m.end()
-                seen[(-1, -1, *_SLOTS[right_keys(text, body, e, is_unmarked(text[s:e]))], -1, -1)] += 1
-                if k := last_keys(text, body, e):
-                    seen[(*_SLOTS[k], -1, -1, -1, -1)] += 1
-                if not whole:
-                    for site in sites(text, s, e):
-                        seen[event(site.left, site.right)] += 1
-        cols = list(zip(*seen)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in cols], pa.array(list(seen.values()), pa.int64())], names=[*SIDES, "n"])
+        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            held.append((i, t))
+            chars += len(t)
+            if len(held) >= PACK_DOCS or chars >= PACK_CHARS:
+                yield row(held)
+                held, chars = [], 0
+    if held:
+        yield row(held)
 
 
 @dataclass
 class Model:
-    """Probability that a boundary stands at a possible place, given what stands at its sides.
+    """Probability that a boundary token stands at a possible place, given the words at its sides.
 
     p, n: by side (see SIDES), the share of boundaries and the number of places per slot. Before the first
     pass of expected counts, word and shape stand alone; then the left word counts with the class of the right.
@@ -355,60 +408,105 @@ class Model:
     prior: float
     joint: bool
 
-    def posterior(self, slots: np.ndarray) -> np.ndarray:
-        """slots: one row per place, columns as in SIDES."""
-        x = slots.T
+    def posterior(self, lw: np.ndarray, ls: np.ndarray, rw: np.ndarray, rs: np.ndarray, rc: np.ndarray) -> np.ndarray:
+        """By Bayes, P(right | b) / P(right | no b) is the odds of b given the right side over the prior odds."""
 
-        def blend(side: int, back: np.ndarray) -> np.ndarray:
-            n = self.n[side][x[side]]
-            return (self.p[side][x[side]] * n + back * SHRINK) / (n + SHRINK)
+        def blend(side: int, slot: np.ndarray, back: np.ndarray) -> np.ndarray:
+            n = self.n[side][slot]
+            return (self.p[side][slot] * n + back * SHRINK) / (n + SHRINK)
 
         def odds(q: np.ndarray) -> np.ndarray:
             q = np.clip(q, 0.001, 0.999)
             return q / (1 - q)
 
-        left, even = blend(0, self.p[1][x[1]]), self.prior / (1 - self.prior)
+        left, even = blend(0, lw, self.p[1][ls]), self.prior / (1 - self.prior)
         if self.joint:
-            by_class = self.p[5][x[5]]
+            by_class = self.p[5][rc]
             both = odds(left) * odds(by_class) / even
-            o = odds(blend(4, both / (1 + both))) * odds(blend(2, by_class)) / odds(by_class)
+            o = odds(blend(4, with_class(lw, rc), both / (1 + both))) * odds(blend(2, rw, by_class)) / odds(by_class)
         else:
-            o = odds(left) * odds(blend(2, self.p[3][x[3]])) / even
+            o = odds(left) * odds(blend(2, rw, self.p[3][rs])) / even
         return o / (1 + o)
 
-
-def _side_counts(batches: Iterator[pd.DataFrame], model: Model | None) -> Iterator[pd.DataFrame]:
+    def events(self, d: Packed) -> np.ndarray:
+        """Posterior of a boundary at every site, by forward-backward over each block, all blocks at once."""
+        x = d.sites
+        right = (x["rw"], x["rs"], x["rc"])
+        after = self.posterior(x["lw"], x["ls"], *right)  # the event before was a boundary
+        other = np.flatnonzero(x["ilw"] >= 0)
+        inside = after.copy()
+        inside[other] = self.posterior(x["ilw"][other], x["ils"][other], *(r[other] for r in right))
+        size = d.blocks["n_sites"].astype(np.int64)
+        first = np.cumsum(size) - size
+        ahead, back = np.empty((len(after), 2)), np.ones((len(after), 2))
+        order = np.argsort(-size, kind="stable")
+        lengths = -size[order]
+        state = np.tile([0.0, 1.0], (len(size), 1))
+        steps = int(size.max()) if len(size) else 0
+        live = [int(np.searchsorted(lengths, -i, "left")) for i in range(steps)]  # blocks with more than i sites
+        for i in range(steps):
+            b = order[: live[i]]
+            at = first[b] + i
+            yes = state[b, 0] * inside[at] + state[b, 1] * after[at]
+            state[b] = ahead[at] = np.stack([1 - yes, yes], 1)
+        for i in range(steps - 2, -1, -1):
+            b = order[: live[i + 1]]
+            at = first[b] + i
+            v0 = (1 - inside[at + 1]) * back[at + 1, 0] + inside[at + 1] * back[at + 1, 1]
+            v1 = (1 - after[at + 1]) * back[at + 1, 0] + after[at + 1] * back[at + 1, 1]
+            back[at] = np.stack([v0, v1], 1) / (v0 + v1)[:, None]
+        both = ahead * back
+        return both[:, 1] / both.sum(axis=1) if len(both) else after
+
+
+def _side_counts(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     """Sums by side and slot: sites, edges, expected boundaries. Shapes are counted from rare words once those are known."""
     sums = [np.zeros((z, 3)) for z in SIZES]
-    for d in batches:
-        slots = d[list(SIDES)].to_numpy()
-        site = (slots[:, 0] >= 0) & (slots[:, 2] >= 0)
-        n = d["n"].to_numpy(float)
-        p = np.zeros(len(d))
-        if model is not None and site.any():
-            p[site] = model.posterior(slots[site])
-        for k in range(len(SIDES)):
-            here = slots[:, k] >= 0
-            if model is not None and k in (1, 3):
-                here &= model.n[k - 1][slots[:, k - 1]] < RARE
-            np.add.at(sums[k], slots[here, k], np.stack([n * site, n * ~site, n * p], 1)[here])
+
+    def add(k: int, kind: int, slot: np.ndarray, weight: np.ndarray | None = None) -> None:
+        if len(slot):
+            at, inverse = np.unique(slot, return_inverse=True)
+            sums[k][at, kind] += np.bincount(inverse, weight, len(at))
+
+    for b in batches:
+        for data in b.column("data").to_pylist():
+            d = Packed.read(data)
+            x, e = d.sites, d.blocks
+            p = np.zeros(len(x["lw"])) if model is None else model.events(d)
+            slots = (x["lw"], x["ls"], x["rw"], x["rs"], with_class(x["lw"], x["rc"]), x["rc"])
+            edge = {0: e["lw"][e["lw"] >= 0], 1: e["ls"][e["lw"] >= 0], 2: e["rw"], 3: e["rs"]}
+            for k, slot in enumerate(slots):
+                on, rim = slot, edge.get(k, np.zeros(0, int))
+                weight = p
+                if model is not None and k in (1, 3):
+                    rare = model.n[k - 1][slots[k - 1]] < RARE
+                    on, weight = slot[rare], p[rare]
+                    words = edge[k - 1]
+                    rim = rim[model.n[k - 1][words] < RARE]
+                add(k, 0, on)
+                add(k, 1, rim)
+                add(k, 2, on, weight)
     for k, t in enumerate(sums):
         at = np.flatnonzero(t.any(axis=1))
         if len(at):
-            yield pd.DataFrame({"kind": k, "slot": at, "sites": t[at, 0], "edges": t[at, 1], "expected": t[at, 2]})
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), *[pa.array(t[at, i]) for i in range(3)]], names=["kind", "slot", "sites", "edges", "expected"])
 
 
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """The model from all documents: one pass over the texts, then re-estimation over the counted kinds."""
-    spark = docs.sparkSession
-    events = docs.select(F.col(text).alias("text")).filter("text is not null").mapInArrow(_events, EVENT_DDL)
-    kinds = cut(events.groupBy(*SIDES).agg(F.sum("n").alias("n")))
+def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents' possible boundaries, read once and written."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
+    return cut(rows.mapInArrow(_packs, "data binary"))
+
+
+def fit(packs: DataFrame) -> Model:
+    """The model from all documents' possible boundaries: two counts, then passes of expected counts."""
+    spark = packs.sparkSession
     strong = sorted({_slot(f"T{c}", SHAPES) for c in STRONG})
     model = None
     rho = rho_right = 1.0
     for step in range(2 + PASSES):
         shared = spark.sparkContext.broadcast(model)
-        rows = kinds.mapInPandas(lambda it, shared=shared: _side_counts(it, shared.value), "kind int, slot int, sites double, edges double, expected double")
+        rows = packs.mapInArrow(lambda it, shared=shared: _side_counts(it, shared.value), "kind int, slot int, sites double, edges double, expected double")
         # at most sum(SIZES) rows, whatever the corpus
         sums = rows.groupBy("kind", "slot").agg(F.sum("sites").alias("sites"), F.sum("edges").alias("edges"), F.sum("expected").alias("expected"))
         got = sums.filter(f"kind in (1, 3, 5) or sites + edges >= {SEEN}").toArrow().to_pandas()
@@ -430,58 +528,35 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
-def posteriors(found: list[Site], model: Model) -> np.ndarray:
-    """Forward-backward over the events of a block."""
-    n = len(found)
-    p1 = model.posterior(np.array([event(s.left, s.right) for s in found]))
-    if all(s.inner is None for s in found):
-        return p1
-    p0 = model.posterior(np.array([event(s.inner or s.left, s.right) for s in found]))
-    move = np.stack([np.stack([1 - p0, p0], 1), np.stack([1 - p1, p1], 1)], 1)  # event, before, now
-    ahead = np.zeros((n, 2))
-    back = np.ones((n, 2))
-    state = np.array([0.0, 1.0])
-    for i in range(n):
-        state = state @ move[i]
-        ahead[i] = state = state / state.sum()
-    for i in range(n - 2, -1, -1):
-        v = move[i + 1] @ back[i + 1]
-        back[i] = v / v.sum()
-    both = ahead * back
-    return both[:, 1] / both.sum(axis=1)
-
-
-def units(text: str | None, model: Model) -> list[tuple[int, int]]:
-    """(start, end) of the sentence units, without outer white space; nothing for null, empty or blank texts."""
-    out: list[tuple[int, int]] = []
-    for s, e, whole in blocks(text or ""):
-        found = [] if whole else sites(text, s, e)
-        at = s
-        if found:
-            for site, p in zip(found, posteriors(found, model)):
-                if p >= 0.5:
-                    out.append((at, site.end))
-                    at = site.next
-        out.append((at, e))
-    return out
+def units(d: Packed, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, start, end) of all sentence units, without outer white space."""
+    n_sites = d.blocks["n_sites"].astype(np.int64)
+    of = np.repeat(np.arange(len(n_sites)), n_sites)
+    hit = np.flatnonzero(model.events(d) >= 0.5)
+    in_block = np.bincount(of[hit], minlength=len(n_sites)).astype(np.int64)
+    through = np.cumsum(in_block)
+    block = np.arange(len(n_sites))
+    start, end = np.empty(len(block) + len(hit), np.int64), np.empty(len(block) + len(hit), np.int64)
+    start[block + through - in_block] = d.blocks["start"]
+    end[block + through] = d.blocks["end"]
+    k = of[hit] + np.arange(len(hit))
+    end[k] = d.sites["end"][hit]
+    start[k + 1] = d.sites["next"][hit]
+    return np.repeat(np.repeat(d.ids, d.n_blocks), in_block + 1), start, end
 
 
 def split(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_pos, end_pos) of every sentence unit of every document, in code points.
 
-    Null, empty and blank texts have no units. Repeated document rows give repeated units.
+    Null, empty and blank texts have no units. Repeated document rows give repeated units. A null id reads as 0.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, text))
+    packs = packed(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"), F.col(text).alias("text")))
+    model = docs.sparkSession.sparkContext.broadcast(fit(packs))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, starts, ends = [], [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for s, e in units(t, model.value):
-                    ids.append(i)
-                    starts.append(s)
-                    ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "start_pos", "end_pos"])
+            for data in b.column("data").to_pylist():
+                i, s, e = units(Packed.read(data), model.value)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "start_pos", "end_pos"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
-    return rows.mapInArrow(decode, "doc_id long, start_pos int, end_pos int")
+    return packs.mapInArrow(decode, "doc_id long, start_pos int, end_pos int")

@@ -15,8 +15,7 @@ from gridloom.llm import cooccur, leak, packing, quantiles, sentences
 # ------------------------------------------------------------------------------------------------ stripes
 
 
-def test_pairs_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cooccur, "FLUSH_ENTRIES", 7)
+def test_pairs_against_brute_force(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None]), [rng.choice([None, *range(8)]) for _ in range(rng.randrange(6))] if rng.random() > 0.05 else None) for _ in range(400)]
     df = spark.createDataFrame(rows, "g string, i array<int>").withColumn("item", F.lit("clash"))
@@ -28,7 +27,10 @@ def test_pairs_against_brute_force(spark, monkeypatch):
         n[g] += 1
         one.update((g, x) for x in s)
         two.update((g, *p) for p in combinations(s, 2))
+    cut_up = cooccur.cooccurrence(df, "g", "i", wide=3)
     got = cooccur.cooccurrence(df, "g", "i").collect()
+    assert sorted(map(str, cut_up.collect())) == sorted(map(str, got))
+    assert cooccur.cooccurrence(df, "g", "i", least=2.71).count() == sum(r.llr >= 2.71 for r in got)
     assert {(r.grp, r.item_a, r.item_b): (r.both, r.n_a, r.n_b, r.records) for r in got} == {k: (x, one[k[0], k[1]], one[k[0], k[2]], n[k[0]]) for k, x in two.items()}
     r = got[0]
     e = lambda o, p: 0 if o == 0 else o * log(o / p)
@@ -36,6 +38,18 @@ def test_pairs_against_brute_force(spark, monkeypatch):
     assert abs(r.llr - 2 * sum(e(o, p / r.records) for o, p in cells)) < 1e-6
 
 
+def test_stripes_are_flushed_and_merged_in_any_order():
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), sorted(rng.sample(range(9), rng.randrange(9)))) for _ in range(120)]
+    want = Counter((g, i, j) for g, s in rows for k, i in enumerate(s) for j in s[k:]) + Counter((g, -1, -1) for g, _ in rows)
+    batches = [pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows[k : k + 50]]), pa.array([s for _, s in rows[k : k + 50]], pa.list_(pa.int64()))], names=["grp", "items"]) for k in (0, 50, 100)]
+    for most, pairs in ((7, 5), (500_000, 2_000_000)):
+        made = pa.Table.from_batches(list(cooccur._stripes(iter(batches), most, pairs))).sort_by([("grp", "ascending"), ("item", "ascending")])
+        merged = list(cooccur._merge(iter(made.to_batches(max_chunksize=3)), most))
+        got = [(g, i, j, n) for b in merged for g, i, js, ns in zip(*(c.to_pylist() for c in b.columns)) for j, n in zip(js, ns)]
+        assert len(got) == len(want) and {x[:3]: x[3] for x in got} == dict(want)
+
+
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([("a", []), ("a", [3, 3])], "g string, i array<int>")
     assert cooccur.cooccurrence(df, "g", "i").count() == 0
@@ -173,6 +187,28 @@ def test_leaks_against_brute_force(spark):
     assert leak.leaks(df.limit(0), it).count() == 0 and leak.leaks(df, it.limit(0)).count() == 0
 
 
+def test_leak_radius():
+    """One altered word leaves one block of a window's fingerprint equal and may move many bits of the other, and the
+    weighted similarity keeps every such window."""
+    rng = random.Random(12)
+    text = words(rng, 40)
+    index = leak.Index([(1, " ".join(text)), (2, " ".join(words(rng, 40))), (3, " ".join(text[:20]))])
+    own = leak.blocks(text, False)
+    moved = []
+    for _ in range(300):
+        a, k = rng.randrange(40 - 18 + 1), rng.randrange(18)
+        doc = [*words(rng, 7), *text[a : a + 18], *words(rng, 7)]
+        doc[7 + k] = words(rng, 1)[0]
+        b = leak.blocks(doc, False)
+        apart = [bin(int(b[7 + h]) ^ int(own[a + h])).count("1") for h in (0, 9)]
+        assert min(apart) == 0
+        moved.append(max(apart))
+        assert leak.held_items(" ".join(doc), index)[1] == 18
+    assert max(moved) > 5
+    # equal words in another order share a block, not the shingles
+    assert leak.held_items(" ".join(sorted(text[:9]) + text[9:17]), index) == {}
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     rng = random.Random(10)
     items = [(k, " ".join(words(rng, 30))) for k in range(9)]
@@ -244,7 +280,8 @@ def test_no_documents(spark):
 def test_long_text_without_end():
     m = sentences.Model([np.full(z, 0.5, np.float32) for z in sentences.SIZES], [np.zeros(z, np.float32) for z in sentences.SIZES], 0.5, True)
     t = "word " * 200_000
-    assert sentences.units(t, m) == [(0, len(t) - 1)]
+    _, start, end = sentences.units(sentences.Packed.read(sentences.pack([(1, t)])), m)
+    assert list(zip(start, end)) == [(0, len(t) - 1)]
 
 
 def test_heading_lines_and_line_ends():
