@@ -408,6 +408,10 @@ class Model:
     prior: float
     joint: bool
 
+    def __reduce__(self) -> tuple:
+        """Shipped compressed: most slots are empty, and every worker keeps a copy on disk."""
+        return _unpacked_model, (zlib.compress(b"".join(a.astype(np.float32).tobytes() for a in [*self.p, *self.n]), 1), self.prior, self.joint)
+
     def posterior(self, lw: np.ndarray, ls: np.ndarray, rw: np.ndarray, rs: np.ndarray, rc: np.ndarray) -> np.ndarray:
         """By Bayes, P(right | b) / P(right | no b) is the odds of b given the right side over the prior odds."""
 
@@ -459,6 +463,12 @@ class Model:
         return both[:, 1] / both.sum(axis=1) if len(both) else after
 
 
+def _unpacked_model(data: bytes, prior: float, joint: bool) -> Model:
+    flat = np.frombuffer(zlib.decompress(data), np.float32)
+    tables = np.split(flat, np.cumsum(SIZES * 2)[:-1])
+    return Model(tables[: len(SIZES)], tables[len(SIZES) :], prior, joint)
+
+
 def _side_counts(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     """Sums by side and slot: sites, edges, expected boundaries. Shapes are counted from rare words once those are known."""
     sums = [np.zeros((z, 3)) for z in SIZES]
@@ -510,6 +520,7 @@ def fit(packs: DataFrame) -> Model:
         # at most sum(SIZES) rows, whatever the corpus
         sums = rows.groupBy("kind", "slot").agg(F.sum("sites").alias("sites"), F.sum("edges").alias("edges"), F.sum("expected").alias("expected"))
         got = sums.filter(f"kind in (1, 3, 5) or sites + edges >= {SEEN}").toArrow().to_pandas()
+        shared.destroy()  # the next pass has its own
         tables = []
         for k, z in enumerate(SIZES):
             t = np.zeros((z, 3))
