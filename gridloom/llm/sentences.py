@@ -53,6 +53,7 @@ STRONG = "!?。！？؟।॥｡։۔።။"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "［": "］", "【": "】", "《": "》", "〈": "〉", "‹": "›"}
 CLOSERS = "”»」』)）]］】》〉›\""
 
+_BRACKETS = frozenset("".join(PAIRS) + CLOSERS)
 _TOKEN = re.compile("[" + re.escape(MARKS) + "]+|[" + re.escape("".join(PAIRS) + CLOSERS) + "]")
 _SPACED = re.compile("[" + re.escape(MARKS) + "]+|[" + re.escape("".join(PAIRS) + CLOSERS) + r"]|\s+")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*|\f")
@@ -150,6 +151,10 @@ def _word_key(w: str) -> str:
 
 def left_keys(text: str, start: int, mark_at: int, mark: str) -> tuple[str, str]:
     """Keys of what stands before a sentence mark: the word with it where the mark is a stop, else the mark."""
+    if mark == "." and mark_at > start and text[mark_at - 1].isascii() and text[mark_at - 1].isalnum():  # the common case
+        chunk = text[max(start, mark_at - 40) : mark_at]
+        m = _LEFT.search(chunk.rsplit(None, 1)[-1])
+        return _stop_keys(_GLUED.split(m.group())[-1], ".")
     kind = mark if len(mark) == 1 and mark != "…" else "..." if set(mark) <= {".", "…"} else mark[0] if mark[0] in STRONG else mark[-1]
     if kind not in (".", "..."):
         return f"T{kind}", f"T{kind}"
@@ -159,11 +164,23 @@ def left_keys(text: str, start: int, mark_at: int, mark: str) -> tuple[str, str]
         return f"L{text[mark_at - 1 : mark_at]}{kind}", f"L){kind}"
     if _DENSE.match(w[-1]):
         return f"Ld{kind}", f"Ld{kind}"
+    return _stop_keys(w, kind)
+
+
+@lru_cache(200_000)
+def _stop_keys(w: str, kind: str) -> tuple[str, str]:
     return f"L{_word_key(w)}{kind}", f"L{_shape(w)}{kind}"
 
 
+@lru_cache(200_000)
+def _word_keys(lead: str, w: str) -> tuple[str, str]:
+    return f"R{lead}{_word_key(w)}", f"R{lead}{_shape(w)}"
+
+
 def right_keys(text: str, at: int, end: int, unmarked: bool = False) -> tuple[str, str]:
     """Keys of what stands after a possible boundary: openers, then the word (its first letters in dense scripts)."""
+    if not unmarked and at < end and text[at].isascii() and text[at].isalnum():  # the common case
+        return _word_keys("", _RIGHT.match(text, at, min(end, at + 40)).group().rstrip(_TRIM))
     lead = "~" if unmarked else ""
     while at < end and not text[at].isalnum() and not text[at].isspace() and len(lead) < 4:
         lead += text[at]
@@ -177,7 +194,7 @@ def right_keys(text: str, at: int, end: int, unmarked: bool = False) -> tuple[st
     w = m.group().rstrip(_TRIM) if m else ""
     if lead.startswith(("...", "…")):
         lead = "..."
-    return f"R{lead}{_word_key(w)}", f"R{lead}{_shape(w)}"
+    return _word_keys(lead, w)
 
 
 def _blank_keys(text: str, start: int, at: int) -> tuple[str, str]:
@@ -209,9 +226,7 @@ def sites(text: str, start: int, end: int) -> list[Site]:
     # matched pairs, outermost only
     stack: list[tuple[int, str]] = []
     outer: dict[int, int] = {}
-    for a, _, t in tokens:
-        if t[0] in MARKS or t[0].isspace():
-            continue
+    for a, t in [(a, t) for a, _, t in tokens if t in _BRACKETS]:
         if t == '"':
             hit = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == '"'), -1)
             if hit < 0:
