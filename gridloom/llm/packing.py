@@ -111,6 +111,18 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, doc_id: str = "doc_id", t
     return dealt.groupBy("shard").applyInPandas(place, "container_id long, doc_id long, piece_no long, start_token long, n_tokens long")
 
 
+def placed(packed: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+    """(doc_id, copies, sound): how many rows of a document were placed, and whether their pieces are in order, without
+    gaps, full but for the last, and lie in containers that keep to the capacity."""
+    packed = cut(packed)
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).filter(F.col("t") > capacity).select("container_id", F.lit(True).alias("over"))
+    d = packed.join(over, "container_id", "left")
+    places = d.groupBy("doc_id", "piece_no").agg(F.count("*").alias("n"), F.min("start_token").alias("a"), F.max("start_token").alias("b"), F.max("n_tokens").alias("most"), F.max(F.coalesce("over", F.lit(False))).alias("over"))
+    fine = (F.col("a") == F.col("piece_no") * capacity) & (F.col("b") == F.col("a")) & (F.col("most") <= capacity) & ~F.col("over")
+    g = places.groupBy("doc_id").agg(F.max("n").alias("copies"), F.count("*").alias("pieces"), F.max("piece_no").alias("last"), F.min(fine).alias("fine"), F.sum(F.col("most")).alias("tokens"))
+    return g.select("doc_id", "copies", (F.col("fine") & (F.col("pieces") == F.col("last") + 1) & (F.col("pieces") == F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1)))).alias("sound"))
+
+
 def usage(packed: DataFrame, *, capacity: int = CAPACITY, quadratic: float = QUADRATIC) -> DataFrame:
     """Per container: its pieces, tokens, unused tokens and cost."""
     n = F.col("n_tokens")

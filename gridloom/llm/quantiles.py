@@ -5,7 +5,11 @@ level have come together they collapse into one of the next level, which keeps t
 positions of their weighted merge and carries their summed weight. One collapse moves a rank by at most half its
 spacing, and the tree keeps the number of collapses over any value at the logarithm of the count, so the rank
 error stays below levels / (2 * size) of the count; each state carries its own exact bound. States of tasks,
-days, worlds or probes are merged in the same way, in any order, without going back to the values.
+days, worlds or probes are merged in the same way, without going back to the values.
+
+Results do not depend on how the input is partitioned: rows are put into buckets by the hash of their own id, each
+bucket becomes states by itself, and states are merged bucket by bucket along a fixed tree, in an order that follows
+from their content.
 """
 
 from __future__ import annotations
@@ -14,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import checked_broadcast
+
 SIZE, FAN = 512, 8
-#: Rows that a task gathers before it folds them; a bound on its memory.
-CHUNK = 300_000
-#: With more shuffle partitions than this, states are first merged in salted groups.
-SALT_FROM, SALTS = 256, 32
+#: Rows of a bucket, which a task gathers before it folds them, and buckets whose states are merged at a time.
+BUCKET_ROWS, TREE = 1 << 18, 256
 
 STATE_DDL = "by string, key string, metric string, level int, weight double, err double, vals array<double>"
 _TYPES = [("by", pa.string()), ("key", pa.string()), ("metric", pa.string()), ("level", pa.int32()), ("weight", pa.float64()), ("err", pa.float64()), ("vals", pa.list_(pa.float64()))]
@@ -124,42 +128,60 @@ def _fold_groups(by: str, metric: str, codes: np.ndarray, names: np.ndarray, val
         yield _batch(rows)
 
 
-def sketch(df: DataFrame, groups: dict[str, str], metrics: list[str], *, size: int = SIZE, absent: float | None = None) -> DataFrame:
-    """States (see STATE_DDL) of every metric per group, one or more rows per task.
+def buckets_for(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Number of buckets for so many rows: a power of two, whatever the cluster."""
+    return 1 << max(0, (max(rows, 1) - 1) // bucket_rows).bit_length()
+
 
-    groups: name of a grouping to the column that holds its key (any type, shown as text). Rows with a null key
-    are left out of that grouping; null, NaN and ``absent`` values do not count.
+def sketch(df: DataFrame, groups: dict[str, str | Column], metrics: list[str], *, row: list[str], buckets: int = 1, size: int = SIZE, absent: float | None = None) -> DataFrame:
+    """States (STATE_DDL and the column ``part``, the bucket) of every metric per group.
+
+    groups: name of a grouping to its key, a column or an expression (any type, shown as text). row: columns that tell
+    rows apart; their hash gives the bucket. Rows with a null key are left out of that grouping; null, NaN and
+    ``absent`` values do not count. One shuffle, by bucket, so a group with a third of all rows is spread evenly.
     """
-    need = df.select(*[F.col(c).cast("string").alias(f"g{i}") for i, c in enumerate(groups.values())], *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metrics)])
+    used = {c for c in groups.values() if isinstance(c, str)} | set(metrics)
+    kept = df.select(*(sorted(used) if all(isinstance(c, str) for c in groups.values()) else df.columns), F.pmod(F.xxhash64(*row), F.lit(buckets)).cast("int").alias("_part"))
+    kept = kept.repartition("_part").sortWithinPartitions("_part")
+    need = kept.select("_part", *[(F.col(c) if isinstance(c, str) else c).cast("string").alias(f"g{i}") for i, c in enumerate(groups.values())], *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metrics)])
+
+    names_of = list(groups)  # the expressions themselves stay on the driver
+
+    def states(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for i, by in enumerate(names_of):
+            d = t.column(f"g{i}").combine_chunks()
+            d = d.dictionary_encode() if not pa.types.is_dictionary(d.type) else d
+            d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+            codes = d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            names = np.asarray(d.dictionary.to_pylist(), dtype=object)
+            for j, m in enumerate(metrics):
+                v = t.column(f"m{j}").to_numpy().astype(float)
+                if absent is not None:
+                    v = np.where(v == absent, np.nan, v)
+                yield from _fold_groups(by, m, codes, names, v, size)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        now = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            for i, by in enumerate(groups):
-                d = t.column(f"g{i}").combine_chunks()
-                d = d.dictionary_encode() if not pa.types.is_dictionary(d.type) else d
-                d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
-                codes = d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                names = np.asarray(d.dictionary.to_pylist(), dtype=object)
-                for j, m in enumerate(metrics):
-                    v = t.column(f"m{j}").to_numpy().astype(float)
-                    if absent is not None:
-                        v = np.where(v == absent, np.nan, v)
-                    yield from _fold_groups(by, m, codes, names, v, size)
+            if held:
+                for b in states(pa.Table.from_batches(held).combine_chunks()):
+                    yield b.append_column("part", pa.array(np.full(b.num_rows, now, np.int32)))
 
         for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= CHUNK:
-                yield from flush()
-                held, rows = [], 0
-        if rows:
-            yield from flush()
+            part = b.column("_part").to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+            for a, z in zip(edges[:-1], edges[1:]):
+                if a == z:
+                    continue
+                if part[a] != now:
+                    yield from flush()
+                    held, now = [], int(part[a])
+                held.append(b.slice(a, z - a))
+        yield from flush()
 
-    return need.mapInArrow(fold, STATE_DDL)
+    return need.mapInArrow(fold, STATE_DDL + ", part int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple[int, float, float, np.ndarray]]]]:
@@ -191,8 +213,13 @@ def _folded(held: list[tuple[int, float, float, np.ndarray]], size: int = SIZE)
     return state
 
 
-def combine(states: DataFrame) -> DataFrame:
-    """States merged to few buffers per (by, key, metric); columns beside STATE_DDL's (days, probes) are dropped."""
+def combine(states: DataFrame, buckets: int = 1) -> DataFrame:
+    """States merged to few buffers per (by, key, metric), whole in one partition and in order; columns beside
+    STATE_DDL's (days, probes) are dropped.
+
+    With more than TREE buckets (column ``part``), the states of so many buckets are merged first, level by level, so
+    a group that is in all of them never comes together in one task. The order of merging follows from the content.
+    """
     names = [n for n, _ in _TYPES]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,20 +232,47 @@ def combine(states: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    s = states.select(*names)
+    def merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # runs of one part at a time; the part goes on with the merged states
+        for part, run in _by_part(batches):
+            for b in merge(iter(run)):
+                yield b.append_column("part", pa.array(np.full(b.num_rows, part, np.int32)))
+
     keys = ["by", "key", "metric"]
-    if int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")) > SALT_FROM:  # a hot group's states from very many tasks
-        s = s.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition(*keys, "salt").sortWithinPartitions(*keys).select(*names).mapInArrow(merge, STATE_DDL)
-    return s.repartition(*keys).sortWithinPartitions(*keys, "level").mapInArrow(merge, STATE_DDL)
+    content = ["level", "weight", F.xxhash64("vals")]
+    s = states
+    while buckets > TREE:
+        buckets = -(-buckets // TREE)
+        s = s.select(*names, F.floor(F.col("part") / TREE).cast("int").alias("part"))
+        s = s.repartition(*keys, "part").sortWithinPartitions("part", *keys, *content).mapInArrow(merge_parts, STATE_DDL + ", part int")
+    return s.select(*names).repartition(*keys).sortWithinPartitions(*keys, *content).mapInArrow(merge, STATE_DDL)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Runs of equal ``part``, cut also between groups of keys once they are long."""
+    now, held = None, []
+    for b in batches:
+        part = b.column("part").to_numpy()
+        edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+        for a, z in zip(edges[:-1], edges[1:]):
+            if a == z:
+                continue
+            if held and part[a] != now:
+                yield now, held
+                held = []
+            now = int(part[a])
+            held.append(b.slice(a, z - a))
+    if held:
+        yield now, held
 
 
-def percentiles(states: DataFrame, fractions: list[float]) -> DataFrame:
+def percentiles(states: DataFrame, fractions: list[float], buckets: int = 1) -> DataFrame:
     """(by, key, metric, n, rank_error, fraction columns q<percent>) from states; merges them first.
 
     rank_error is the proven bound as a share of n; 0 where all values were kept, and the values then agree
     with linear interpolation between order statistics.
     """
-    cols = [f"q{100 * f:g}".replace(".", "_") for f in fractions]
+    cols = [_name(f) for f in fractions]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = np.array(fractions)
@@ -232,26 +286,49 @@ def percentiles(states: DataFrame, fractions: list[float]) -> DataFrame:
 
     ddl = "by string, key string, metric string, n double, rank_error double, " + ", ".join(f"{c} double" for c in cols)
     # combine leaves each group whole and sorted in one partition
-    return combine(states).mapInArrow(finish, ddl).withColumn("n", F.round("n").cast("long"))
+    return combine(states, buckets).mapInArrow(finish, ddl).withColumn("n", F.round("n").cast("long"))
+
+
+def _name(f: float) -> str:
+    return f"q{100 * f:g}".replace(".", "_")
+
+
+def within_bounds(values: DataFrame, found: DataFrame, fractions: list[float]) -> DataFrame:
+    """(by, key, metric, n, within): whether every reported percentile lies within its own bound of its exact rank.
+
+    values: (by, key, metric, value), one row per value and grouping; found: from ``percentiles``. Two ranks more are
+    granted, as values between two ranks are read in between. Counts only, folded before the shuffle.
+    """
+    keys = ["by", "key", "metric"]
+    j = values.join(checked_broadcast(found.select(*keys, "rank_error", *[_name(f) for f in fractions])), keys)
+    sides = [c for f in fractions for c in (F.count_if(F.col("value") < F.col(_name(f))).alias(f"a_{_name(f)}"), F.count_if(F.col("value") <= F.col(_name(f))).alias(f"b_{_name(f)}"))]
+    g = j.groupBy(*keys).agg(F.count("*").alias("n"), F.max("rank_error").alias("e"), *sides)
+    slack = F.col("e") * F.col("n") + 2
+    ok = F.lit(True)
+    for f in fractions:
+        ok = ok & (F.col(f"a_{_name(f)}") <= f * F.col("n") + slack) & (F.col(f"b_{_name(f)}") >= f * F.col("n") - slack)
+    return g.select(*keys, "n", ok.alias("within"))
 
 
-def table_states(tables: DataFrame, *, family: str = "family", samples: str = "samples", pcts: str = "quantile_pcts", vals: str = "quantile_vals", size: int = SIZE) -> DataFrame:
+def table_states(tables: DataFrame, *, family: str = "family", samples: str = "samples", pcts: str = "quantile_pcts", vals: str = "quantile_vals", lo: str | None = None, hi: str | None = None, size: int = SIZE) -> DataFrame:
     """States from measured quantile tables: each stands for ``samples`` values spread along its quantile curve.
 
     Entries with a null or NaN on either side are left out, the rest sorted by percent; percents of which none
-    exceeds 1 are on a 0..1 scale. A table without usable entries has no state; one without a positive count
+    exceeds 1 are on a 0..1 scale, unless the least and greatest value (columns ``lo`` and ``hi``, if given) show that
+    the last entry is the low end of a percent scale. A table without usable entries has no state; one without a positive count
     counts as its number of entries. The table's widest gap adds to the error bound.
     """
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for name, n, p, v in zip(*[b.column(c).to_pylist() for c in ("family", "samples", "pcts", "vals")]):
+            for name, n, p, v, low, high in zip(*[b.column(c).to_pylist() for c in ("family", "samples", "pcts", "vals", "lo", "hi")]):
                 pairs = sorted((x, y) for x, y in zip(p or [], v or []) if x is not None and y is not None and x == x and y == y)
                 if not pairs or name is None:
                     continue
                 x, y = np.array(pairs).T
-                if x[-1] <= 1.0:
+                cut_off = low is not None and high is not None and abs(y[-1] - low) < abs(y[-1] - high)
+                if x[-1] <= 1.0 and not cut_off:
                     x = x * 100
                 n = float(n) if n and n > 0 else float(len(x))
                 points = np.interp((np.arange(size) + 0.5) * 100 / size, x, np.maximum.accumulate(y))
@@ -260,5 +337,5 @@ def table_states(tables: DataFrame, *, family: str = "family", samples: str = "s
                 rows.append(("family", name, "value", level, n / size, n * gap / 2, points))
             yield _batch(rows)
 
-    need = tables.select(F.col(family).alias("family"), F.col(samples).cast("double").alias("samples"), F.col(pcts).cast("array<double>").alias("pcts"), F.col(vals).cast("array<double>").alias("vals"))
+    need = tables.select(F.col(family).alias("family"), F.col(samples).cast("double").alias("samples"), F.col(pcts).cast("array<double>").alias("pcts"), F.col(vals).cast("array<double>").alias("vals"), *[(F.col(c).cast("double") if c else F.lit(None).cast("double")).alias(n) for c, n in ((lo, "lo"), (hi, "hi"))])
     return need.mapInArrow(turn, STATE_DDL)

@@ -80,27 +80,44 @@ def test_states_keep_their_bound():
         assert max(rank_off(values, x, y) for x, y in zip(q, f)) <= err / n + 1e-9
 
 
-def test_percentiles_in_spark(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "CHUNK", 900)
+def test_percentiles_in_spark(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=6000)
-    rows = [("big" if k % 3 else "small" if k % 30 == 0 else None, float(v[k]) if k % 50 else float("nan"), k % 7) for k in range(6000)] + [("none", -9999.0, 1), ("none", None, 1)]
-    df = spark.createDataFrame(rows, "g string, x double, d int").withColumn("key", F.lit("clash")).repartition(5)
-    st = quantiles.sketch(df, {"g": "g", "day": "d"}, ["x"], absent=-9999.0)
-    got = {(r["by"], r["key"]): r for r in quantiles.percentiles(st, [0.1, 0.5]).collect()}
+    rows = [(k, "big" if k % 3 else "small" if k % 30 == 0 else None, float(v[k]) if k % 50 else float("nan"), k % 7) for k in range(6000)] + [(-1, "none", -9999.0, 1), (-2, "none", None, 1)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, d int").withColumns({"key": F.lit("clash"), "part": F.lit(9)})
+    found = {}
+    for parts in (1, 5):
+        st = quantiles.sketch(df.repartition(parts), {"g": "g", "day": F.col("d")}, ["x"], row=["id"], buckets=8, absent=-9999.0)
+        found[parts] = quantiles.percentiles(st.repartition(parts + 2), [0.1, 0.5], 8)
+    got = {(r["by"], r["key"]): r for r in found[1].collect()}
+    assert got == {(r["by"], r["key"]): r for r in found[5].collect()}  # whatever the partitions
     assert ("g", "none") not in got and set(k for b, k in got if b == "day") == {str(i) for i in range(7)}
     for g in ("big", "small"):
-        own = np.array([x for a, x, _ in rows if a == g and x == x])
+        own = np.array([x for _, a, x, _ in rows if a == g and x == x])
         r = got["g", g]
         assert r.n == len(own) and rank_off(own, r.q50, 0.5) <= r.rank_error + 1e-9
         if g == "small":
             assert r.rank_error == 0 and abs(r.q50 - np.quantile(own, 0.5)) < 1e-12
-    assert quantiles.percentiles(quantiles.sketch(df.limit(0), {"g": "g"}, ["x"]), [0.5]).count() == 0
+    values = df.filter("g is not null and x is not null and not isnan(x) and x <> -9999").select(F.lit("g").alias("by"), F.col("g").alias("key"), F.lit("x").alias("metric"), F.col("x").alias("value"))
+    assert {r["key"]: r.within for r in quantiles.within_bounds(values, found[1], [0.1, 0.5]).collect()} == {"big": True, "small": True}
+    off = found[1].withColumn("q50", F.col("q50") + 0.5)
+    assert not any(r.within for r in quantiles.within_bounds(values, off, [0.1, 0.5]).collect())
+    assert quantiles.percentiles(quantiles.sketch(df.limit(0), {"g": "g"}, ["x"], row=["id"]), [0.5]).count() == 0
+
+
+def test_states_merge_along_a_tree(spark, monkeypatch):
+    df = spark.range(30_000).select("id", F.lit("k").alias("g"), F.sin("id").alias("x"))
+    st = quantiles.sketch(df, {"g": "g"}, ["x"], row=["id"], buckets=64, size=64).repartition(3)
+    monkeypatch.setattr(quantiles, "TREE", 4)
+    r = quantiles.percentiles(st, [0.5], 64).first()
+    own = np.sin(np.arange(30_000))
+    assert r.n == 30_000 and rank_off(own, r.q50, 0.5) <= r.rank_error < 0.2
+    assert quantiles.buckets_for(1) == quantiles.buckets_for(quantiles.BUCKET_ROWS) == 1 and quantiles.buckets_for(5 * quantiles.BUCKET_ROWS) == 8
 
 
 def test_states_combine_over_days(spark):
-    df = spark.range(20_000).select(F.lit("k").alias("g"), (F.col("id") % 10).alias("day"), F.rand(4).alias("x"))
-    days = [quantiles.sketch(df.filter(F.col("day") == d), {"g": "g"}, ["x"]) for d in range(10)]
+    df = spark.range(20_000).select("id", F.lit("k").alias("g"), (F.col("id") % 10).alias("day"), F.rand(4).alias("x"))
+    days = [quantiles.sketch(df.filter(F.col("day") == d), {"g": "g"}, ["x"], row=["id"]) for d in range(10)]
     all_days = days[0]
     for d in days[1:]:
         all_days = all_days.unionByName(d)
