@@ -216,10 +216,10 @@ def is_unmarked(part: str) -> bool:
     return bool(_UNMARKED.search(part)) and len(_UNMARKED.findall(part)) * 3 > len(part)
 
 
-def sites(text: str, start: int, end: int) -> list[Site]:
+def sites(text: str, start: int, end: int, unmarked: bool | None = None) -> list[Site]:
     """The possible boundaries inside a block. What stands between matched quotes or brackets is passed over."""
     part = text[start:end]
-    unmarked = is_unmarked(part)
+    unmarked = is_unmarked(part) if unmarked is None else unmarked
     tokens = [(m.start() + start, m.end() + start, m.group()) for m in (_SPACED if unmarked else _TOKEN).finditer(part)]
     if not tokens:
         return []
@@ -354,6 +354,7 @@ def pack(rows: list[tuple[int | None, str]]) -> bytes:
     ids, n_blocks, blocks_, sites_ = [], [], [], []
     for doc_id, text in rows:
         found = blocks(text)
+        marked = not _UNMARKED.search(text)
         ids.append(doc_id)
         n_blocks.append(len(found))
         for s, e, whole in found:
@@ -361,8 +362,9 @@ def pack(rows: list[tuple[int | None, str]]) -> bytes:
             if whole and (m := _BULLET.match(text, s, e)):
                 body = m.end()
             last = last_keys(text, body, e)
-            here = [] if whole else sites(text, s, e)
-            blocks_.append((s, e, len(here), *_SLOTS[right_keys(text, body, e, is_unmarked(text[s:e]))], *(_SLOTS[last] if last else (-1, -1))))
+            unmarked = not marked and is_unmarked(text[s:e])
+            here = [] if whole else sites(text, s, e, unmarked)
+            blocks_.append((s, e, len(here), *_SLOTS[right_keys(text, body, e, unmarked)], *(_SLOTS[last] if last else (-1, -1))))
             for x in here:
                 sites_.append((x.end, x.next, *_SLOTS[x.left], *_SLOTS[x.right], _class(x.right[1]), *(_SLOTS[x.inner] if x.inner else (-1, -1))))
     out = [np.array([len(ids), len(blocks_), len(sites_)], np.int64).tobytes(), np.array(ids, np.int64).tobytes(), np.array(n_blocks, np.int32).tobytes()]
