@@ -18,6 +18,12 @@ LATTICE_X, LATTICE_Z = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+def signed64(v: int) -> int:
+    """The low 64 bits of a number as a signed long."""
+    v &= (1 << 64) - 1
+    return v - (1 << 64) if v >> 63 else v
+
+
 def wrapping_product(v: Column, k: int) -> Column:
     """v * k modulo 2^64, as a signed long."""
     a = [F.shiftrightunsigned(v, 16 * i).bitwiseAND(65535) for i in range(4)]

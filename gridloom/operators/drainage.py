@@ -76,13 +76,6 @@ def flood_tiles(cells: DataFrame, tile: list[str], elev: str = "elev") -> DataFr
     return cells.groupBy(*tile).applyInPandas(run, ddl)
 
 
-def halo(cells: DataFrame, side: int, margin: int) -> DataFrame:
-    """Each cell once per tile whose core or halo holds it: adds tile_i, tile_j and core."""
-    span = lambda x: F.sequence(F.floor((F.col(x) - margin) / side), F.floor((F.col(x) + margin) / side))
-    d = cells.withColumn("tile_i", F.explode(span("r"))).withColumn("tile_j", F.explode(span("c")))
-    return d.withColumn("core", (F.floor(F.col("r") / side) == F.col("tile_i")) & (F.floor(F.col("c") / side) == F.col("tile_j")))
-
-
 def relax_fill(cells: DataFrame, elev: str = "elev", *, sea: float = 0.0, rounds: int = 400, check: int = 4) -> DataFrame:
     """(r, c, filled): the least surface with fill = max(elev, lowest fill around), grown from rim and sea.
 

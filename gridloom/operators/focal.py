@@ -1,30 +1,55 @@
 """Neighbourhood operators on grids in long form, (r, c, value columns), and resampling between grids.
 
-Separable operators run as two window passes, along rows and then along columns, which needs one shuffle per axis
-and no join. Operators over irregular neighbourhoods send each cell to the cells that see it (offset explode) and
-aggregate, so the work is one partial aggregate per cell. Both partition by coordinates, never by the whole grid.
+The grid is cut into square tiles, and each tile is given a rim of the cells around it as wide as the operator
+reaches. Separable operators then run as two window passes inside the tile, along rows and along columns: one shuffle
+in all, by tile, and no task sees more than its tiles, however tall or wide the grid. Operators over irregular
+neighbourhoods send each cell to the cells that see it (offset explode) and aggregate.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 RC = ["r", "c"]
 AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
-def _axis(k: int, along: str, across: str):  # noqa: ANN202
-    return Window.partitionBy(across).orderBy(along).rangeBetween(-k, k)
+#: Cells a side of a tile.
+SIDE = 128
+TILE = ["_i", "_j"]
+
+
+def halo(g: DataFrame, side: int, margin: int) -> DataFrame:
+    """Each cell once per tile whose core or rim holds it: adds tile_i, tile_j and core."""
+    span = lambda x: F.sequence(F.floor((F.col(x) - margin) / side), F.floor((F.col(x) + margin) / side))
+    d = g.withColumn("tile_i", F.explode(span("r"))).withColumn("tile_j", F.explode(span("c")))
+    return d.withColumn("core", (F.floor(F.col("r") / side) == F.col("tile_i")) & (F.floor(F.col("c") / side) == F.col("tile_j")))
+
+
+def by_tile(g: DataFrame, margin: int, run: Callable[[DataFrame], DataFrame], side: int = SIDE) -> DataFrame:
+    """``run`` over the cells by tiles with a rim of ``margin`` cells; its windows are partitioned by TILE and more."""
+    d = halo(g, side, margin).withColumnsRenamed({"tile_i": "_i", "tile_j": "_j", "core": "_core"})
+    return run(d.repartition(*TILE)).filter("_core").drop(*TILE, "_core")
+
+
+def _along(axis: str) -> WindowSpec:
+    """All cells of a tile's row or column, in order along the axis."""
+    return Window.partitionBy(*TILE, "r" if axis == "c" else "c").orderBy(axis)
 
 
 def box_sums(g: DataFrame, k: int, **what: Column) -> DataFrame:
     """Adds, per name, the sum of an expression over the (2k+1) square around each cell; the square is cut at edges."""
-    row, column = _axis(k, "c", "r"), _axis(k, "r", "c")
-    d = g.withColumns({f"_{n}": F.sum(e.cast("double")).over(row) for n, e in what.items()})
-    return d.withColumns({n: F.sum(f"_{n}").over(column) for n in what}).drop(*[f"_{n}" for n in what])
+    row, column = _along("c").rangeBetween(-k, k), _along("r").rangeBetween(-k, k)
+
+    def run(d: DataFrame) -> DataFrame:
+        d = d.withColumns({f"_{n}": F.sum(e.cast("double")).over(row) for n, e in what.items()})
+        return d.withColumns({n: F.sum(f"_{n}").over(column) for n in what}).drop(*[f"_{n}" for n in what])
+
+    return by_tile(g, k, run)
 
 
 def box_mean(g: DataFrame, value: str, k: int, name: str = "mean") -> DataFrame:
@@ -35,15 +60,31 @@ def box_mean(g: DataFrame, value: str, k: int, name: str = "mean") -> DataFrame:
 
 def step_slope(g: DataFrame, value: str, k: int, name: str = "slope") -> DataFrame:
     """Central difference over k cells, clamped at the edges and divided by the span that is really there."""
-    out = g
-    for axis, across in (("c", "r"), ("r", "c")):
-        # the furthest present cell within k on either side
-        w = Window.partitionBy(across).orderBy(axis)
-        back, ahead = w.rangeBetween(-k, 0), w.rangeBetween(0, k)
-        rise = F.last(value).over(ahead) - F.first(value).over(back)
-        span = F.last(axis).over(ahead) - F.first(axis).over(back)
-        out = out.withColumn(f"_{axis}", F.when(span > 0, rise / span).otherwise(0.0))
-    return out.withColumn(name, F.sqrt(F.col("_c") * F.col("_c") + F.col("_r") * F.col("_r"))).drop("_c", "_r")
+
+    def run(d: DataFrame) -> DataFrame:
+        for axis in ("c", "r"):
+            # the furthest present cell within k on either side
+            back, ahead = _along(axis).rangeBetween(-k, 0), _along(axis).rangeBetween(0, k)
+            rise = F.last(value).over(ahead) - F.first(value).over(back)
+            span = F.last(axis).over(ahead) - F.first(axis).over(back)
+            d = d.withColumn(f"_s{axis}", F.when(span > 0, rise / span).otherwise(0.0))
+        return d.withColumn(name, F.sqrt(F.col("_sc") * F.col("_sc") + F.col("_sr") * F.col("_sr"))).drop("_sc", "_sr")
+
+    return by_tile(g, k, run)
+
+
+def sobel(g: DataFrame, value: str, pixel: float, name: str = "slope") -> DataFrame:
+    """Adds the Sobel gradient over 3x3 cells with repeated edges, per unit of length."""
+
+    def run(d: DataFrame) -> DataFrame:
+        across, down, e = _along("c"), _along("r"), F.col(value)
+        left, right = F.coalesce(F.lag(e).over(across), e), F.coalesce(F.lead(e).over(across), e)
+        d = d.withColumns({"_s": left + 2 * e + right, "_d": right - left})
+        near = lambda c, f: F.coalesce(f(c).over(down), F.col(c))
+        d = d.withColumns({"_dx": near("_d", F.lag) + 2 * F.col("_d") + near("_d", F.lead), "_dy": near("_s", F.lead) - near("_s", F.lag)})
+        return d.withColumn(name, F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) / 8 / pixel).drop("_s", "_d", "_dx", "_dy")
+
+    return by_tile(g, 1, run)
 
 
 def neighbours(g: DataFrame, columns: list[str], offsets: list[tuple[int, int]]) -> DataFrame:
@@ -97,16 +138,12 @@ def gaussian_kernel(sigma: float, size: int | None = None) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def blur(g: DataFrame, value: str, kernel: list[float], name: str, *, renormalise: bool = False) -> DataFrame:
-    """Separable weighted mean along rows, then columns.
-
-    Edge cells stand in for what lies beyond them; with ``renormalise`` the weights that fall outside are left out
-    instead. The kernel has odd length.
-    """
+def _blurred(d: DataFrame, value: str, kernel: list[float], name: str, renormalise: bool) -> DataFrame:
+    """``blur`` on tiled cells."""
     k = len(kernel) // 2
-    out = g.withColumn(name, F.col(value).cast("double"))
-    for axis, across in (("c", "r"), ("r", "c")):
-        w = Window.partitionBy(across).orderBy(axis)
+    out = d.withColumn(name, F.col(value).cast("double"))
+    for axis in ("c", "r"):
+        w = _along(axis)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         first, last = F.first(name).over(whole), F.last(name).over(whole)
         terms, weights = [], []
@@ -120,6 +157,15 @@ def blur(g: DataFrame, value: str, kernel: list[float], name: str, *, renormalis
     return out
 
 
+def blur(g: DataFrame, value: str, kernel: list[float], name: str, *, renormalise: bool = False) -> DataFrame:
+    """Separable weighted mean along rows, then columns.
+
+    Edge cells stand in for what lies beyond them; with ``renormalise`` the weights that fall outside are left out
+    instead. The kernel has odd length. Rows without gaps: the window counts cells.
+    """
+    return by_tile(g, len(kernel) // 2, lambda d: _blurred(d, value, kernel, name, renormalise))
+
+
 def resize(g: DataFrame, value: str, size: tuple[int, int], target: tuple[int, int], *, window: tuple[int, int, int, int] | None = None, extrapolate: bool = False) -> DataFrame:
     """Bilinear resize with half-pixel centres: (r, c, value) of the target grid, or of its window (r0, c0, r1, c1).
 
@@ -188,26 +234,34 @@ def lapse(g: DataFrame, temp: str, elev: str, *, half: int = 7, cap: str | None
     return d.withColumn("beta", beta).withColumn("baseline", t - F.col("beta") * e).drop("_n", "_w", "_t", "_e", "_ee", "_et")
 
 
-def hillshade(g: DataFrame, elev: str, pixel: float, *, azimuth: float = 315.0, altitude: float = 45.0, name: str = "shade") -> DataFrame:
-    """Adds the shade of a surface lit from (azimuth, altitude), in [0, 1], from one-cell gradients with repeated edges."""
+def _shaded(d: DataFrame, elev: str, pixel: float, azimuth: float, altitude: float, name: str) -> DataFrame:
+    """``hillshade`` on tiled cells."""
     e = F.col(elev)
-    row, column = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
+    row, column = _along("c"), _along("r")
     dx = (F.coalesce(F.lead(e).over(row), e) - F.coalesce(F.lag(e).over(row), e)) / (2 * pixel)
     dy = (F.coalesce(F.lead(e).over(column), e) - F.coalesce(F.lag(e).over(column), e)) / (2 * pixel)
     az, al = math.radians(360.0 - azimuth + 90.0), math.radians(altitude)
-    d = g.withColumns({"_dx": dx, "_dy": dy})
+    d = d.withColumns({"_dx": dx, "_dy": dy})
     slope, aspect = F.atan(F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2)), F.atan2(F.col("_dy"), -F.col("_dx"))
     shade = math.sin(al) * F.cos(slope) + math.cos(al) * F.sin(slope) * F.cos(F.lit(az) - aspect)
     return d.withColumn(name, F.least(F.greatest(shade, F.lit(0.0)), F.lit(1.0))).drop("_dx", "_dy")
 
 
+def hillshade(g: DataFrame, elev: str, pixel: float, *, azimuth: float = 315.0, altitude: float = 45.0, name: str = "shade") -> DataFrame:
+    """Adds the shade of a surface lit from (azimuth, altitude), in [0, 1], from one-cell gradients with repeated edges."""
+    return by_tile(g, 1, lambda d: _shaded(d, elev, pixel, azimuth, altitude, name))
+
+
 def relief(g: DataFrame, elev: str, pixel: float) -> DataFrame:
     """Adds ``relief`` in [0, 1]: shades of a fine and a broad blur mixed 0.75 to 0.25, gamma 0.85; null over ocean."""
-    d = blur(g, elev, gaussian_kernel(1.0, 7), "_fine", renormalise=True)
-    d = blur(d, elev, gaussian_kernel(3.0, 19), "_broad", renormalise=True)
-    d = hillshade(hillshade(d, "_fine", pixel, name="_s1"), "_broad", pixel, name="_s2")
+    fine, broad = gaussian_kernel(1.0, 7), gaussian_kernel(3.0, 19)
+
+    def run(d: DataFrame) -> DataFrame:
+        d = _blurred(_blurred(d, elev, fine, "_fine", True), elev, broad, "_broad", True)
+        return _shaded(_shaded(d, "_fine", pixel, 315.0, 45.0, "_s1"), "_broad", pixel, 315.0, 45.0, "_s2")
+
     mixed = F.pow(0.75 * F.col("_s1") + 0.25 * F.col("_s2"), F.lit(0.85))
-    return d.withColumn("relief", F.when(F.col(elev) >= 0, mixed)).drop("_fine", "_broad", "_s1", "_s2")
+    return by_tile(g, len(broad) // 2 + 1, run).withColumn("relief", F.when(F.col(elev) >= 0, mixed)).drop("_fine", "_broad", "_s1", "_s2")
 
 
 def dilate(g: DataFrame, flag: str, passes: int, name: str) -> DataFrame:

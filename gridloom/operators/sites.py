@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import hashing
+from gridloom.functions.hashing import signed64
 
 
 @dataclass(frozen=True)
@@ -39,55 +40,43 @@ class Feature:
     gap: float | None = None
 
 
-_ROCK = ("mountain", "hills", "badlands", "mesa", "stony", "peaks")
-_WOOD = ("forest", "grove", "old_growth", "plains", "taiga")
-_ICE = ("frozen", "ice", "ice_spikes", "snow", "tundra")
-_SHORE = ("beach", "ocean", "stony")
-_HOT = ("badlands", "mesa")
-_HOT_PEAKS = ("badlands", "mesa", "mountain", "peaks")
-
-#: Spacing, salts, chances, thresholds.
+#: Spacing, salts, name parts of the classes, chances, thresholds.
 FEATURES: dict[str, Feature] = {
-    "arch": Feature(56, 0xA24C7E57, _ROCK, chance=0.5, slope_least=0.4, dry_bed=True, span=(6, 11), samples=10, tolerance=2, gap=3),
-    "balanced_rock": Feature(50, 0x424C414C, _HOT, chance=0.15, slope_most=0.2, dry_bed=True),
-    "basalt_column": Feature(44, 0x42415341, _HOT_PEAKS, noise=(200.0, 0.3)),
+    "arch": Feature(56, 0xA24C7E57, ("mountain", "hills", "badlands", "mesa", "stony", "peaks"), chance=0.5, slope_least=0.4, dry_bed=True, span=(6, 11), samples=10, tolerance=2, gap=3),
+    "balanced_rock": Feature(50, 0x424C414C, ("badlands", "mesa"), chance=0.15, slope_most=0.2, dry_bed=True),
+    "basalt_column": Feature(44, 0x42415341, ("badlands", "mesa", "mountain", "peaks"), noise=(200.0, 0.3)),
     "beached_iceberg": Feature(72, 0x42454149, ("frozen", "ice_spikes", "tundra"), chance=0.1, slope_most=0.2),
-    "blowhole": Feature(56, 0x424C5748, _SHORE, chance=0.15, slope_least=0.6, lowest=0, highest=6),
-    "boulder": Feature(28, 0xB0F1DE12, without=("badlands", "beach", "desert", "mesa", "ocean"), chance=0.35, slope_most=0.25, dry_bed=True),
-    "cornice": Feature(36, 0x434F524E, ("frozen", "grove", "ice", "peaks", "snow"), chance=0.2, slope_least=0.5, lowest=90),
+    "blowhole": Feature(56, 0x424C5748, ("beach", "ocean", "stony"), chance=0.15, slope_least=0.6, lowest=0, highest=6),
+    "boulder": Feature(28, 0xB0F1DE12, without=("ocean", "beach", "desert", "badlands", "mesa"), chance=0.35, slope_most=0.25, dry_bed=True),
+    "cornice": Feature(36, 0x434F524E, ("snow", "peaks", "frozen", "ice", "grove"), chance=0.2, slope_least=0.5, lowest=90),
     "driftwood": Feature(24, 0x44524946, ("beach", "stony"), chance=0.4, slope_most=0.15, lowest=0, highest=3),
-    "fallen_log": Feature(48, 0x46414C4C, _WOOD, chance=0.3, dry_bed=True, span=(4, 8), gap=2),
-    "frozen_waterfall": Feature(48, 0x46525A57, _ICE, chance=0.2, slope_least=0.5),
-    "fumarole": Feature(48, 0x46554D4C, _HOT_PEAKS, noise=(250.0, 0.5), lowest=40),
+    "fallen_log": Feature(48, 0x46414C4C, ("forest", "taiga", "grove", "old_growth", "plains"), chance=0.3, dry_bed=True, span=(4, 8), gap=2),
+    "frozen_waterfall": Feature(48, 0x46525A57, ("frozen", "snow", "ice", "tundra", "ice_spikes"), chance=0.2, slope_least=0.5),
+    "fumarole": Feature(48, 0x46554D4C, ("badlands", "mesa", "mountain", "peaks"), noise=(250.0, 0.5), lowest=40),
     "giant_arch": Feature(176, 0x61A47C11E5, ("badlands",), endings=("_wasteland_steppe", "dryland"), chance=0.4, dry_bed=True, span=(14, 48), samples=8),
-    "glacial_erratic": Feature(64, 0x474C4345, _ICE, chance=0.12, slope_most=0.25, dry_bed=True),
-    "grandfather_tree": Feature(80, 0x47524E44, _WOOD, chance=0.3, slope_most=0.2, noise=(300.0, 0.6)),
-    "hoodoo_cluster": Feature(40, 0x400D00A1, _HOT, noise=(180.0, 0.35)),
-    "ice_spike": Feature(36, 0x49434553, ("frozen", "ice_spikes", "tundra"), noise=(160.0, 0.3)),
-    "lava_tube_skylight": Feature(80, 0x4C565453, _HOT_PEAKS, chance=0.06, slope_most=0.3, lowest=25, noise=(300.0, 0.6)),
-    "mesas": Feature(60, 0x4D455341, _HOT, chance=0.3, slope_most=0.15, lowest=6, dry_bed=True),
-    "moss_boulder": Feature(32, 0x4D4F5353, ("forest", "grove", "old_growth", "swamp"), chance=0.25, slope_most=0.3),
-    "mushroom_rock": Feature(36, 0x4D569601, _HOT, chance=0.25, slope_most=0.3, dry_bed=True),
-    "natural_bridge": Feature(64, 0x4E415442, _ROCK, chance=0.4, slope_least=0.5, dry_bed=True, span=(8, 14), samples=10, tolerance=2.5, gap=4),
-    "needle_peak": Feature(52, 0x4E454544, ("grove", "jagged", "mountain", "peaks", "stony"), noise=(250.0, 0.5), lowest=90),
+    "glacial_erratic": Feature(64, 0x474C4345, ("tundra", "ice_spikes", "snow", "frozen", "ice"), chance=0.12, slope_most=0.25, dry_bed=True),
+    "grandfather_tree": Feature(80, 0x47524E44, ("forest", "old_growth", "taiga", "grove", "plains"), chance=0.3, slope_most=0.2, noise=(300.0, 0.6)),
+    "hoodoo_cluster": Feature(40, 0x400D00A1, ("badlands", "mesa"), noise=(180.0, 0.35)),
+    "ice_spike": Feature(36, 0x49434553, ("ice_spikes", "frozen", "tundra"), noise=(160.0, 0.3)),
+    "lava_tube_skylight": Feature(80, 0x4C565453, ("badlands", "mesa", "mountain", "peaks"), chance=0.06, slope_most=0.3, lowest=25, noise=(300.0, 0.6)),
+    "mesas": Feature(60, 0x4D455341, ("badlands", "mesa"), chance=0.3, slope_most=0.15, lowest=6, dry_bed=True),
+    "moss_boulder": Feature(32, 0x4D4F5353, ("swamp", "forest", "old_growth", "grove"), chance=0.25, slope_most=0.3),
+    "mushroom_rock": Feature(36, 0x4D569601, ("badlands", "mesa"), chance=0.25, slope_most=0.3, dry_bed=True),
+    "natural_bridge": Feature(64, 0x4E415442, ("mountain", "hills", "badlands", "mesa", "stony", "peaks"), chance=0.4, slope_least=0.5, dry_bed=True, span=(8, 14), samples=10, tolerance=2.5, gap=4),
+    "needle_peak": Feature(52, 0x4E454544, ("mountain", "peaks", "jagged", "stony", "grove"), noise=(250.0, 0.5), lowest=90),
     "oasis_sinkhole": Feature(80, 0x4F415349, ("desert",), chance=0.08, slope_most=0.08, highest=40, dry_bed=True),
-    "petrified_dune": Feature(44, 0x50455444, ("badlands", "desert", "mesa"), chance=0.2, dry_bed=True),
+    "petrified_dune": Feature(44, 0x50455444, ("badlands", "mesa", "desert"), chance=0.2, dry_bed=True),
     "pressure_ridge": Feature(40, 0x50524553, ("frozen", "ice_spikes"), chance=0.2),
     "reef_spires": Feature(48, 0x52454546, ("ocean",), without=("frozen",), chance=0.2, under_water=True),
-    "root_arch": Feature(56, 0x524F4F54, ("forest", "old_growth", "swamp"), chance=0.15, slope_most=0.2, dry_bed=True),
-    "sand_dune_crest": Feature(32, 0x53444352, ("badlands", "desert"), chance=0.3, dry_bed=True),
-    "sea_arch": Feature(72, 0x5345414C, _SHORE, chance=0.3, slope_least=0.5, dry_bed=True, noise=(150.0, 0.2), span=(5, 10), samples=10, tolerance=1.5, gap=2.5),
-    "sea_stack": Feature(48, 0x53454153, ("beach", "coast", "frozen_ocean", "ocean"), noise=(200.0, 0.4)),
-    "talus_scree": Feature(24, 0x54414C55, ("hills", "mountain", "peaks", "stony"), chance=0.4, slope_least=0.6),
-    "tide_pool": Feature(40, 0x54494450, _SHORE, chance=0.25, slope_most=0.15, lowest=-1, highest=3),
+    "root_arch": Feature(56, 0x524F4F54, ("swamp", "forest", "old_growth"), chance=0.15, slope_most=0.2, dry_bed=True),
+    "sand_dune_crest": Feature(32, 0x53444352, ("desert", "badlands"), chance=0.3, dry_bed=True),
+    "sea_arch": Feature(72, 0x5345414C, ("beach", "ocean", "stony"), chance=0.3, slope_least=0.5, dry_bed=True, noise=(150.0, 0.2), span=(5, 10), samples=10, tolerance=1.5, gap=2.5),
+    "sea_stack": Feature(48, 0x53454153, ("beach", "ocean", "coast", "frozen_ocean"), noise=(200.0, 0.4)),
+    "talus_scree": Feature(24, 0x54414C55, ("mountain", "peaks", "stony", "hills"), chance=0.4, slope_least=0.6),
+    "tide_pool": Feature(40, 0x54494450, ("beach", "ocean", "stony"), chance=0.25, slope_most=0.15, lowest=-1, highest=3),
 }
 
 
-def signed64(v: int) -> int:
-    v &= (1 << 64) - 1
-    return v - (1 << 64) if v >> 63 else v
-
-
 def site_grid(df: DataFrame, seed: int, salt: int, cell: int, margin: int = 0) -> DataFrame:
     """Sites (site, x, z) of lattice cells (cx, cz) given as rows: one per cell, jittered by its hash."""
     span = max(1, cell - 2 * margin)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import hashing, scalar
+from gridloom.operators import focal
 from gridloom.runtime import load
 
 WIDTH = 100
@@ -42,14 +43,8 @@ def climate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slopes(g: DataFrame, pixel: float = 3000.0) -> DataFrame:
-    """Adds ``slope``: Sobel gradient of ``elev`` over 3x3 cells with repeated edges, per metre."""
-    across, down = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
-    e = F.col("elev")
-    left, right = F.coalesce(F.lag(e).over(across), e), F.coalesce(F.lead(e).over(across), e)
-    d = g.withColumns({"_s": left + 2 * e + right, "_d": right - left})
-    near = lambda c, f: F.coalesce(f(c).over(down), F.col(c))
-    d = d.withColumns({"_dx": near("_d", F.lag) + 2 * F.col("_d") + near("_d", F.lead), "_dy": near("_s", F.lead) - near("_s", F.lag)})
-    return d.withColumn("slope", F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) / 8 / pixel).drop("_s", "_d", "_dx", "_dy")
+    """Adds ``slope``: the gradient of ``elev`` per metre."""
+    return focal.sobel(g, "elev", pixel)
 
 
 def derive(g: DataFrame) -> DataFrame:

@@ -58,9 +58,15 @@ def b_sample(spark: SparkSession, d: str) -> DataFrame:
     return s.select("cell", "zone", "ocean", "snowy", "bareSlope", "mountain", "lowland", *[F.round(n, 6).alias(n) for n in nums])
 
 
+# fixed values: seeds of the lattice hash, of the three octaves of ice and of the river bed
+HASH_SEED = 0x9E3779B97F4A7C15
+ICE_COARSE, ICE_DIAGONAL, ICE_DETAIL = 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x1F83D9ABFB41BD6B
+BED_SEED = 0x6A09E667F3BCC909
+
+
 def c_hash(spark: SparkSession, d: str) -> DataFrame:
     """Lattice hash, its unit and signed forms."""
-    g = hashing.with_hash(grid.cells(spark, d), h=(-7046029254386353131, "c", "r"))
+    g = hashing.with_hash(grid.cells(spark, d), h=(hashing.signed64(HASH_SEED), "c", "r"))
     return g.select("cell", F.col("h").cast("string").alias("h"), hashing.unit("h").alias("u"), hashing.signed("h").alias("s"))
 
 
@@ -76,7 +82,7 @@ def c_integer_noise(spark: SparkSession, d: str) -> DataFrame:
     """Noise on an integer spacing, ice kinds from three octaves, bed material from hash bytes."""
     g = grid.cells(spark, d).withColumns({"x": F.col("c") - 40, "z": F.col("r") - 3})
     low24 = lambda h: F.shiftrightunsigned(h, 8).bitwiseAND(0xFFFFFF) / F.lit(16777215.0)
-    spec = {"coarse": (-6534734903238641935, "x", "z", 19), "diagonal": (5840696475078001361, "xz", "zx", 11), "detail": (2270897969802886507, "x", "z", 5)}
+    spec = {"coarse": (hashing.signed64(ICE_COARSE), "x", "z", 19), "diagonal": (hashing.signed64(ICE_DIAGONAL), "xz", "zx", 11), "detail": (hashing.signed64(ICE_DETAIL), "x", "z", 5)}
     g = g.withColumns({"xz": F.col("x") + F.col("z"), "zx": F.col("z") - F.col("x")})
     for n, (seed, x, z, step) in spec.items():
         g = g.withColumns({"_x": F.floor(F.col(x) / step), "_z": F.floor(F.col(z) / step)}).withColumns({"_x1": F.col("_x") + 1, "_z1": F.col("_z") + 1})
@@ -85,7 +91,7 @@ def c_integer_noise(spark: SparkSession, d: str) -> DataFrame:
         g = g.withColumns({"_fx": fx * fx * (3 - 2 * fx), "_fz": fz * fz * (3 - 2 * fz)})
         mix = lambda p, q: low24(F.col(p)) + (low24(F.col(q)) - low24(F.col(p))) * F.col("_fx")
         g = g.withColumn(n, mix("_a", "_b") + (mix("_c", "_d") - mix("_a", "_b")) * F.col("_fz"))
-    g = hashing.with_hash(g, bed=(7640891576956012809, "x", "z"))
+    g = hashing.with_hash(g, bed=(hashing.signed64(BED_SEED), "x", "z"))
     patch = F.col("coarse") * 0.62 + F.col("diagonal") * 0.28 + F.col("detail") * 0.10
     roll = F.col("bed").bitwiseAND(255)
     return g.select(
@@ -121,15 +127,15 @@ def _value_noise_sql() -> str:
 
 
 def _integer_noise_sql() -> str:
-    a, la = _noise_sql("coarse", "-6534734903238641935", "x", "z", "19.0", "src", "n1", "low")
-    b, lb = _noise_sql("diagonal", "5840696475078001361", "(x + z)", "(z - x)", "11.0", la, "n2", "low")
-    c, lc = _noise_sql("detail", "2270897969802886507", "x", "z", "5.0", lb, "n3", "low")
-    h, lh = hashing.sql_hash_ctes(lc, "bd", {"bedh": ("7640891576956012809", "x", "z")})
+    a, la = _noise_sql("coarse", str(hashing.signed64(ICE_COARSE)), "x", "z", "19.0", "src", "n1", "low")
+    b, lb = _noise_sql("diagonal", str(hashing.signed64(ICE_DIAGONAL)), "(x + z)", "(z - x)", "11.0", la, "n2", "low")
+    c, lc = _noise_sql("detail", str(hashing.signed64(ICE_DETAIL)), "x", "z", "5.0", lb, "n3", "low")
+    h, lh = hashing.sql_hash_ctes(lc, "bd", {"bedh": (str(hashing.signed64(BED_SEED)), "x", "z")})
     return f"""WITH {grid.CELLS_SQL}, src AS (SELECT *, c - 40 AS x, r - 3 AS z FROM cells), {a}, {b}, {c}, {h}, p AS (SELECT *, coarse * 0.62 + diagonal * 0.28 + detail * 0.10 AS patch, bedh & 255 AS roll FROM {lh})
 SELECT cell, round(patch, 9) AS patch, CASE WHEN patch < 0.235 THEN 'blue' WHEN patch < 0.365 THEN 'packed' ELSE 'plain' END AS ice, CASE WHEN elev < 720 AND roll < 96 THEN 'sand' WHEN roll < 38 THEN 'clay' ELSE 'gravel' END AS bed FROM p"""
 
 
-_CH, _CL = hashing.sql_hash_ctes("cells", "k", {"h": ("-7046029254386353131", "c", "r")})
+_CH, _CL = hashing.sql_hash_ctes("cells", "k", {"h": (str(hashing.signed64(HASH_SEED)), "c", "r")})
 _M32 = "4294967296::HUGEINT"
 _M64 = "18446744073709551616::HUGEINT"
 SQL = {k: f"WITH {grid.CLIMATE_SQL}, z AS (SELECT *, pcv / 60 AS slope_like FROM climate) SELECT cell, {', '.join(_outputs(g))} FROM z" for k, g in GROUPS.items()} | {
@@ -137,7 +143,7 @@ SQL = {k: f"WITH {grid.CLIMATE_SQL}, z AS (SELECT *, pcv / 60 AS slope_like FROM
     "c_hash": f"WITH {grid.CELLS_SQL}, {_CH} SELECT cell, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - {_M64} ELSE h END)::VARCHAR AS h, {hashing.sql_unit('h')} AS u, {hashing.sql_unit('h')} * 2 - 1 AS s FROM {_CL}",
     "c_value_noise": _value_noise_sql(),
     "c_integer_noise": _integer_noise_sql(),
-    "c_tile_seed": f"""WITH {grid.CELLS_SQL}, a AS (SELECT cell, r, c, (r * 668265261 + c * 374761393) % {_M32} AS h FROM cells), b AS (SELECT *, xor(h, h >> 15) AS h2 FROM a), e AS (SELECT *, (h2 * 625341585) % {_M32} AS h3 FROM b), f AS (SELECT *, xor(h3, h3 >> 13) AS h4 FROM e),
- t AS (SELECT *, ((({hashing.sql_unsigned('-123456789012345')} % {_M64} * 2654435769::HUGEINT % {_M64} + r) % {_M64})) AS t1 FROM f), u AS (SELECT *, ({hashing.sql_mul('t1', 0x9E3779B9)} + ((c - 50)::HUGEINT + {_M32}) % {_M32}) % {_M64} AS t2 FROM t)
+    "c_tile_seed": f"""WITH {grid.CELLS_SQL}, a AS (SELECT cell, r, c, (r * {0x27D4EB2D} + c * {0x165667B1}) % {_M32} AS h FROM cells), b AS (SELECT *, xor(h, h >> 15) AS h2 FROM a), e AS (SELECT *, (h2 * {0x2545F491}) % {_M32} AS h3 FROM b), f AS (SELECT *, xor(h3, h3 >> 13) AS h4 FROM e),
+ t AS (SELECT *, ((({hashing.sql_unsigned('-123456789012345')} % {_M64} * {0x9E3779B9}::HUGEINT % {_M64} + r) % {_M64})) AS t1 FROM f), u AS (SELECT *, ({hashing.sql_mul('t1', 0x9E3779B9)} + ((c - 50)::HUGEINT + {_M32}) % {_M32}) % {_M64} AS t2 FROM t)
 SELECT cell, ((h4 >> 8) % 24)::INTEGER AS jitter, (CASE WHEN t2 >= 9223372036854775808::HUGEINT THEN t2 - {_M64} ELSE t2 END)::VARCHAR AS seed FROM u""",
 }
