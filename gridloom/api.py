@@ -79,7 +79,7 @@ def probe(samples: DataFrame, catalog: cat.Catalog, x: str = "c", z: str = "r")
 
 def spawn_status(probes: DataFrame, catalog: cat.Catalog, class_index: int, key: list[str]) -> DataFrame:
     """(key, status): WINS, ELIGIBLE or NONE as the best over each key's probes (sub-samples, flat and steep)."""
-    m = comp.select(comp.zone_matches(probes, catalog), "c", "r", catalog.default_index)
+    m = comp.select(comp.zone_matches(probes, catalog), "c", "r", catalog.default_index, catalog.indices())
     can = F.exists("matches", lambda e: (e["class_index"] == class_index) & (e["weight"] > 0))
     level = F.when(can & (F.col("class_index") == class_index), 2).when(can, 1).otherwise(0)
     best = m.withColumn("level", level).groupBy(*key).agg(F.max("level").alias("level"))

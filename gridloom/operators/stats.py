@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.runtime import checked_broadcast, cut
+
 
 def shares(df: DataFrame, zone: str, cls: str) -> DataFrame:
     """(zone, class, n, share): count and share of each class within each zone, and overall where zone is null.
@@ -44,14 +48,49 @@ def runners_up(df: DataFrame, cands: str, key: str, k: int = 3) -> DataFrame:
     return df.select(key, F.posexplode(F.slice(best, 1, k)).alias("place", "m")).select(key, "place", F.col("m.class_index").alias("class_index"))
 
 
+#: Values around a percentile that are kept per so many values: the accuracy of the first, approximate pass.
+ACCURACY = 10_000
+
+
+def exact_percentiles(df: DataFrame, by: list[str], variables: list[str], cuts: list[float], *, accuracy: int = ACCURACY) -> DataFrame:
+    """(by, variable, cut, value): exact percentiles with linear interpolation, without gathering a column's values.
+
+    A first pass of mergeable sketches gives a bracket around each percentile that holds about 8/``accuracy`` of the
+    values (all values of groups no larger than ``accuracy``); a second counts what lies below each bracket and the distinct values inside it, of which those at the
+    wanted ranks are read. Null and NaN values do not count; a group without values has no row. Null keys are a group.
+    """
+    each = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("v")) for v in variables])
+    long = df.select(*by, F.explode(each).alias("_x")).select(*by, "_x.variable", "_x.v").filter("v is not null and not isnan(v)")
+    keys = [*by, "variable"]
+    d = 4.0 / accuracy  # the sketch is off by at most 1/accuracy, so the wanted rank and the next lie inside
+    ends = F.array(*[F.lit(x) for f in cuts for x in (max(f - d, 0.0), min(f + d, 1.0))])
+    first = long.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", ends, accuracy).alias("q"))
+    near = lambda i, f: F.struct(F.lit(f).alias("cut"), F.when((F.col("n") <= accuracy) | F.lit(f <= d), F.col("least")).otherwise(F.col("q")[2 * i]).alias("lo"), F.when((F.col("n") <= accuracy) | F.lit(f >= 1 - d), F.col("most")).otherwise(F.col("q")[2 * i + 1]).alias("hi"))
+    brackets = cut(first.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", F.array(*[near(i, f) for i, f in enumerate(cuts)]).alias("b")))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    j = long.join(checked_broadcast(brackets), same).select(*keys, "v", "n", "b")
+    below = j.groupBy(*keys).agg(F.max("n").alias("n"), *[F.count_if(F.col("v") < F.col("b")[i]["lo"]).alias(f"_{i}") for i in range(len(cuts))])
+    below = below.select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(f).alias("cut"), F.col(f"_{i}").alias("below")) for i, f in enumerate(cuts)])).alias("x")).select(*keys, "n", "x.*")
+    inside = F.filter("b", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))
+    held = j.select(*keys, "v", F.explode(F.transform(inside, lambda x: x["cut"])).alias("cut")).groupBy(*keys, "cut", "v").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*keys, "cut").orderBy("v"))
+    held = held.withColumn("upto", upto).select(*[F.col(k).alias(f"_{k}") for k in [*keys, "cut"]], "v", "upto")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "cut"]])
+    at = F.col("cut") * (F.col("n") - 1)
+    low = F.floor(at)
+    r = held.join(checked_broadcast(below), same).groupBy(*keys, "cut", "n").agg(F.min(F.when(F.col("below") + F.col("upto") > low, F.col("v"))).alias("a"), F.min(F.when(F.col("below") + F.col("upto") > F.least(low + 1, F.col("n") - 1), F.col("v"))).alias("z"))
+    return r.select(*keys, "cut", (F.col("a") + (F.col("z") - F.col("a")) * (at - low)).alias("value"))
+
+
 def ranges(df: DataFrame, by: list[str], variables: list[str], flags: list[str], cuts: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
     """Exact percentiles of each variable and shares of each flag per group; NaN values do not count."""
-    aggs = []
-    for v in variables:
-        x = F.when(~F.isnan(v), F.col(v))
-        p = F.percentile(x, F.array(*[F.lit(c) for c in cuts]))
-        aggs += [p[i].alias(f"{v}_p{round(100 * c):d}") for i, c in enumerate(cuts)]
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *aggs, *[F.avg(F.col(f).cast("int")).alias(f"{f}_share") for f in flags])
+    q = exact_percentiles(df, by, variables, list(cuts)).groupBy(*by).agg(
+        *[F.max(F.when((F.col("variable") == v) & (F.col("cut") == c), F.col("value"))).alias(f"{v}_p{round(100 * c):d}") for v in variables for c in cuts]
+    )
+    n = df.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(F.col(f).cast("int")).alias(f"{f}_share") for f in flags])
+    q = q.select(*[F.col(k).alias(f"_{k}") for k in by], *[c for c in q.columns if c not in by])
+    j = n.join(q, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]), "left")
+    return j.select(*by, "n", *[c for c in q.columns if c not in [f"_{k}" for k in by]], *[f"{f}_share" for f in flags])
 
 
 def pass_rates(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:

@@ -76,7 +76,7 @@ def c_quantiles(spark: SparkSession, d: str) -> DataFrame:
 def g_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Whether a class wins, is eligible or is absent at each cell."""
     s = cut(grid.samples(spark, d))
-    m = comp.select(comp.zone_matches(s, CAT), "c", "r", CAT.default_index)
+    m = comp.select(comp.zone_matches(s, CAT), "c", "r", CAT.default_index, CAT.indices())
     can = F.exists("matches", lambda x: (x["class_index"] == 7) & (x["weight"] > 0))
     return m.select("cell", F.when(can & (F.col("class_index") == 7), "WINS").when(can, "ELIGIBLE").otherwise("NONE").alias("status"))
 

@@ -131,7 +131,7 @@ def h_extremes(spark: SparkSession, d: str) -> DataFrame:
 
 def h_won_share(spark: SparkSession, d: str) -> DataFrame:
     """Cells where each class is eligible and where it wins."""
-    k = comp.select(_matched(spark, d), "c", "r", CAT.default_index)
+    k = comp.select(_matched(spark, d), "c", "r", CAT.default_index, CAT.indices())
     e = k.select("class_index", F.explode(F.array_distinct(F.transform("matches", lambda m: m["class_index"]))).alias("eligible"))
     return e.groupBy(F.col("eligible").alias("class_index")).agg(F.count("*").alias("cells"), F.count_if(F.col("class_index") == F.col("eligible")).alias("won"))
 
@@ -191,7 +191,7 @@ def k_widen(spark: SparkSession, d: str) -> DataFrame:
 def k_fit(spark: SparkSession, d: str) -> DataFrame:
     """Weights fitted to wanted shares of four lowland classes (checked by its effect in the tests)."""
     m = _matched(spark, d).filter("zone = 'lowland'")
-    w = checks.fit_weights(m, "matches", {1: 0.3, 7: 0.2, 9: 0.2, 10: 0.2}, x="c", z="r", rounds=4)
+    w = checks.fit_weights(m, "matches", {1: 0.3, 7: 0.2, 9: 0.2, 10: 0.2}, CAT.indices(), x="c", z="r", rounds=4)
     return spark.createDataFrame(sorted(w.items()), "class_index int, weight double")
 
 

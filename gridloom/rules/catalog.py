@@ -10,6 +10,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.runtime import checked_broadcast
+
 # fixed values: names a condition may use
 NUMERIC = ("elevationM", "temperatureC", "temperatureSeasonality", "precipitationMm", "precipitationCv", "moisture", "aridity", "treeMoisture", "treeCoverage", "sparsity", "slope", "growingSeasonDays")
 FLAGS = ("ocean", "snowy", "bareSlope", "mountain", "lowland")
@@ -86,6 +88,10 @@ class Catalog:
                 n += 1
         return out
 
+    def indices(self) -> list[int]:
+        """The classes' indices, in order."""
+        return sorted({c.index for c in self.classes})
+
     def with_class(self, new: Class) -> Catalog:
         """Upsert by index."""
         return replace(self, classes=(*[c for c in self.classes if c.index != new.index], new))
@@ -167,9 +173,8 @@ def class_table(spark: SparkSession, catalog: Catalog) -> DataFrame:
 
 
 def with_flags(df: DataFrame, classes: DataFrame, index: str, default_index: int) -> DataFrame:
-    """Adds the class's columns; an unknown index takes those of the default class. The class table is small by
-    construction (one row per class of a catalog held in memory), so it is broadcast."""
-    known = F.broadcast(classes.select(F.col("class_index").alias("_k"), *[c for c in classes.columns if c != "class_index"]))
+    """Adds the class's columns; an unknown index takes those of the default class."""
+    known = checked_broadcast(classes.select(F.col("class_index").alias("_k"), *[c for c in classes.columns if c != "class_index"]))
     rest = classes.filter(F.col("class_index") == default_index).limit(1)
     d = df.join(known, df[index] == known["_k"], "left")
     fill = {r: v for row in rest.collect() for r, v in row.asDict().items() if r != "class_index"}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.stats import exact_percentiles
 from gridloom.rules.catalog import DISCRETE, HARD_BOUNDS
+from gridloom.runtime import checked_broadcast, cut
 
 EPS = 1e-6
 RULE = ["class_index", "class_key", "rule", "zone"]
@@ -124,13 +126,14 @@ def widened(samples: DataFrame, variable: str, rest: Column, target: float, side
     if share is None or share.q is None:
         return samples.sparkSession.createDataFrame([(None, share.k, share.n)], "threshold double, held long, n long")
     q = 1 - share.q if side == "above" else share.q
-    return ranked.agg(F.percentile("v", F.lit(q)).alias("threshold")).select("threshold", F.lit(share.k).cast("long").alias("held"), F.lit(share.n).cast("long").alias("n"))
+    return exact_percentiles(ranked, [], ["v"], [q]).select(F.col("value").alias("threshold"), F.lit(share.k).cast("long").alias("held"), F.lit(share.n).cast("long").alias("n"))
 
 
 def remap(samples: DataFrame, variable: str, rates: list[float]) -> DataFrame:
     """(rate, threshold): for each rate, the value that the variable exceeds that often."""
-    p = F.percentile(F.when(~F.isnan(variable), F.col(variable)), F.array(*[F.lit(1 - r) for r in rates]))
-    return samples.agg(p.alias("p")).select(F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.col("p")[i].alias("threshold")) for i, r in enumerate(rates)])).alias("x")).select("x.*")
+    found = exact_percentiles(samples, [], [variable], [1 - r for r in rates])
+    rate = F.create_map(*[F.lit(x) for r in rates for x in (1 - r, r)])
+    return found.select(rate[F.col("cut")].alias("rate"), F.col("value").alias("threshold"))
 
 
 def unstack(c: DataFrame, rates: DataFrame, keep: int = 1) -> DataFrame:
@@ -149,28 +152,27 @@ def expand_taxonomy(cells: DataFrame, temp: DataFrame, veg: DataFrame) -> DataFr
     """Rules from a table of (class, zone, temp band, vegetation band) and the two band tables (name, lo, hi)."""
     t = temp.select(F.col("name").alias("temp_band"), F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"))
     v = veg.select(F.col("name").alias("veg_band"), F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"))
-    d = cells.join(F.broadcast(t), "temp_band").join(F.broadcast(v), "veg_band")
+    d = cells.join(checked_broadcast(t), "temp_band").join(checked_broadcast(v), "veg_band")
     cond = lambda var, a, b: F.struct(F.lit(var).alias("variable"), F.lit("between").alias("op"), F.col(a).alias("value"), F.col(b).alias("value2"))
     return d.select("class_index", "zone", F.array(cond("temperatureC", "t_lo", "t_hi"), cond("treeCoverage", "v_lo", "v_hi")).alias("conditions"))
 
 
-def fit_weights(cells: DataFrame, cands: str, shares: dict[int, float], *, x: str, z: str, rounds: int = 12, damping: float = 0.5, lo: float = 0.02, hi: float = 10.0) -> dict[int, float]:
+def fit_weights(cells: DataFrame, cands: str, shares: dict[int, float], classes: list[int], *, x: str, z: str, rounds: int = 12, damping: float = 0.5, lo: float = 0.02, hi: float = 10.0) -> dict[int, float]:
     """Weights per class that bring the classes' winning shares near the wanted ones.
 
     Eligibility is computed once and written; each round only ranks again and multiplies each weight by the damped
     ratio of wanted to measured share, within [lo, hi]. The driver sees one count per class and round.
     """
-    from gridloom.rules.compile import MATCH_DDL, winner
-    from gridloom.runtime import cut
+    from gridloom.rules.compile import MATCH_DDL, winner, with_corners
 
-    held = cut(cells.select(F.col(x).cast("double").alias("x"), F.col(z).cast("double").alias("z"), F.col(cands).alias("m")).filter(F.size("m") > 0))
+    own = cells.select(F.col(x).cast("double").alias("x"), F.col(z).cast("double").alias("z"), F.col(cands).alias("m")).filter(F.size("m") > 0)
+    held = cut(with_corners(own, classes, "x", "z"))
     total = held.count()
     weights = {k: 1.0 for k in shares}
-    pick = F.pandas_udf(winner, "long")
     for _ in range(rounds if total else 0):
         table = F.create_map(*[y for k, w in weights.items() for y in (F.lit(k), F.lit(w))])
-        again = F.transform("m", lambda m: F.struct(m["ord"].alias("ord"), m["class_index"].alias("class_index"), F.coalesce(F.element_at(table, m["class_index"]), m["weight"]).alias("weight"), m["override"].alias("override"))).cast(MATCH_DDL)
-        got = {r.k: r.n for r in held.select(pick(again, F.col("x"), F.col("z")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+        again = F.transform("m", lambda m: F.struct(m["ord"].alias("ord"), m["class_index"].alias("class_index"), F.coalesce(table[m["class_index"]], m["weight"]).alias("weight"), m["override"].alias("override"))).cast(MATCH_DDL)
+        got = {r.k: r.n for r in held.select(again.alias("m"), "_corners").select(winner(F.col("m"), F.col("_corners")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
         for k, want in shares.items():
             have = max(got.get(k, 0) / total, 1e-6)
             weights[k] = min(hi, max(lo, weights[k] * (want / have) ** damping))

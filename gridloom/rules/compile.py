@@ -1,7 +1,9 @@
 """One condition tree, two back ends: Spark columns for running, SQL text for checking elsewhere.
 
 Rules become one array expression per zone that yields the matching rules of a cell without a join or a shuffle.
-A zone with more rules than ARRAY_RULES is matched through a broadcast table instead, bucketed by temperature.
+Where a zone has more rules than ARRAY_RULES, each row tests only those of its one-degree temperature bucket; the
+matches are the same. Selection among the matches is one array expression too: the noise of every class is needed at
+the corners of a lattice far coarser than the grid, so the corners' hashes are worked out once per lattice cell.
 """
 
 from __future__ import annotations
@@ -10,13 +12,12 @@ import math
 from functools import reduce
 from operator import and_
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import hashing, scalar
 from gridloom.rules.catalog import FLAGS, NOISE, NUMERIC, Catalog, Condition, Rule
+from gridloom.runtime import checked_broadcast, cut
 
 ARRAY_RULES = 100
 WAVE = 900.0
@@ -116,44 +117,64 @@ def bucket_matches(df: DataFrame, catalog: Catalog, zone: str = "zone", name: st
     return df.withColumn("_bucket", bucket).withColumn(name, F.array_sort(out)).drop("_bucket")
 
 
-def winner(cands: pd.Series, x: pd.Series, z: pd.Series) -> pd.Series:
-    """Index of the class that wins among each row's matches at (x, z); null without a match.
+def with_corners(df: DataFrame, classes: list[int], x: str, z: str, name: str = "_corners") -> DataFrame:
+    """Adds the signed hashes of every class at the four corners of the row's lattice cell, by class, and the place in it.
 
-    One match wins at once. Else the greatest ln(u) / weight wins, u uniform from the class's own noise field, with
+    One row per lattice cell of WAVE x WAVE positions and few classes: broadcast if so many are few, else joined.
+    """
+    d = df.withColumns({"_x0": F.floor(F.col(x).cast("double") / WAVE), "_z0": F.floor(F.col(z).cast("double") / WAVE)})
+    cells = d.select("_x0", "_z0").distinct().filter("_x0 is not null and _z0 is not null")
+    each = cells.withColumn("_k", F.explode(F.array(*[F.lit(k).cast("long") for k in classes]))).withColumns({"_x1": F.col("_x0") + 1, "_z1": F.col("_z0") + 1})
+    each = hashing.with_hash(each, _a=("_k", "_x0", "_z0"), _b=("_k", "_x1", "_z0"), _c=("_k", "_x0", "_z1"), _d=("_k", "_x1", "_z1"))
+    corner = F.struct(*[hashing.signed(h).alias(h[1]) for h in ("_a", "_b", "_c", "_d")])
+    table = each.groupBy("_x0", "_z0").agg(F.map_from_entries(F.collect_list(F.struct("_k", corner))).alias("_at"))
+    d = d.join(checked_broadcast(cut(table)), ["_x0", "_z0"], "left")
+    fx, fz = F.col(x).cast("double") / WAVE - F.col("_x0"), F.col(z).cast("double") / WAVE - F.col("_z0")
+    eased = lambda t: t * t * (3 - 2 * t)
+    return d.withColumn(name, F.struct(F.col("_at").alias("at"), eased(fx).alias("fx"), eased(fz).alias("fz"))).drop("_x0", "_z0", "_at")
+
+
+def winner(cands: Column, corners: Column) -> Column:
+    """The class that wins among a row's matches; null without a match.
+
+    The greatest ln(u) / weight wins, u uniform from the class's own noise field, with
     overrides before all others and ties to the first rule.
     """
-    n = np.fromiter((0 if c is None else len(c) for c in cands), int, len(cands))
-    out = np.full(len(cands), np.nan)
-    if n.sum():
-        flat = [m for c in cands if c is not None for m in c]
-        row = np.repeat(np.arange(len(n)), n)
-        cls = np.array([m["class_index"] for m in flat])
-        weight = np.array([m["weight"] for m in flat], float)
-        over = np.array([m["override"] for m in flat], bool)
-        order = np.array([m["ord"] for m in flat])
-        noise = hashing.np_value_noise(cls, x.to_numpy(float)[row] / WAVE, z.to_numpy(float)[row] / WAVE)
-        u = np.clip(np.interp((noise + 1) * 16, np.arange(33), scalar.NOISE_CDF), 1e-6, 1 - 1e-6)
-        key = np.log(u) / weight
-        o = np.lexsort((order, -key, ~over, row))
-        first = np.r_[True, row[o][1:] != row[o][:-1]]
-        out[row[o][first]] = cls[o][first]
-    return pd.Series(out).astype("Int64")
-
-
-def select(df: DataFrame, x: str, z: str, default: int | str, *, cands: str = "matches", name: str = "class_index") -> DataFrame:
-    """Adds the selected class of each row; rows without a match get the default (a number or a column)."""
-    pick = F.pandas_udf(winner, "long")
+    cdf = F.array(*[F.lit(v) for v in scalar.NOISE_CDF])
+
+    def key(m: Column) -> Column:
+        # bound one by one through single-element arrays, so that no term is worked out twice
+        one = lambda v, f: F.element_at(F.transform(F.array(v), f), 1)
+        bilinear = lambda q: one(q["a"] + (q["b"] - q["a"]) * corners["fx"], lambda north: north + (q["c"] + (q["d"] - q["c"]) * corners["fx"] - north) * corners["fz"])
+        noise = one(corners["at"][m["class_index"].cast("long")], bilinear)
+        low = lambda t: F.least(F.floor(t), F.lit(31)).cast("int")
+        u = one((noise + 1) * 16, lambda t: F.element_at(cdf, low(t) + 1) + (F.element_at(cdf, low(t) + 2) - F.element_at(cdf, low(t) + 1)) * (t - low(t)))
+        return F.when(m["weight"] > 0, F.ln(F.least(F.greatest(u, F.lit(1e-6)), F.lit(1 - 1e-6))) / m["weight"]).otherwise(F.lit(float("-inf")))
+
+    ranked = F.transform(cands, lambda m: F.struct(m["override"].alias("o"), key(m).alias("k"), (-m["ord"]).alias("n"), m["class_index"].alias("c")))
+    return F.array_max(ranked)["c"].cast("long")  # the matches are named once, as their own expression may be put in here
+
+
+def select(df: DataFrame, x: str, z: str, default: int | str, classes: list[int], *, cands: str = "matches", name: str = "class_index", corners: str | None = None) -> DataFrame:
+    """Adds the selected class of each row; rows without a match get the default (a number or a column).
+
+    classes: all classes that can match. corners: the column of ``with_corners``, if it is there already.
+    """
     rest = F.lit(default) if isinstance(default, int) else F.col(default)
-    return df.withColumn(name, F.coalesce(pick(F.col(cands), F.col(x).cast("double"), F.col(z).cast("double")), rest.cast("long")))
+    d = df if corners else with_corners(df, classes, x, z)
+    d = d.withColumn(name, F.coalesce(winner(F.col(cands), F.col(corners or "_corners")), rest.cast("long")))
+    return d if corners else d.drop("_corners")
 
 
 def classify(df: DataFrame, catalog: Catalog, x: str = "c", z: str = "r") -> DataFrame:
     """Adds ``class_index``: the zone's winner, and on bare slopes outside ocean and mountain the winner of the
     bare-slope rules, if any matches."""
-    d = select(zone_matches(df, catalog), x, z, catalog.default_index, name="first_index")
+    classes = catalog.indices()
+    d = with_corners(zone_matches(df, catalog), classes, x, z)
+    d = select(d, x, z, catalog.default_index, classes, name="first_index", corners="_corners")
     steep = F.col("bareSlope") & ~F.col("ocean") & ~F.col("mountain")
     d = d.withColumn("bare", F.when(steep, matches(catalog, "bareSlope", set(df.columns))).otherwise(F.array().cast(MATCH_DDL)))
-    return select(d, x, z, "first_index", cands="bare")
+    return select(d, x, z, "first_index", classes, cands="bare", corners="_corners").drop("_corners")
 
 
 # ---------------------------------------------------------------------------------------- SQL text of the same

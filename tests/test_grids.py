@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import hashing, noise, scalar
-from gridloom.operators import drainage, focal, sites, tensor
+from gridloom.operators import stats, drainage, focal, sites, tensor
 from gridloom.rules import catalog as cat
 from gridloom.rules import checks
 from gridloom.rules import compile as comp
@@ -149,19 +149,33 @@ def test_predicate_edge_cases(spark):
 
 def test_selection_share_follows_weight(spark):
     rng = np.random.default_rng(5)
-    m = [[{"ord": 0, "class_index": 3, "weight": 1.0, "override": False}, {"ord": 1, "class_index": 8, "weight": 3.0, "override": False}]] * 6000
-    import pandas as pd
-
-    x, z = (pd.Series(rng.uniform(-4e6, 4e6, 6000)) for _ in range(2))
-    share = (comp.winner(pd.Series(m), x, z) == 8).mean()
+    m = [(0, 3, 1.0, False), (1, 8, 3.0, False)]
+    df = spark.createDataFrame([(float(a), float(b), m) for a, b in rng.uniform(-4e6, 4e6, (6000, 2))], f"x double, z double, matches {comp.MATCH_DDL}")
+    share = np.mean([r.class_index == 8 for r in comp.select(df, "x", "z", 1, [3, 8]).collect()])
     assert abs(share - 0.75) < 0.03
 
 
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(8)
+    v = np.r_[rng.normal(size=3000), np.zeros(2000)]
+    rows = [(k % 3 if k % 7 else None, float(x), None if k % 2 else float(k)) for k, x in enumerate(v)] + [(9, float("nan"), None), (None, None, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double").withColumns({"n": F.lit(1), "cut": F.lit(2.0)})
+    cuts = [0.0, 0.05, 0.5, 0.61, 1.0]
+    for accuracy in (100, 10_000):
+        got = {(r.g, r.variable, r.cut): r.value for r in stats.exact_percentiles(df, ["g"], ["x", "y"], cuts, accuracy=accuracy).collect()}
+        for g in (0, 1, 2, None):
+            for i, name in ((1, "x"), (2, "y")):
+                own = [r[i] for r in rows if r[0] == g and r[i] is not None and r[i] == r[i]]
+                assert np.allclose([got[g, name, c] for c in cuts], np.quantile(own, cuts), atol=1e-12)
+        assert (9, "x", 0.5) not in got
+    assert stats.exact_percentiles(df.limit(0), ["g"], ["x"], cuts).count() == 0
+
+
 def test_fitted_weights_move_shares(spark):
     rng = np.random.default_rng(6)
     rows = [(float(a), float(b), [(0, 1, 1.0, False), (1, 2, 1.0, False)]) for a, b in rng.uniform(-3e6, 3e6, (1500, 2))]
     df = spark.createDataFrame(rows, f"x double, z double, matches {comp.MATCH_DDL}")
-    w = checks.fit_weights(df, "matches", {1: 0.8, 2: 0.2}, x="x", z="z", rounds=8)
+    w = checks.fit_weights(df, "matches", {1: 0.8, 2: 0.2}, [1, 2], x="x", z="z", rounds=8)
     assert w[1] / w[2] > 2.5
 
 
