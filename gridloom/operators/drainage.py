@@ -1,9 +1,8 @@
-"""Drainage on grids: filling, links, accumulation, water bodies and channels.
+"""Drainage on grids: links, accumulation, water bodies and channels.
 
-Links are (cell, down) rows over a dense cell number r * width + c. Chains are followed by pointer doubling, so
-the rounds are the logarithm of the longest path; sums along links by levels are replaced by the same doubling
-over path arrays. The exact priority flood orders all cells of a tile globally, so it runs inside one tile
-(bounded by the tile's side) with a heap; tiles are independent and carry a halo.
+Links are (cell, down) rows over a dense cell number r * width + c; what follows chains of them is tree contraction
+by square blocks of the grid. The exact priority flood orders all cells of a tile globally, so it runs inside one
+tile (bounded by its side) with a heap; tiles can be given a rim. ``filling`` fills a grid of any size.
 """
 
 from __future__ import annotations
@@ -17,8 +16,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
 from gridloom.operators import hierarchy
-from gridloom.operators.focal import AROUND, neighbours
-from gridloom.runtime import cut
+from gridloom.operators.focal import AROUND, halo, neighbours
 
 
 def flood(elev: np.ndarray, sea: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,6 +49,14 @@ def flood(elev: np.ndarray, sea: float = 0.0) -> tuple[np.ndarray, np.ndarray, n
     return flat.reshape(h, w), down, np.array(order)
 
 
+def flood_with_rim(cells: DataFrame, side: int, margin: int, elev: str = "elev") -> DataFrame:
+    """(tile_i, tile_j, r, c, filled, down_r, down_c): square tiles flooded with a rim of ``margin`` cells around them,
+    of which the rim is then cut off, so that a tile's edge is no outlet unless the way out is longer than the rim."""
+    d = halo(cells.select("r", "c", elev), side, margin)
+    out = flood_tiles(d, ["tile_i", "tile_j"], elev)
+    return out.filter((F.floor(F.col("r") / side) == F.col("tile_i")) & (F.floor(F.col("c") / side) == F.col("tile_j")))
+
+
 def flood_tiles(cells: DataFrame, tile: list[str], elev: str = "elev") -> DataFrame:
     """(tile, r, c, filled, down_r, down_c) of every tile; a tile's cells fit one task, and may end short of the rectangle."""
 
@@ -76,31 +82,6 @@ def flood_tiles(cells: DataFrame, tile: list[str], elev: str = "elev") -> DataFr
     return cells.groupBy(*tile).applyInPandas(run, ddl)
 
 
-def relax_fill(cells: DataFrame, elev: str = "elev", *, sea: float = 0.0, rounds: int = 400, check: int = 4) -> DataFrame:
-    """(r, c, filled): the least surface with fill = max(elev, lowest fill around), grown from rim and sea.
-
-    A relational fixpoint for grids with many seeds; each round is one aggregate, and the state is written every
-    ``check`` rounds, when the change is counted. Equals the flood's filled surface; raises if ``rounds`` do not reach it.
-    """
-    e = F.col(elev)
-    box = cells.agg(F.min("r").alias("a"), F.max("r").alias("b"), F.min("c").alias("p"), F.max("c").alias("q")).first()
-    rim = (F.col("r") == box.a) | (F.col("r") == box.b) | (F.col("c") == box.p) | (F.col("c") == box.q)
-    state = cut(cells.select("r", "c", e.alias("e"), F.when(rim | (e <= sea), e).alias("f")))
-    for k in range(rounds):
-        low = neighbours(state.filter("f is not null"), ["f"], AROUND).groupBy("r", "c").agg(F.min("n_f").alias("low"))
-        seed = (F.col("f") == F.col("e"))
-        state = state.join(low, ["r", "c"], "left").select("r", "c", "e", F.col("f").alias("was"), F.when(seed, F.col("f")).otherwise(F.least(F.coalesce("f", F.lit(float("inf"))), F.greatest("e", F.coalesce("low", F.lit(float("inf")))))).alias("f"))
-        state = state.select("r", "c", "e", F.when(F.col("f") < float("inf"), F.col("f")).alias("f"), F.col("was"))
-        if k % check == check - 1:
-            state = cut(state)
-            if not state.filter("not (f <=> was)").limit(1).count():
-                break
-        state = state.drop("was")
-    else:
-        raise RuntimeError(f"the filled surface still changes after {rounds} rounds")
-    return state.select("r", "c", F.col("f").alias("filled"))
-
-
 def lowest_links(cells: DataFrame, elev: str, width: int) -> DataFrame:
     """(cell, down): the lowest strictly lower of eight neighbours, ties to the first in scan order; else null."""
     near = neighbours(cells.select("r", "c", elev), [elev], AROUND)
@@ -139,12 +120,6 @@ def accumulate(links: DataFrame, load: DataFrame, value: str, width: int) -> Dat
     return hierarchy.accumulate(f, "_load", block=square_blocks(width)).select(F.col("v").alias("cell"), "acc")
 
 
-def flats(cells: DataFrame, filled: str) -> DataFrame:
-    """(r, c, flat): a cell with a neighbour at exactly its own filled level."""
-    near = neighbours(cells.select("r", "c", filled), [filled], AROUND).join(cells.select("r", "c", filled), ["r", "c"])
-    return near.groupBy("r", "c").agg(F.max(F.col(f"n_{filled}") == F.col(filled)).alias("flat"))
-
-
 def visible(cells: DataFrame) -> DataFrame:
     """Adds ``visible``: cells on land whose accumulation passes the flow threshold over density and rain.
 

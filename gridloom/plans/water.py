@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
-from gridloom.operators import drainage
-from gridloom.plans import grid
+from gridloom.operators import drainage, filling, flats, network
+from gridloom.plans import grid, water_sql
 from gridloom.runtime import cut
 
 W = grid.WIDTH
@@ -38,8 +38,8 @@ def j_accumulate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j_fill(spark: SparkSession, d: str) -> DataFrame:
-    """The filled surface as a fixpoint."""
-    return drainage.relax_fill(_cells(spark, d)).select("r", "c", F.round("filled", 6).alias("filled"))
+    """The filled surface, tile by tile, with the passages between tiles."""
+    return filling.fill(_cells(spark, d)).select("r", "c", F.round("filled", 6).alias("filled"))
 
 
 def j_flood(spark: SparkSession, d: str) -> DataFrame:
@@ -48,25 +48,86 @@ def j_flood(spark: SparkSession, d: str) -> DataFrame:
     return drainage.flood_tiles(g, ["tile_i", "tile_j"]).select("r", "c", F.round("filled", 6).alias("filled"), "down_r", "down_c")
 
 
+def j_flood_rim(spark: SparkSession, d: str) -> DataFrame:
+    """J01 with tiles of 40 x 40 cells and a rim of 12."""
+    return drainage.flood_with_rim(_cells(spark, d), 40, 12).select("r", "c", F.round("filled", 6).alias("filled"), "down_r", "down_c")
+
+
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    c = _cells(spark, d)
+    return cut(c.join(filling.fill(c), ["r", "c"]))
+
+
+def j_flats(spark: SparkSession, d: str) -> DataFrame:
+    """Flat cells with their distances to the spill and from the inflow."""
+    return flats.flat_distances(_filled(spark, d)).select((F.col("r") * W + F.col("c")).alias("cell"), "spill", "inflow")
+
+
+def j_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Flat cells of each level in order of potential."""
+    return flats.ranked(flats.flat_distances(_filled(spark, d)), W).select("cell", "potential", "place")
+
+
+def j_route(spark: SparkSession, d: str) -> DataFrame:
+    """Links over the filled surface, across flats."""
+    return flats.route(_filled(spark, d), W)
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    g = grid.climate(spark, d).select("cell", "r", "c", "elev", "temp", "precip", scalar.col("runoff", elev="elev", temp="temp", precip="precip", pcv="pcv").alias("load"), scalar.col("river_density", region="region").alias("density"), F.floor(F.col("elev") / 700).cast("int").alias("class_index"))
+    return cut(g)
+
+
+def j_drain(spark: SparkSession, d: str) -> DataFrame:
+    """J23, first half: filled surface, links and flow of the whole grid."""
+    return network.drain(_samples(spark, d), W, "load").select("cell", F.round("filled", 6).alias("filled"), "down", F.round("acc", 6).alias("acc"))
+
+
+def j_network(spark: SparkSession, d: str) -> DataFrame:
+    """With visible channels, sources, water bodies, lakes and radii."""
+    n = network.network(_samples(spark, d), W, "load")
+    return n.select("cell", "down", F.round("acc", 6).alias("acc"), "visible", "source", "body", F.round("lake", 6).alias("lake"), F.round("radius", 6).alias("radius"))
+
+
+def j_tile(spark: SparkSession, d: str) -> DataFrame:
+    """The compact canonical tile of the grid without its outermost two cells."""
+    s = _samples(spark, d)
+    h = s.agg(F.max("r")).first()[0] or 0
+    return network.canonical_tile(s, W, (2, 2, h - 1, W - 2), 15.0, river=26, frozen=27, protected=[0, 3])
+
+
+def j_coarse(spark: SparkSession, d: str) -> DataFrame:
+    """Coarse drainage tiles of 25 x 25 cells."""
+    return network.coarse_tiles(_cells(spark, d), 25)
+
+
+def g_injection(spark: SparkSession, d: str) -> DataFrame:
+    """Where flow that crosses the west edge enters, five cells around each tenth row."""
+    links, c = _links(spark, d), _cells(spark, d)
+    inward = network.routes_inward(links, c.select("cell", F.col("c").alias("depth")), 2, 4)
+    own = c.filter("c = 1").join(inward, "cell").select(F.lit("west").alias("side"), F.col("r").alias("position"), "cell", "elev", "inward")
+    cross = c.filter("c = 0 and r % 10 = 0").select(F.col("r").alias("crossing"), F.lit("west").alias("side"), F.col("r").alias("position"))
+    return network.injection_cells(cross, own, 5)
+
+
+def j_meander(spark: SparkSession, d: str) -> DataFrame:
+    """Centres moved sideways by noise (tangents: ``j_segments``)."""
+    links, g = _links(spark, d), grid.climate(spark, d)
+    centres = g.select("cell", (F.col("r") + 0.5).alias("row"), (F.col("c") + 0.5).alias("col"))
+    m = network.meander(centres, links, g.select("cell", (F.col("precip") / 1000).alias("acc"), (F.col("pcv") / 20000).alias("slope")), W, 4242, 30.0)
+    return m.select("cell", F.round("row", 8).alias("row"), F.round("col", 8).alias("col"))
+
+
 def _watered(spark: SparkSession, d: str) -> DataFrame:
     g = grid.climate(spark, d)
-    fill = drainage.relax_fill(_cells(spark, d))
+    fill = filling.fill(_cells(spark, d))
     return cut(g.join(fill, ["r", "c"]).select("cell", "r", "c", "elev", "filled", "precip", (F.col("precip") / 1000).alias("acc"), scalar.col("river_density", region="region").alias("density")))
 
 
-def _fill_links(cells: DataFrame) -> DataFrame:
-    """Links of the filled surface: the lowest neighbour, ties in scan order, among those not above the cell; level
-    neighbours only with a lower number, so that no circle can arise."""
-    near = drainage.neighbours(cells.select("r", "c", "filled", "cell"), ["filled", "cell"], drainage.AROUND).join(cells.select("r", "c", "filled", "cell"), ["r", "c"])
-    ok = near.filter((F.col("n_filled") < F.col("filled")) | ((F.col("n_filled") == F.col("filled")) & (F.col("n_cell") < F.col("cell"))))
-    best = ok.groupBy("cell").agg(F.min(F.struct("n_filled", "k", "n_cell")).alias("m")).select("cell", F.col("m.n_cell").alias("down"))
-    return cells.select("cell").join(best, "cell", "left")
-
-
 def j_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """Water bodies and lakes."""
+    """Water bodies and lakes."""
     c = _watered(spark, d)
-    links = cut(_fill_links(c))
+    links = cut(flats.route(c, W))
     water = cut(drainage.bodies(c, links, W))
     lake = drainage.lakes(c, water)
     return water.join(lake, "cell", "left").select("cell", "body", F.round("throughflow", 6).alias("throughflow"), F.round("depth", 6).alias("depth"), F.round("lake", 6).alias("lake"))
@@ -108,7 +169,7 @@ def g_inflow(spark: SparkSession, d: str) -> DataFrame:
     return drainage.boundary_inflow(c, (2, 20, 8, 70))
 
 
-QUERIES = {f.__name__: f for f in (j_links, j_depth, j_accumulate, j_fill, j_flood, j_bodies, j_visible, j_upstream, j_centres, j_stamp, g_inflow)}
+QUERIES = {f.__name__: f for f in (j_links, j_depth, j_accumulate, j_fill, j_flood, j_flood_rim, j_flats, j_ranked, j_route, j_drain, j_network, j_tile, j_coarse, g_injection, j_meander, j_bodies, j_visible, j_upstream, j_centres, j_stamp, g_inflow)}
 
 _OFF = "off_ AS (SELECT row_number() OVER (ORDER BY dr, dc) AS k, dr, dc FROM range(-1, 2) x(dr), range(-1, 2) y(dc) WHERE NOT (dr = 0 AND dc = 0))"
 _NB = "nb AS (SELECT a.cell, b.cell AS ncell, a.elev AS e, b.elev AS ne, k FROM cells a CROSS JOIN off_ JOIN cells b ON b.r = a.r + dr AND b.c = a.c + dc)"
@@ -127,3 +188,4 @@ SQL = {
  e AS (SELECT *, least(greatest(1 - dist / greatest(0.55, radius + 0.35), 0), 1) AS q FROM d WHERE dist <= radius + 0.5), f AS (SELECT *, q * q * (3 - 2 * q) AS section FROM e WHERE q > 0)
 SELECT y AS r, x AS c, round(max(section), 6) AS section, round(first(surface ORDER BY section DESC, surface), 6) AS surface, round(max(load), 6) AS load FROM f GROUP BY y, x""",
 }
+SQL |= water_sql.SQL

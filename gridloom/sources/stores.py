@@ -39,6 +39,18 @@ def write_drainage(cells: DataFrame, path: str) -> None:
     cells.withColumn("version", F.lit(VERSION)).repartition(*KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
 
 
+def read_drainage(spark: SparkSession, path: str, seed: int, scale: int, tiles: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(tile_i, tile_j, cell, downstream, accumulation) of one world's coarse drainage tiles, all or those named; the
+    directories of others are pruned. Tiles of another version are a miss."""
+    d = spark.read.parquet(path).filter((F.col("version") == VERSION) & (F.col("seed") == seed) & (F.col("scale") == scale))
+    if tiles is not None:
+        hit = F.lit(False)
+        for i, j in tiles:
+            hit = hit | ((F.col("tile_i") == i) & (F.col("tile_j") == j))
+        d = d.filter(hit)
+    return d.select("tile_i", "tile_j", "cell", "downstream", "accumulation")
+
+
 MAGIC = b"GLTL"
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import hashing, noise, scalar
-from gridloom.operators import stats, drainage, focal, sites, tensor
+from gridloom.operators import drainage, filling, flats, focal, network, sites, stats, tensor
 from gridloom.rules import catalog as cat
 from gridloom.rules import checks
 from gridloom.rules import compile as comp
@@ -52,8 +52,58 @@ def test_flood_invariants_and_fixpoint(spark):
         flat = filled.ravel()
         assert (filled >= e).all() and len(order) == e.size
         assert all(flat[i] >= flat[d] for i, d in enumerate(down) if d >= 0)
-        got = array(drainage.relax_fill(frame(spark, e)).collect(), e.shape, "filled")
-        assert np.allclose(got, filled)
+        for side, group in ((4, 2), (9, 2), (128, 8)):
+            got = array(filling.fill(frame(spark, e), side=side, group=group).collect(), e.shape, "filled")
+            assert np.allclose(got, filled)
+
+
+def test_flats_by_tiles_and_routes(spark):
+    e = np.round(terrain(5), -1)
+    e[3:9, 2:11] = 50.0
+    g = frame(spark, e)
+    filled = drainage.flood(e)[0]
+    d = frame(spark, filled, "filled").join(g.select("cell", "elev"), "cell")
+    wide = sorted(map(str, flats.flat_distances(d).collect()))
+    assert wide == sorted(map(str, flats.flat_distances(d, side=3).collect()))
+    down = {r.cell: r.down for r in flats.route(d, e.shape[1], side=5).collect()}
+    flat = filled.ravel()
+    for cell in down:
+        seen, at = set(), cell
+        while down[at] is not None:
+            assert at not in seen and flat[down[at]] <= flat[at]
+            seen.add(at)
+            at = down[at]
+        r, c = divmod(at, e.shape[1])
+        assert r in (0, e.shape[0] - 1) or c in (0, e.shape[1] - 1) or e[r, c] <= 0 or flat[at] <= 0
+    n = {r.cell: r for r in network.drain(g.withColumn("one", F.lit(1.0)), e.shape[1], "one").collect()}
+    assert sum(r.acc for r in n.values() if r.down is None) == e.size
+
+
+def test_flood_rim(spark):
+    e = terrain(6)
+    g = frame(spark, e)
+    got = array(drainage.flood_with_rim(g, 7, max(e.shape)).collect(), e.shape, "filled")
+    assert np.allclose(got, drainage.flood(e)[0])
+    own = drainage.flood_with_rim(g, 7, 0).collect()
+    assert len(own) == e.size and all(r.filled >= e[r.r, r.c] for r in own)
+
+
+def test_coarse_tiles_and_injection(spark, tmp_path):
+    e = terrain(7)
+    t = network.coarse_tiles(frame(spark, e), 8)
+    rows = t.collect()
+    assert len(rows) == e.size and all(r.downstream != r.cell for r in rows)
+    per = {}
+    for r in rows:
+        if r.downstream < 0:
+            per[r.tile_i, r.tile_j] = per.get((r.tile_i, r.tile_j), 0) + r.accumulation
+    assert sum(per.values()) == e.size
+    stores.write_drainage(t.withColumns({"seed": F.lit(5), "scale": F.lit(1)}), str(tmp_path / "d"))
+    back = stores.read_drainage(spark, str(tmp_path / "d"), 5, 1, [(0, 1)])
+    assert sorted((r.cell, r.downstream) for r in back.collect()) == sorted((r.cell, r.downstream) for r in rows if (r.tile_i, r.tile_j) == (0, 1))
+    cross = spark.createDataFrame([(1, "west", 5), (2, "west", 50), (3, "east", 5)], "crossing int, side string, position int")
+    cand = spark.createDataFrame([("west", 3, 30, 7.0, True), ("west", 4, 40, 1.0, False), ("west", 8, 80, 7.0, True), ("east", 9, 90, 1.0, True)], "side string, position int, cell int, elev double, inward boolean")
+    assert {(r.crossing, r.cell) for r in network.injection_cells(cross, cand, 3).collect()} == {(1, 30)}
 
 
 def test_flood_tiles_do_not_depend_on_partitions(spark):
