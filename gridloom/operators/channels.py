@@ -94,6 +94,21 @@ def nearest_cell(cells: DataFrame, ok: str, r: int, c: int) -> DataFrame:
     return best.filter("m is not null").select("m.r", "m.c", "m.rings")
 
 
+def growing_search(cells: DataFrame, ok: str, r: int, c: int, *, first: int, most: int, step: int = 8) -> DataFrame:
+    """One row (r, c, span): the qualifying cell nearest to a place (by square rings, then row, then column) inside the
+    smallest window around it that has one; without any up to ``most``, the place itself and a null span.
+
+    One pass over the widest window: each cell knows the smallest window that holds it.
+    """
+    dr, dc = F.col("r") - r, F.col("c") - c
+    # a window of size s runs from -s/2 to s/2, its end left out
+    half = F.greatest(F.when(dr >= 0, dr + 1).otherwise(-dr), F.when(dc >= 0, dc + 1).otherwise(-dc))
+    size = F.greatest(F.lit(first), F.lit(first) + F.ceil((half * 2 - first) / step) * step)
+    inside = cells.filter((F.col("r") >= r - most // 2) & (F.col("r") < r + most // 2) & (F.col("c") >= c - most // 2) & (F.col("c") < c + most // 2)).filter(ok)
+    best = inside.agg(F.min(F.struct(size.cast("int").alias("span"), F.greatest(F.abs(dr), F.abs(dc)).alias("ring"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))).alias("m"))
+    return best.select(F.coalesce("m.r", F.lit(r)).cast("long").alias("r"), F.coalesce("m.c", F.lit(c)).cast("long").alias("c"), F.col("m.span").alias("span"))
+
+
 def representatives(samples: DataFrame, cls: str, axes: list[str], key: str) -> DataFrame:
     """(class, key): per class the sample nearest to its mean over the axes, ties to the lowest key."""
     mean = samples.groupBy(cls).agg(*[F.avg(a).alias(f"_{a}") for a in axes])

@@ -116,3 +116,19 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group with their place; partial limits run before the shuffle."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= k)
+
+
+def uncovered(used: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """(key): the distinct keys in use that the table does not have."""
+    return used.select(key).filter(F.col(key).isNotNull()).distinct().join(table.select(key).distinct(), key, "left_anti")
+
+
+def counters(calls: DataFrame, model: str, cost: str, batch: str) -> DataFrame:
+    """(model, calls, total, items): calls, summed cost and summed batch sizes by model, the costliest first, ties by name."""
+    d = calls.groupBy(F.col(model).alias("model")).agg(F.count("*").alias("calls"), F.sum(cost).alias("total"), F.sum(batch).alias("items"))
+    return d.orderBy(F.desc("total"), "model")
+
+
+def statuses(cells: DataFrame, status: str) -> DataFrame:
+    """(status, n): how many cells have each status."""
+    return cells.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))

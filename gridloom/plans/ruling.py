@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import text
 from gridloom.operators import stats
 from gridloom.plans import grid
 from gridloom.rules import catalog as cat
@@ -195,7 +196,54 @@ def k_fit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(w.items()), "class_index int, weight double")
 
 
-QUERIES = {f.__name__: f for f in (g_matches, g_bucket_matches, g_classify, g_lookup, g_catalog_join, h_shares, h_diversity, h_collisions, h_runners_up, h_encounter, h_ranges, h_pass_rates, h_extremes, h_won_share, h_fingerprint, i_top, k_discrete, k_ceiling, k_bounds, k_envelopes, k_snap, k_remap, k_widen, k_fit)}
+def b_colours(spark: SparkSession, d: str) -> DataFrame:
+    """Colours of class keys."""
+    k = grid.cells(spark, d).select(F.concat(F.lit("loam:key_"), F.col("cell") % 500).alias("key")).distinct()
+    return k.select("key", text.key_colour(F.col("key")).alias("colour"))
+
+
+def h_status(spark: SparkSession, d: str) -> DataFrame:
+    """How often a class wins, is eligible, or neither."""
+    from gridloom.plans.places import g_overlay
+
+    return stats.statuses(g_overlay(spark, d), "status")
+
+
+def h_caveats(spark: SparkSession, d: str) -> DataFrame:
+    """What the envelopes cannot show, two at most."""
+    c = checks.caveats(_table(spark), ["slope", "treeCoverage", "sparsity", "snowy"], 2)
+    return c.select("class_index", "zone", F.array_join("caveats", "; ").alias("caveats"), "truncated")
+
+
+def h_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Eligible rows outside the derived envelopes."""
+    env = checks.envelopes(_table(spark), cat.rule_table(spark, CAT))
+    return checks.violations(_matched(spark, d), "matches", env, ["temperatureC", "elevationM", "aridity"]).select("class_index", "zone", "eligible", "outside")
+
+
+def h_measure(spark: SparkSession, d: str) -> DataFrame:
+    """Percent of the rows that each class wins."""
+    k = _classified(spark, d)
+    n = k.groupBy("class_index").agg(F.count("*").alias("n"))
+    return n.select(F.col("class_index").cast("int").alias("class_index"), F.round(100.0 * F.col("n") / n.agg(F.sum("n").alias("t")).scalar(), 6).alias("percent"))
+
+
+def k_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """A rule's tightest conditions widened until it holds for a twentieth of the rows."""
+    rule = cat.Rule("lowland", conditions=(cat.Condition("temperatureC", "gt", 24.0), cat.Condition("aridity", "lt", 0.2), cat.Condition("elevationM", "gte", 0.0)))
+    s = _samples(spark, d)
+    changed, rate = checks.widen_greedily(s, rule, 0.05)
+    return spark.createDataFrame([(i, c.variable, c.op, c.value, rate) for i, c in enumerate(changed)], "no int, variable string, op string, value double, rate double").select("no", "variable", "op", F.round("value", 5).alias("value"), F.round("rate", 6).alias("rate"))
+
+
+def k_provinces(spark: SparkSession, d: str) -> DataFrame:
+    """Classes bound to provinces."""
+    bands = {"east": cat.Condition("regionNoise", "gt", 0.1), "west": cat.Condition("regionNoise", "lt", -0.1)}
+    c = checks.assign_provinces(CAT, {"loam:plain": "east", "loam:savanna": "west", "loam:meadow": "west", "loam:birch_forest": "east"}, bands, replace_gates={"loam:meadow"})
+    return cat.condition_table(spark, c).filter("part = 'noise'").select("class_index", "rule", "no", "variable", "op", F.round("value", 6).alias("value"), F.round("weight", 6).alias("weight"))
+
+
+QUERIES = {f.__name__: f for f in (g_matches, g_bucket_matches, g_classify, g_lookup, g_catalog_join, h_shares, h_diversity, h_collisions, h_runners_up, h_encounter, h_ranges, h_pass_rates, h_extremes, h_won_share, h_fingerprint, i_top, k_discrete, k_ceiling, k_bounds, k_envelopes, k_snap, k_remap, k_widen, k_fit, b_colours, h_status, h_caveats, h_violations, h_measure, k_greedy, k_provinces)}
 
 # ------------------------------------------------------------------------------------------------ SQL text
 
@@ -228,6 +276,17 @@ def _rates_sql() -> str:
 
 
 SQL = {
+    "b_colours": f"""WITH {grid.CELLS_SQL}, k AS (SELECT DISTINCT 'loam:key_' || (cell % 500) AS key FROM cells), h AS (SELECT key, list_reduce(list_prepend(0::HUGEINT, list_transform(regexp_extract_all(key, '.'), lambda c: unicode(c)::HUGEINT)), lambda a, b: (a * 31 + b) % 4294967296) AS h FROM k),
+ u AS (SELECT key, (h % 65536)::DOUBLE / 65535 * 6 AS h6 FROM h), w AS (SELECT key, floor(h6)::INT % 6 AS i, h6 - floor(h6) AS f FROM u), x AS (SELECT key, i, 0.85::DOUBLE AS v, 0.85::DOUBLE * (1 - 0.55::DOUBLE) AS p, 0.85::DOUBLE * (1 - 0.55::DOUBLE * f) AS q, 0.85::DOUBLE * (1 - 0.55::DOUBLE * (1 - f)) AS t FROM w),
+ y AS (SELECT key, CASE i WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END AS r, CASE i WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q ELSE p END AS g, CASE i WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v ELSE q END AS b FROM x)
+SELECT key, (floor(r * 255 + 0.5) * 65536 + floor(g * 255 + 0.5) * 256 + floor(b * 255 + 0.5))::INTEGER AS colour FROM y""",
+    "h_caveats": f"WITH {_COND}, a AS (SELECT class_index, zone, CASE WHEN flag IS NOT NULL THEN variable || ' == ' || flag::VARCHAR ELSE concat_ws(' ', variable, op, value::VARCHAR, value2::VARCHAR) END AS t, rule * 1000 + CASE WHEN part = 'noise' THEN 500 ELSE 0 END + no AS o FROM cond WHERE part = 'noise' OR variable IN ('slope', 'treeCoverage', 'sparsity', 'snowy')), f AS (SELECT class_index, zone, t, min(o) AS o FROM a GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY class_index, zone ORDER BY o) AS p, count(*) OVER (PARTITION BY class_index, zone) AS k FROM f) SELECT class_index, zone, string_agg(t, '; ' ORDER BY p) AS caveats, max(k) > 2 AS truncated FROM n WHERE p <= 2 GROUP BY class_index, zone",
+    "h_measure": f"WITH {_CLASS} SELECT class_index, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM kl), 6) AS percent FROM kl GROUP BY class_index",
+    "h_violations": f"WITH {_MATCH}, e AS (SELECT DISTINCT cell, class_index FROM mt), k AS (SELECT e.class_index, smp.zone FROM e JOIN smp USING (cell)) SELECT class_index, zone, count(*) AS eligible, 0::BIGINT AS outside FROM k GROUP BY class_index, zone",
+    "k_provinces": f"""WITH {_COND}, {_RULES}, w AS (SELECT rule, class_index, round(weight * 1.5, 6) AS weight FROM rls)
+SELECT class_index, rule, no, variable, op, round(value, 6) AS value, round(weight, 6) AS weight FROM cond WHERE part = 'noise' AND class_index <> 16
+UNION ALL SELECT class_index, rule, 0, 'regionNoise', CASE class_index WHEN 1 THEN 'gt' ELSE 'lt' END, CASE class_index WHEN 1 THEN 0.1 ELSE -0.1 END, weight FROM w WHERE class_index IN (1, 10, 16)""",
+    "k_widen": f"WITH {grid.SAMPLE_SQL}, k AS (SELECT \"temperatureC\" AS v FROM smp WHERE aridity < 1.5), n AS (SELECT (SELECT count(*) FROM k) AS held, (SELECT count(*) FROM smp) AS n) SELECT round(a.v + (b.v - a.v) * (p - floor(p)), 6) AS threshold, held, n FROM (SELECT *, (1 - 0.1::DOUBLE * n / held) * (held - 1) AS p FROM n) JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM k) a ON a.i = floor(p) JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM k) b ON b.i = floor(p) + 1",
     "g_matches": f"WITH {_MATCH} SELECT cell, ord, class_index FROM mt",
     "g_bucket_matches": f"WITH {_MATCH} SELECT cell, ord, class_index FROM mt",
     "g_classify": f"WITH {_CLASS} SELECT cell, zone, class_index FROM kl",

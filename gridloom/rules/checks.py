@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.stats import exact_percentiles
-from gridloom.rules.catalog import DISCRETE, HARD_BOUNDS
+from gridloom.rules.catalog import DISCRETE, HARD_BOUNDS, Catalog, Condition, Rule
 from gridloom.runtime import checked_broadcast, cut
 
 EPS = 1e-6
@@ -129,6 +131,97 @@ def widened(samples: DataFrame, variable: str, rest: Column, target: float, side
     return exact_percentiles(ranked, [], ["v"], [q]).select(F.col("value").alias("threshold"), F.lit(share.k).cast("long").alias("held"), F.lit(share.n).cast("long").alias("n"))
 
 
+def with_conditions(rule: Rule, changed: list[Condition]) -> Rule:
+    """The rule with the changed conditions in place of those on the same variable and operator."""
+    new = {(c.variable, c.op): c for c in changed}
+    return replace(rule, conditions=tuple(new.get((c.variable, c.op), c) if c.flag is None else c for c in rule.conditions))
+
+
+def widen_greedily(samples: DataFrame, rule: Rule, target: float, most: int = 2) -> tuple[list[Condition], float]:
+    """(widened conditions, joint rate): the tightest one or two conditions of a rule moved until it holds for ``target``.
+
+    Conditions are taken by their own pass rate, the rarest first, with the others as they are by then. A threshold moves
+    to the order statistic of the variable among the rows that hold the others (an exact percentile, no search); a
+    between widens on both sides alike in rank around its middle. Flags and equalities are left, as is a condition
+    whose others hold nowhere. The rate may stay below the target.
+    """
+    from gridloom.rules.compile import predicate, rule_predicate
+
+    columns = set(samples.columns)
+    own = list(rule.conditions)
+    held = samples.agg(F.count("*").alias("n"), *[F.count_if(predicate(c, columns)).alias(f"c{i}") for i, c in enumerate(own)]).first()
+    joint = lambda: samples.agg(F.count_if(rule_predicate(replace(rule, conditions=tuple(own), noise=()), columns))).first()[0] / max(held.n, 1)
+    changed: list[Condition] = []
+    for i in sorted(range(len(own)), key=lambda i: (held[f"c{i}"], i)):
+        c = own[i]
+        if len(changed) >= most or joint() >= target:
+            break
+        if c.flag is not None or c.op in ("eq", None) or c.variable not in columns:
+            continue
+        rest = rule_predicate(replace(rule, conditions=tuple(x for k, x in enumerate(own) if k != i), noise=()), columns)
+        values = samples.filter(rest & F.col(c.variable).isNotNull() & ~F.isnan(c.variable)).select(F.col(c.variable).cast("double").alias("v"))
+        n = values.count()
+        if not n:
+            continue
+        share = min(target * held.n / n, 1.0)
+        if c.op == "between":
+            at = values.agg(F.count_if(F.col("v") < (c.value + c.value2) / 2)).first()[0] / n
+            lo = min(max(at - share / 2, 0.0), 1.0 - share)
+            cuts = sorted({lo, lo + share})
+        else:
+            cuts = [1 - share] if c.op in ("gt", "gte") else [share]
+        q = [r.value for r in exact_percentiles(values, [], ["v"], cuts).orderBy("cut").collect()]
+        low, high = q[0], q[-1]
+        new = {"between": lambda: replace(c, value=min(low, c.value), value2=max(high, c.value2)), "gt": lambda: replace(c, value=min(low, c.value) - EPS), "gte": lambda: replace(c, value=min(low, c.value)),
+               "lt": lambda: replace(c, value=max(high, c.value) + EPS), "lte": lambda: replace(c, value=max(high, c.value))}[c.op]()
+        own[i] = new
+        changed.append(new)
+    return changed, joint()
+
+
+#: What a gated class's weight is multiplied with, and where it ends (fixed values).
+BOOST, CAP = 1.5, 8.0
+
+
+def assign_provinces(catalog: Catalog, province: dict[str, str], bands: dict[str, Condition], *, replace_gates: set[str] = frozenset(), weights: dict[str, float] | None = None) -> Catalog:
+    """The catalog with classes bound to provinces of the region field: a rule without a noise gate gets its province's
+    band, one with a gate keeps it unless the class is in ``replace_gates``. Classes that changed weigh more, or
+    what ``weights`` says."""
+    out = []
+    for c in catalog.classes:
+        band = bands.get(province.get(c.key, ""))
+        rules = tuple(replace(r, noise=(band,)) if band and (not r.noise or c.key in replace_gates) else r for r in c.rules)
+        if band and rules != c.rules:
+            own = (weights or {}).get(c.key)
+            rules = tuple(replace(r, weight=own if own is not None else round(min(r.weight * BOOST, CAP), 3)) for r in rules)
+        out.append(replace(c, rules=rules))
+    return replace(catalog, classes=tuple(out))
+
+
+def caveats(c: DataFrame, opaque: list[str], most: int = 10) -> DataFrame:
+    """(class, zone, caveats, truncated): what a class's envelope in a zone cannot show, each once, in the order met and at
+    most ``most``: conditions on opaque variables and all noise gates."""
+    text = F.when(F.col("flag").isNotNull(), F.concat("variable", F.lit(" == "), F.col("flag").cast("string"))).otherwise(F.concat_ws(" ", "variable", "op", F.col("value").cast("string"), F.col("value2").cast("string")))
+    d = c.filter((F.col("part") == "noise") | F.col("variable").isin(opaque)).withColumn("t", text)
+    first = d.groupBy("class_index", "zone", "t").agg(F.min(F.struct("rule", F.col("part") == "noise", "no")).alias("at"))
+    # one entry per distinct condition of a class, which a catalog bounds
+    g = first.groupBy("class_index", "zone").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]).alias("all"))
+    return g.select("class_index", "zone", F.slice("all", 1, most).alias("caveats"), (F.size("all") > most).alias("truncated"))
+
+
+def violations(samples: DataFrame, matches: str, env: DataFrame, channels: list[str], *, zone: str = "zone") -> DataFrame:
+    """(class, zone, eligible, outside, and out_<channel>): of the rows where a class can win in its zone, how many lie
+    outside the envelope that was derived for it, by channel and at all. env: from ``envelopes``."""
+    wide = env.groupBy("class_index", "zone").agg(*[F.max(F.when(F.col("variable") == v, F.struct("lo", "hi"))).alias(f"_{v}") for v in channels])
+    d = samples.select(F.col(zone).alias("zone"), *channels, F.explode(F.array_distinct(F.transform(matches, lambda m: m["class_index"]))).alias("class_index"))
+    j = d.join(checked_broadcast(wide), ["zone", "class_index"], "left")
+    off = {v: F.coalesce((F.col(v) < F.col(f"_{v}")["lo"]) | (F.col(v) > F.col(f"_{v}")["hi"]), F.col(v) < F.col(f"_{v}")["lo"], F.col(v) > F.col(f"_{v}")["hi"], F.lit(False)) for v in channels}
+    any_off = F.lit(False)
+    for x in off.values():
+        any_off = any_off | x
+    return j.groupBy("class_index", "zone").agg(F.count("*").alias("eligible"), F.count_if(any_off).alias("outside"), *[F.count_if(x).alias(f"out_{v}") for v, x in off.items()])
+
+
 def remap(samples: DataFrame, variable: str, rates: list[float]) -> DataFrame:
     """(rate, threshold): for each rate, the value that the variable exceeds that often."""
     found = exact_percentiles(samples, [], [variable], [1 - r for r in rates])
