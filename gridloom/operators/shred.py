@@ -148,6 +148,12 @@ def _text(v: object) -> str | None:
     return None if v is None else v if isinstance(v, str) else json.dumps(v)
 
 
+def _extra(v: dict, known: set[str]) -> str | None:
+    """The fields that the schema does not know, as JSON text; None without any."""
+    rest = {k: x for k, x in v.items() if k not in known}
+    return json.dumps(rest, ensure_ascii=False, sort_keys=True) if rest else None
+
+
 def _cond(v: object) -> dict | None:
     if isinstance(v, str):
         try:
@@ -156,7 +162,7 @@ def _cond(v: object) -> dict | None:
             v = {"variable": v}
     if not isinstance(v, dict):
         return None
-    return {"variable": _text(v.get("variable")), "op": _text(v.get("op")), "value": _num(v.get("value")), "value2": _num(v.get("value2")), "bool": _flag(v.get("bool"))}
+    return {"variable": _text(v.get("variable")), "op": _text(v.get("op")), "value": _num(v.get("value")), "value2": _num(v.get("value2")), "bool": _flag(v.get("bool")), "extra": _extra(v, {"variable", "op", "value", "value2", "bool"})}
 
 
 def _rule(v: object) -> dict | None:
@@ -172,6 +178,7 @@ def _rule(v: object) -> dict | None:
         "conditions": [_cond(c) for c in as_list(v.get("conditions"))],
         "noiseConditions": [_cond(c) for c in as_list(v.get("noiseConditions"))],
         "requiredMods": [_text(m) for m in as_list(v.get("requiredMods"))],
+        "extra": _extra(v, {"zone", "rarity", "override", "conditions", "noiseConditions", "requiredMods"}),
     }
 
 
@@ -192,16 +199,17 @@ def parse_class(body: str | None) -> dict | None:
     if not isinstance(j, dict):
         return None
     own = {n: read(next((j[k] for k in (n, _SHORT.get(n)) if k in j), None)) for n, _, read in CLASS_FIELDS}
-    return own | {"requiredMods": [_text(m) for m in as_list(j.get("requiredMods"))], "rules": [_rule(r) for r in as_list(j.get("rules"))]}
+    known = {n for n, _, _ in CLASS_FIELDS} | set(_SHORT.values()) | {"requiredMods", "rules"}
+    return own | {"extra": _extra(j, known), "requiredMods": [_text(m) for m in as_list(j.get("requiredMods"))], "rules": [_rule(r) for r in as_list(j.get("rules"))]}
 
 
-COND = pa.struct([("variable", pa.string()), ("op", pa.string()), ("value", pa.float64()), ("value2", pa.float64()), ("bool", pa.bool_())])
-RULE = pa.struct([("zone", pa.string()), ("rarity", pa.float64()), ("override", pa.bool_()), ("conditions", pa.list_(COND)), ("noiseConditions", pa.list_(COND)), ("requiredMods", pa.list_(pa.string()))])
+COND = pa.struct([("variable", pa.string()), ("op", pa.string()), ("value", pa.float64()), ("value2", pa.float64()), ("bool", pa.bool_()), ("extra", pa.string())])
+RULE = pa.struct([("zone", pa.string()), ("rarity", pa.float64()), ("override", pa.bool_()), ("conditions", pa.list_(COND)), ("noiseConditions", pa.list_(COND)), ("requiredMods", pa.list_(pa.string())), ("extra", pa.string())])
 CLASS_DDL = (
     "record_id long, pack_id int, biome_index int, biome_key string, fallbackKey string, kind string, color int, hardBoundary boolean, "
-    "blendable boolean, river boolean, frozenRiver boolean, canGenerateOverworld boolean, requiredMods array<string>, rules array<struct<zone string, rarity double, override boolean, "
-    "conditions array<struct<variable string, op string, value double, value2 double, bool boolean>>, "
-    "noiseConditions array<struct<variable string, op string, value double, value2 double, bool boolean>>, requiredMods array<string>>>"
+    "blendable boolean, river boolean, frozenRiver boolean, canGenerateOverworld boolean, extra string, requiredMods array<string>, rules array<struct<zone string, rarity double, override boolean, "
+    "conditions array<struct<variable string, op string, value double, value2 double, bool boolean, extra string>>, "
+    "noiseConditions array<struct<variable string, op string, value double, value2 double, bool boolean, extra string>>, requiredMods array<string>, extra string>>"
 )
 
 
@@ -210,8 +218,8 @@ def parse_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [parse_class(x) or {"requiredMods": [], "rules": []} for x in b.column("body").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b.column("record_id"), b.column("pack_id") if "pack_id" in b.schema.names else pa.nulls(len(rows), pa.int32()), *[pa.array([r.get(n) for r in rows], t) for n, t, _ in CLASS_FIELDS], pa.array([r["requiredMods"] for r in rows], pa.list_(pa.string())), pa.array([r["rules"] for r in rows], pa.list_(RULE))],
-            names=["record_id", "pack_id", *[n for n, _, _ in CLASS_FIELDS], "requiredMods", "rules"],
+            [b.column("record_id"), b.column("pack_id") if "pack_id" in b.schema.names else pa.nulls(len(rows), pa.int32()), *[pa.array([r.get(n) for r in rows], t) for n, t, _ in CLASS_FIELDS], pa.array([r.get("extra") for r in rows], pa.string()), pa.array([r["requiredMods"] for r in rows], pa.list_(pa.string())), pa.array([r["rules"] for r in rows], pa.list_(RULE))],
+            names=["record_id", "pack_id", *[n for n, _, _ in CLASS_FIELDS], "extra", "requiredMods", "rules"],
         )
 
 
@@ -238,7 +246,7 @@ def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-RULE_ROW_DDL = "record_id long, rule_no int, zone string, rarity double, override boolean"
+RULE_ROW_DDL = "record_id long, rule_no int, zone string, rarity double, override boolean, extra string"
 
 
 def rule_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,12 +259,12 @@ def rule_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = present_elements(lv, not_null=True)
         take = pa.array(keep)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[record[keep]], pa.int64()), pa.array(places[0][keep], pa.int32()), lv.values.filter(take), by["rules.rarity"].values.filter(take).cast(pa.float64()), by["rules.override"].values.filter(take)],
-            names=["record_id", "rule_no", "zone", "rarity", "override"],
+            [pa.array(ids[record[keep]], pa.int64()), pa.array(places[0][keep], pa.int32()), lv.values.filter(take), by["rules.rarity"].values.filter(take).cast(pa.float64()), by["rules.override"].values.filter(take), by["rules.extra"].values.filter(take).cast(pa.string())],
+            names=["record_id", "rule_no", "zone", "rarity", "override", "extra"],
         )
 
 
-CONDITION_DDL = "record_id long, rule_no int, list_name string, item_no int, variable string, op string, value double, value2 double, bool boolean"
+CONDITION_DDL = "record_id long, rule_no int, list_name string, item_no int, variable string, op string, value double, value2 double, bool boolean, extra string"
 
 
 def condition_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +283,26 @@ def condition_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+EXTRA_DDL = "record_id long, rule_no int, list_name string, item_no int, field string, value string"
+
+
+def extra_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per field that the schema does not know, with its value as JSON text and the place of its owner: a class
+    (rule_no -1), a rule, or a condition (list_name and item_no, else empty and -1)."""
+    wanted = {"rules.extra": "", "rules.conditions.extra": "conditions", "rules.noiseConditions.extra": "noiseConditions"}
+    for b in batches:
+        ids = np.asarray(b.column("record_id"))
+        rows = [(i, -1, "", -1, x) for i, x in zip(ids.tolist(), b.column("extra").to_pylist()) if x]
+        for lv in shred(b.column("rules"), "rules"):
+            if lv.path in wanted:
+                record, places = ordinals(lv)
+                for k in np.flatnonzero(_valid(lv.values)):
+                    rows.append((int(ids[record[k]]), int(places[0][k]), wanted[lv.path], int(places[1][k]) if lv.max_rep == 2 else -1, lv.values[int(k)].as_py()))
+        out = [(*r[:4], f, json.dumps(v, ensure_ascii=False)) for r in rows for f, v in json.loads(r[4]).items()]
+        cols = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()))], names=["record_id", "rule_no", "list_name", "item_no", "field", "value"])
+
+
 LEVEL_DDL = "record_id long, path string, entry int, rep int, def int, value string"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import drift, hierarchy, keyed, shred
 from gridloom.plans._tables import cells, last_samples
-from gridloom.plans.records_sql import P6_FOUND
+from gridloom.plans.records_sql import P6
 from gridloom.runtime import latest, load
 
 FILE_KEYS = ["pack_id", "file_name"]
@@ -98,7 +98,11 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
     typed = latest(load(spark, d, "biome_catalog").select("record_id", "loaded_at", *values), ["record_id"], "loaded_at", values).drop("loaded_at")
     raw = latest(load(spark, d, "catalog_raw").select("record_id", "received_at", "body", "pack_id"), ["record_id"], "received_at", ["body", "pack_id"])
     parsed = raw.select("record_id", "pack_id", "body").mapInArrow(shred.parse_bodies, shred.CLASS_DDL)
-    return typed.select("record_id", *[F.col(n).cast(parsed.schema[n].dataType.simpleString()).alias(n) for n in ["pack_id", *own, "requiredMods", "rules"]]).unionByName(parsed)
+    # the typed table has no unknown fields
+    cond = lambda c: F.when(c.isNotNull(), F.struct(*[c[n].alias(n) for n in ("variable", "op", "value", "value2", "bool")], F.lit(None).cast("string").alias("extra")))
+    rule = lambda r: F.when(r.isNotNull(), F.struct(r["zone"].alias("zone"), r["rarity"].cast("double").alias("rarity"), r["override"].alias("override"), F.transform(r["conditions"], cond).alias("conditions"), F.transform(r["noiseConditions"], cond).alias("noiseConditions"), r["requiredMods"].alias("requiredMods"), F.lit(None).cast("string").alias("extra")))
+    typed = typed.withColumns({"rules": F.transform("rules", rule), "extra": F.lit(None).cast("string")})
+    return typed.select("record_id", *[F.col(n).cast(parsed.schema[n].dataType.simpleString()).alias(n) for n in ["pack_id", *own, "extra", "requiredMods", "rules"]]).unionByName(parsed)
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +114,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
-    return _classes(spark, d).drop("requiredMods", "rules")
+    """One row per class; unknown fields are in ``p6_extras``."""
+    return _classes(spark, d).drop("requiredMods", "rules", "extra")
 
 
 def p6_conditions(spark: SparkSession, d: str) -> DataFrame:
@@ -121,11 +126,30 @@ def p6_rules(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).mapInArrow(shred.rule_rows, shred.RULE_ROW_DDL).withColumn("rarity", F.round("rarity", 4))
 
 
+def p6_mods(spark: SparkSession, d: str) -> DataFrame:
+    """Mods that a class (rule_no -1) or a rule requires."""
+    return p6_found(spark, d).filter("list_name = 'requiredMods'").select("record_id", "rule_no", "item_no", F.col("item").alias("mod"))
+
+
+def p6_extras(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that the schema does not know, with the place of their owner."""
+    return _extras(spark, d).drop("value")
+
+
+def p6_extra_values(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the values as JSON text."""
+    return _extras(spark, d)
+
+
+def _extras(spark: SparkSession, d: str) -> DataFrame:
+    return _classes(spark, d).select("record_id", "extra", "rules").mapInArrow(shred.extra_rows, shred.EXTRA_DDL)
+
+
 def p6_levels(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).mapInArrow(shred.level_rows, shred.LEVEL_DDL)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_failed_casts, p1_paths, p1_shifts, p3_found, p3_joined, p3_paths, p3_descendants, p4_found, p4_profile, p6_found, p6_classes, p6_conditions, p6_rules, p6_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_table, p1_failed_casts, p1_paths, p1_shifts, p3_found, p3_joined, p3_paths, p3_descendants, p4_found, p4_profile, p6_found, p6_classes, p6_conditions, p6_rules, p6_mods, p6_extras, p6_extra_values, p6_levels)}
 
 _LAST = """last AS (SELECT sample_id, lower(trim(zone)) AS zone, biome_index, candidate_counts, candidates FROM (
   SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY classified_at DESC, zone DESC NULLS LAST, biome_index DESC NULLS LAST) AS r FROM classification_result) WHERE r = 1)"""
@@ -157,7 +181,6 @@ SQL = {
  r AS (SELECT pack_id, file_name, pack_format, count(*) FILTER (WHERE nk IS NOT NULL AND nk <> ok AND nk <> 'null' AND ok <> 'null') AS retyped, count(*) FILTER (WHERE op IS NOT NULL AND nk IS NULL AND ok <> 'object') AS gone FROM (SELECT o.*, d.nk FROM o LEFT JOIN d ON d.pack_id = o.pack_id AND d.file_name = o.file_name AND d.pack_format = o.pack_format AND d.np = o.op) GROUP BY ALL),
  c AS (SELECT pack_id, file_name, pack_format, count(*) FILTER (WHERE np IS NOT NULL AND ok IS NULL AND nk <> 'object') AS come FROM (SELECT d.*, o.ok FROM d LEFT JOIN o ON o.pack_id = d.pack_id AND o.file_name = d.file_name AND o.pack_format = d.pack_format AND o.op = d.np) GROUP BY ALL)
 SELECT pack_id, file_name, pack_format, retyped::INTEGER AS retyped, gone::INTEGER AS gone, come::INTEGER AS come FROM r JOIN c USING (pack_id, file_name, pack_format)""",
-    "p6_found": P6_FOUND,
     "p3_paths": _TREE + "SELECT tile_id, cell, root_cell, depth, path FROM t UNION ALL SELECT w.tile_id, w.cell, min(w.z), -1, NULL FROM w JOIN ring ON ring.tile_id = w.tile_id AND ring.cell = w.z GROUP BY w.tile_id, w.cell",
     "p3_descendants": _TREE + ", u AS (SELECT tile_id, cell AS upstream_cell, unnest(path) AS cell, generate_subscripts(path, 1) - 1 AS steps FROM t) SELECT tile_id, cell, upstream_cell, steps::INTEGER AS steps FROM u WHERE steps > 0",
     "p3_found": _TREE + "SELECT tile_id, cell, root_cell, depth FROM t UNION ALL SELECT w.tile_id, w.cell, min(w.z), -1 FROM w JOIN ring ON ring.tile_id = w.tile_id AND ring.cell = w.z GROUP BY w.tile_id, w.cell",
@@ -169,3 +192,4 @@ SELECT zone, biome_index, count(*) AS samples, round(avg(candidate_counts::DOUBL
 FROM last LEFT JOIN clim USING (sample_id) GROUP BY zone, biome_index""",
 }
 SQL["p3_joined"] = SQL["p3_found"]
+SQL |= P6
