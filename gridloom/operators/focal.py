@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gridloom.runtime import checked_broadcast
+
 RC = ["r", "c"]
 AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -166,32 +168,45 @@ def blur(g: DataFrame, value: str, kernel: list[float], name: str, *, renormalis
     return by_tile(g, len(kernel) // 2, lambda d: _blurred(d, value, kernel, name, renormalise))
 
 
+def quads(g: DataFrame, values: list[str], *, repeat: bool = True) -> DataFrame:
+    """(r, c, quad): each cell's values with those to the right, below, and right below; a missing one repeats its
+    neighbour, or is null without ``repeat``."""
+    four = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("r") - a).alias("r"), (F.col("c") - b).alias("c")) for k, (a, b) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1)])])
+    d = g.select(F.explode(four).alias("_q"), F.struct(*values).alias("_v")).select("_q.*", "_v")
+    d = d.groupBy("r", "c").agg(*[F.any_value(F.when(F.col("k") == k, F.col("_v")), True).alias(f"_{k}") for k in range(4)])
+    a, b, e, f = (F.col(f"_{k}") for k in range(4))
+    if not repeat:
+        return d.select("r", "c", F.struct(a.alias("a"), b.alias("b"), e.alias("e"), f.alias("f")).alias("quad"))
+    # beyond an edge the nearest row or column is repeated
+    own = [F.coalesce(a, e, b, f).alias("a"), F.coalesce(b, f, a, e).alias("b"), F.coalesce(e, a, f, b).alias("e"), F.coalesce(f, b, e, a).alias("f")]
+    return d.select("r", "c", F.struct(*own).alias("quad"))
+
+
 def resize(g: DataFrame, value: str, size: tuple[int, int], target: tuple[int, int], *, window: tuple[int, int, int, int] | None = None, extrapolate: bool = False) -> DataFrame:
     """Bilinear resize with half-pixel centres: (r, c, value) of the target grid, or of its window (r0, c0, r1, c1).
 
     Samples beyond the outer centres repeat the edge, or follow its last difference with ``extrapolate``. Only the
-    window's cells are generated, and only their four taps are read; where a tap has no cell the value is null.
+    window's cells are generated, and each meets one row that holds its four taps; where a tap has no cell the value is
+    null.
     """
     (h, w), (th, tw) = size, target
     r0, c0, r1, c1 = window or (0, 0, th, tw)
-    spark = g.sparkSession
-    cells = spark.range((r1 - r0) * (c1 - c0)).select((F.floor(F.col("id") / (c1 - c0)) + r0).alias("r"), (F.col("id") % (c1 - c0) + c0).alias("c"))
+    cells = g.sparkSession.range(max(r1 - r0, 0) * max(c1 - c0, 0)).select((F.floor(F.col("id") / max(c1 - c0, 1)) + r0).alias("r"), (F.col("id") % max(c1 - c0, 1) + c0).alias("c"))
 
-    def taps(x: Column, n: int, tn: int) -> tuple[Column, Column]:
-        at = (x + 0.5) * n / tn - 0.5
-        if not extrapolate:
+    def tap(x: str, n: int, tn: int) -> tuple[Column, Column]:
+        at = (F.col(x) + 0.5) * n / max(tn, 1) - 0.5
+        if not extrapolate or n == 1:
             at = F.least(F.greatest(at, F.lit(0.0)), F.lit(n - 1.0))
         low = F.least(F.greatest(F.floor(at), F.lit(0)), F.lit(max(n - 2, 0)))
         return low, at - low
 
-    (rl, rf), (cl, cf) = taps(F.col("r"), h, th), taps(F.col("c"), w, tw)
-    four = cells.select("r", "c", F.explode(F.array(*[
-        F.struct((rl + a).cast("long").alias("sr"), (cl + b).cast("long").alias("sc"), ((rf if a else 1 - rf) * (cf if b else 1 - cf)).alias("wt"))
-        for a in ((0, 1) if h > 1 else (0,)) for b in ((0, 1) if w > 1 else (0,))
-    ])).alias("t")).select("r", "c", "t.*").filter("wt <> 0")
-    src = g.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).alias("v"))
-    whole = F.count("v") == F.count("*")
-    return four.join(src, ["sr", "sc"], "left").groupBy("r", "c").agg(F.when(whole, F.sum(F.col("v") * F.col("wt"))).alias(value))
+    (rl, rf), (cl, cf) = tap("r", h, th), tap("c", w, tw)
+    d = cells.select("r", "c", rl.alias("_r"), cl.alias("_c"), rf.alias("_fr"), cf.alias("_fc"))
+    four = quads(g.select("r", "c", F.col(value).cast("double").alias("v")), ["v"], repeat=False).select(F.col("r").alias("_r"), F.col("c").alias("_c"), "quad")
+    d = d.join(checked_broadcast(four), ["_r", "_c"], "left")
+    weights = {"a": (1 - F.col("_fr")) * (1 - F.col("_fc")), "b": (1 - F.col("_fr")) * F.col("_fc"), "e": F.col("_fr") * (1 - F.col("_fc")), "f": F.col("_fr") * F.col("_fc")}
+    parts = [F.when(x == 0, 0.0).otherwise(F.col("quad")[k]["v"] * x) for k, x in weights.items()]
+    return d.select("r", "c", sum(parts[1:], parts[0]).alias(value))
 
 
 def nearest(g: DataFrame, value: str, size: tuple[int, int], target: tuple[int, int]) -> DataFrame:

@@ -19,21 +19,10 @@ from gridloom.operators import focal
 from gridloom.runtime import checked_broadcast
 
 
-def quads(g: DataFrame, values: list[str]) -> DataFrame:
-    """(r, c, quad): each cell's values with those to the right, below, and right below; a missing one repeats its neighbour."""
-    four = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("r") - a).alias("r"), (F.col("c") - b).alias("c")) for k, (a, b) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1)])])
-    d = g.select(F.explode(four).alias("_q"), F.struct(*values).alias("_v")).select("_q.*", "_v")
-    d = d.groupBy("r", "c").agg(*[F.any_value(F.when(F.col("k") == k, F.col("_v")), True).alias(f"_{k}") for k in range(4)])
-    a, b, e, f = (F.col(f"_{k}") for k in range(4))
-    # beyond an edge the nearest row or column is repeated
-    own = [F.coalesce(a, e, b, f).alias("a"), F.coalesce(b, f, a, e).alias("b"), F.coalesce(e, a, f, b).alias("e"), F.coalesce(f, b, e, a).alias("f")]
-    return d.select("r", "c", F.struct(*own).alias("quad"))
-
-
 def bilinear_at(points: DataFrame, y: str, x: str, g: DataFrame, values: list[str]) -> DataFrame:
     """``points`` with the values of a coarse grid at fractional places, in cells (a cell's own place is its number)."""
     d = points.withColumns({"_r": F.floor(F.col(y)), "_c": F.floor(F.col(x))})
-    q = quads(g, values).select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("quad").alias("_quad"))
+    q = focal.quads(g, values).select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("quad").alias("_quad"))
     d = d.join(checked_broadcast(q), ["_r", "_c"], "left")
     fy, fx = F.col(y) - F.col("_r"), F.col(x) - F.col("_c")
     mix = lambda v: (F.col("_quad")["a"][v] * (1 - fx) + F.col("_quad")["b"][v] * fx) * (1 - fy) + (F.col("_quad")["e"][v] * (1 - fx) + F.col("_quad")["f"][v] * fx) * fy

@@ -132,5 +132,5 @@ _RASTER_SQL = f"""{grid.CELLS_SQL}, ce AS (SELECT cell, r, c, CASE WHEN cell % 3
  ras AS MATERIALIZED (SELECT k.c AS x, k.r AS z, k.elev, sqrt(power(CASE WHEN least(k.c + 2, hc) > greatest(k.c - 2, 0) THEN (p.elev - q.elev) / (p.c - q.c) ELSE 0 END, 2) + power(CASE WHEN least(k.r + 2, hr) > greatest(k.r - 2, 0) THEN (s.elev - t.elev) / (s.r - t.r) ELSE 0 END, 2)) / 8 AS slope, {_KEYLIST}[k.cell % {len(KEYS)} + 1] AS key, k.cell % 11 = 0 AS river
  FROM cx_ k JOIN ce p ON p.r = k.r AND p.c = least(k.c + 2, hc) JOIN ce q ON q.r = k.r AND q.c = greatest(k.c - 2, 0) JOIN ce s ON s.c = k.c AND s.r = least(k.r + 2, hr) JOIN ce t ON t.c = k.c AND t.r = greatest(k.r - 2, 0))"""
 _PARTS = [_feature_sql(n) for n in sites.FEATURES]
-SQL["site_features"] = f"WITH {_RASTER_SQL}, lat AS (SELECT cx, cz FROM range(0, 25) a(cx), range(0, 250) b(cz)), {', '.join(c for c, _ in _PARTS)} {' UNION ALL '.join(q for _, q in _PARTS)}"
+SQL["site_features"] = f"WITH {_RASTER_SQL}, lat AS (SELECT cx, cz FROM range(0, (SELECT max(x) // 4 + 1 FROM ras)) a(cx), range(0, (SELECT max(z) // 4 + 1 FROM ras)) b(cz)), {', '.join(c for c, _ in _PARTS)} {' UNION ALL '.join(q for _, q in _PARTS)}"
 SQL["h_status"] = f"SELECT status, count(*) AS n FROM ({SQL['g_overlay']}) GROUP BY status"

@@ -81,42 +81,28 @@ def e_blur(spark: SparkSession, d: str) -> DataFrame:
     return g.select("cell", F.round("clamped", 6).alias("clamped"), F.round("renormalised", 6).alias("renormalised"))
 
 
-def _tile(spark: SparkSession, d: str) -> DataFrame:
-    """The small tile of the queries whose SQL twins are fixed to it; the ``_whole`` queries take every cell."""
-    return grid.cells(spark, d).filter("r < 8 and c < 10")
-
-
-def e_resize(spark: SparkSession, d: str) -> DataFrame:
-    """An 8 x 10 tile at 20 x 33, and only a window of it."""
-    return focal.resize(_tile(spark, d), "elev", (8, 10), (20, 33), window=(3, 4, 17, 30)).select("r", "c", F.round("elev", 6).alias("elev"))
-
-
-def e_resize_extrapolated(spark: SparkSession, d: str) -> DataFrame:
-    return focal.resize(_tile(spark, d), "elev", (8, 10), (20, 33), extrapolate=True).select("r", "c", F.round("elev", 6).alias("elev"))
-
-
-def e_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return focal.nearest(_tile(spark, d), "elev", (8, 10), (24, 25)).select("r", "c", "elev")
-
-
 def _size(g: DataFrame) -> tuple[int, int]:
     """Rows and columns of a grid that starts at (0, 0)."""
     m = g.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
     return (0, 0) if m.r is None else (m.r + 1, m.c + 1)
 
 
-def e_resize_whole(spark: SparkSession, d: str, extrapolate: bool = False) -> DataFrame:
-    """The whole grid, 2.5 times as high and 3.3 times as wide (checked against numpy in the tests)."""
+def e_resize(spark: SparkSession, d: str) -> DataFrame:
+    """The grid 2.5 times as high and 3.3 times as wide, without the outermost cells."""
     g = grid.cells(spark, d)
     h, w = _size(g)
-    return focal.resize(g, "elev", (h, w), (h * 5 // 2, w * 33 // 10), extrapolate=extrapolate).select("r", "c", F.round("elev", 6).alias("elev"))
+    th, tw = h * 5 // 2, w * 33 // 10
+    return focal.resize(g, "elev", (h, w), (th, tw), window=(3, 4, th - 2, tw - 5)).select("r", "c", F.round("elev", 6).alias("elev"))
 
 
-def e_resize_extrapolated_whole(spark: SparkSession, d: str) -> DataFrame:
-    return e_resize_whole(spark, d, extrapolate=True)
+def e_resize_extrapolated(spark: SparkSession, d: str) -> DataFrame:
+    """All of it, its rim following the last difference."""
+    g = grid.cells(spark, d)
+    h, w = _size(g)
+    return focal.resize(g, "elev", (h, w), (h * 5 // 2, w * 33 // 10), extrapolate=True).select("r", "c", F.round("elev", 6).alias("elev"))
 
 
-def e_nearest_whole(spark: SparkSession, d: str) -> DataFrame:
+def e_nearest(spark: SparkSession, d: str) -> DataFrame:
     g = grid.cells(spark, d)
     h, w = _size(g)
     return focal.nearest(g, "elev", (h, w), (h * 3, w * 5 // 2)).select("r", "c", "elev")
@@ -162,12 +148,7 @@ def e_bed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e_pad_crop(spark: SparkSession, d: str) -> DataFrame:
-    """A padded tile, and a box of it."""
-    return focal.crop(focal.pad(_tile(spark, d), (8, 10), ["elev"]), 0, 0, 6, 12).select("r", "c", "elev")
-
-
-def e_pad_crop_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The whole grid padded, and all of that but its lowest row."""
+    """The grid padded, and all of that but its lowest row."""
     g = grid.cells(spark, d)
     h, w = _size(g)
     return focal.crop(focal.pad(g, (h, w), ["elev"]), 0, 0, h + 1, w + 2).select("r", "c", "elev")
@@ -192,19 +173,12 @@ def f_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f_upstream(spark: SparkSession, d: str) -> DataFrame:
-    """source windows that the missing windows need, less those held."""
-    wanted = tensor.windows_of(grid.cells(spark, d).filter("cell % 7 = 0").select("r", "c"), W)
-    gone = tensor.missing_windows(wanted, _tiles(spark, d).filter("(w_i + w_j) % 3 = 0"))
-    return tensor.upstream_windows(gone, W, tensor.Windows(16, 12), margin=1)
-
-
-def f_upstream_whole(spark: SparkSession, d: str) -> DataFrame:
-    """the same for the windows of all cells against all stored tiles (checked against numpy in the tests)."""
-    gone = tensor.missing_windows(tensor.windows_of(grid.cells(spark, d).select("r", "c"), W), _tiles(spark, d))
+    """Source windows that the windows of all cells, at four times their row, need beyond all stored tiles."""
+    gone = tensor.missing_windows(tensor.windows_of(grid.cells(spark, d).select((F.col("r") * 4).alias("r"), "c"), W), _tiles(spark, d))
     return tensor.upstream_windows(gone, W, tensor.Windows(16, 12), margin=1)
 
 
-QUERIES = {f.__name__: f for f in (e_sobel, e_box, e_step_slope, d_coastline, d_around, d_range_filter, e_majority, e_organic, e_blur, e_resize, e_resize_extrapolated, e_nearest, e_resize_whole, e_resize_extrapolated_whole, e_nearest_whole, e_pyramid, e_lapse, e_hillshade, e_dilate, e_steepest, e_bed, e_pad_crop, e_pad_crop_whole, f_overlap_add, f_windows, f_upstream, f_upstream_whole)}
+QUERIES = {f.__name__: f for f in (e_sobel, e_box, e_step_slope, d_coastline, d_around, d_range_filter, e_majority, e_organic, e_blur, e_resize, e_resize_extrapolated, e_nearest, e_pyramid, e_lapse, e_hillshade, e_dilate, e_steepest, e_bed, e_pad_crop, f_overlap_add, f_windows, f_upstream)}
 
 _OFF = "(VALUES " + ", ".join(f"({a}, {b})" for a, b in focal.AROUND) + ") o(dr, dc)"
 
@@ -234,13 +208,30 @@ def _blur_sql() -> str:
 SELECT cell, round(v1.v, 6) AS clamped, round(v2.v, 6) AS renormalised FROM v1 JOIN v2 USING (cell)"""
 
 
-def _resize_sql(extrapolate: bool, box: tuple[int, int, int, int]) -> str:
-    r0, c0, r1, c1 = box
-    at = lambda x, n, t: f"(({x} + 0.5) * {n} / {t} - 0.5)" if extrapolate else f"least(greatest(({x} + 0.5) * {n} / {t} - 0.5, 0), {n - 1})"
-    return f"""WITH {grid.CELLS_SQL}, t AS (SELECT r, c, {at('r', 8, 20)}::DOUBLE AS y, {at('c', 10, 33)}::DOUBLE AS x FROM range({r0}, {r1}) a(r), range({c0}, {c1}) b(c)),
- u AS (SELECT *, least(greatest(floor(y), 0), 6)::BIGINT AS y0, least(greatest(floor(x), 0), 8)::BIGINT AS x0 FROM t)
-SELECT u.r, u.c, round((a.elev * (1 - (x - x0)) + b.elev * (x - x0)) * (1 - (y - y0)) + (e.elev * (1 - (x - x0)) + f.elev * (x - x0)) * (y - y0), 6) AS elev
-FROM u JOIN cells a ON a.r = y0 AND a.c = x0 JOIN cells b ON b.r = y0 AND b.c = x0 + 1 JOIN cells e ON e.r = y0 + 1 AND e.c = x0 JOIN cells f ON f.r = y0 + 1 AND f.c = x0 + 1"""
+def _taps(th: str, tw: str, extrapolate: bool) -> str:
+    """CTEs from src (r, c, v) and its size z (h, w) to ``out_`` (r, c, v) of the target size, by four taps."""
+    at = lambda x, n, t: f"(({x} + 0.5::DOUBLE) * {n} / ({t}) - 0.5::DOUBLE)" if extrapolate else f"least(greatest(({x} + 0.5::DOUBLE) * {n} / ({t}) - 0.5::DOUBLE, 0), {n} - 1)"
+    return f"""t AS (SELECT a.i AS r, b.j AS c, h, w, {at('a.i', 'h', th)} AS y, {at('b.j', 'w', tw)} AS x FROM z, range(0, (SELECT {th} FROM z)) a(i), range(0, (SELECT {tw} FROM z)) b(j)),
+ u AS (SELECT *, least(greatest(floor(y), 0), h - 2)::BIGINT AS y0, least(greatest(floor(x), 0), w - 2)::BIGINT AS x0 FROM t),
+ out_ AS (SELECT u.r, u.c, (p.v * (1 - (x - x0)) + q.v * (x - x0)) * (1 - (y - y0)) + (e.v * (1 - (x - x0)) + f.v * (x - x0)) * (y - y0) AS v FROM u JOIN src p ON p.r = y0 AND p.c = x0 JOIN src q ON q.r = y0 AND q.c = x0 + 1 JOIN src e ON e.r = y0 + 1 AND e.c = x0 JOIN src f ON f.r = y0 + 1 AND f.c = x0 + 1)"""
+
+
+_SRC = f"{grid.CELLS_SQL}, src AS (SELECT r, c, elev AS v FROM cells), z AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM cells)"
+
+
+def _relief_sql() -> str:
+    def blurred(name: str, kernel: list[float]) -> str:
+        n = len(kernel) // 2
+        return f"""k{name}(o, w) AS (VALUES {', '.join(f'({i - n}, {x!r}::DOUBLE)' for i, x in enumerate(kernel))}),
+ h{name} AS MATERIALIZED (SELECT a.cell, a.r, a.c, sum(b.elev * w) / sum(w) AS v FROM cells a CROSS JOIN k{name} JOIN cells b ON b.r = a.r AND b.c = a.c + o GROUP BY ALL),
+ b{name} AS MATERIALIZED (SELECT a.cell, a.r, a.c, sum(b.v * w) / sum(w) AS v FROM h{name} a CROSS JOIN k{name} JOIN h{name} b ON b.c = a.c AND b.r = a.r + o GROUP BY ALL)"""
+
+    def shade(name: str, source: str, v: str) -> str:
+        return f"""g{name} AS (SELECT cell, (coalesce(lead({v}) OVER x, {v}) - coalesce(lag({v}) OVER x, {v})) / 1800 AS dx, (coalesce(lead({v}) OVER y, {v}) - coalesce(lag({v}) OVER y, {v})) / 1800 AS dy FROM {source} WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r)),
+ s{name} AS (SELECT cell, least(greatest(sin(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + cos(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(135) - atan2(dy, -dx)), 0), 1) AS s FROM g{name})"""
+
+    return f"""WITH {grid.CELLS_SQL}, {blurred('f', focal.gaussian_kernel(1.0, 7))}, {blurred('w', focal.gaussian_kernel(3.0, 19))}, {shade('0', 'cells', 'elev')}, {shade('1', 'bf', 'v')}, {shade('2', 'bw', 'v')}
+SELECT cell, round(s0.s, 6) AS shade, CASE WHEN elev >= 0 THEN round(power(0.75::DOUBLE * s1.s + 0.25::DOUBLE * s2.s, 0.85), 6) END AS relief FROM cells JOIN s0 USING (cell) JOIN s1 USING (cell) JOIN s2 USING (cell)"""
 
 
 SQL = {
@@ -257,9 +248,11 @@ SELECT cell, n = 9 AND land AS inland, n = 9 AND same AS uniform, elev < 0 AND N
     "e_majority": f"WITH {_CLS}, {_majority_sql('cl', 'm1', 1, 5, 2, 'NOT hard')} SELECT cell, k FROM m1",
     "e_organic": f"WITH {_CLS}, {_majority_sql('cl', 'm1', 1, 6, 3, 'blend')}, {_majority_sql('m1', 'm2', 2, 15, 7, 'blend')} SELECT cell, k FROM m2",
     "e_blur": _blur_sql(),
-    "e_resize": _resize_sql(False, (3, 4, 17, 30)),
-    "e_resize_extrapolated": _resize_sql(True, (0, 0, 20, 33)),
-    "e_nearest": f"WITH {grid.CELLS_SQL} SELECT a.r, b.c, elev FROM range(0, 24) a(r) CROSS JOIN range(0, 25) b(c) JOIN cells g ON g.r = a.r * 8 // 24 AND g.c = b.c * 10 // 25",
+    "e_resize": f"WITH {_SRC}, {_taps('h * 5 // 2', 'w * 33 // 10', False)} SELECT r, c, round(v, 6) AS elev FROM out_, z WHERE r >= 3 AND r < h * 5 // 2 - 2 AND c >= 4 AND c < w * 33 // 10 - 5",
+    "e_resize_extrapolated": f"WITH {_SRC}, {_taps('h * 5 // 2', 'w * 33 // 10', True)} SELECT r, c, round(v, 6) AS elev FROM out_",
+    "e_nearest": f"WITH {_SRC} SELECT a.i AS r, b.j AS c, v AS elev FROM z, range(0, (SELECT h * 3 FROM z)) a(i), range(0, (SELECT w * 5 // 2 FROM z)) b(j) JOIN src ON src.r = a.i * h // (h * 3) AND src.c = b.j * w // (w * 5 // 2)",
+    "e_pyramid": f"WITH {grid.CELLS_SQL}, src AS (SELECT r // 2 AS r, c // 2 AS c, avg(elev) / 3 AS v FROM cells GROUP BY ALL), s0 AS (SELECT max(r) + 1 AS th, max(c) + 1 AS tw FROM cells), z AS (SELECT (th + 1) // 2 AS h, (tw + 1) // 2 AS w, th, tw FROM s0), {_taps('th', 'tw', False).replace('AS c, h, w,', 'AS c, h, w,')} SELECT cells.r, cells.c, round(cells.elev + out_.v, 6) AS elev FROM cells JOIN out_ ON out_.r = cells.r AND out_.c = cells.c",
+    "e_hillshade": _relief_sql(),
     "e_lapse": f"""WITH {grid.CLIMATE_SQL}, l AS (SELECT *, (elev > 0)::INT AS w, least(greatest((abs(region) - 0.05) / 0.68, 0), 1) AS q FROM climate),
  n AS (SELECT a.cell, any_value(a.temp) AS t, any_value(a.elev) AS e, any_value(a.q * a.q * (3 - 2 * a.q) * 0.024) AS cap, count(*) AS n, sum(b.w) AS sw, sum(b.temp * b.w) AS st, sum(b.elev * b.w) AS se, sum(b.elev * b.elev * b.w) AS see, sum(b.elev * b.temp * b.w) AS set_ FROM l a JOIN l b ON b.r BETWEEN a.r - 3 AND a.r + 3 AND b.c BETWEEN a.c - 3 AND a.c + 3 GROUP BY a.cell),
  m AS (SELECT *, see / (sw + 1e-6) - power(se / (sw + 1e-6), 2) AS var, set_ / (sw + 1e-6) - se / (sw + 1e-6) * st / (sw + 1e-6) AS cov FROM n),
@@ -272,11 +265,11 @@ SELECT cell, round(max(s), 8) AS any_slope, round(coalesce(max(s) FILTER (wet),
  b1 AS (SELECT a.cell, a.r, a.c, CASE WHEN any_value(a.v) IS NOT NULL THEN sum(b.v * CASE WHEN a.cell = b.cell THEN 5 ELSE 1 END) / sum(CASE WHEN b.v IS NOT NULL THEN CASE WHEN a.cell = b.cell THEN 5 ELSE 1 END END) END AS v FROM b0 a JOIN b0 b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.cell, a.r, a.c),
  b2 AS (SELECT a.cell, CASE WHEN any_value(a.v) IS NOT NULL THEN sum(b.v * CASE WHEN a.cell = b.cell THEN 5 ELSE 1 END) / sum(CASE WHEN b.v IS NOT NULL THEN CASE WHEN a.cell = b.cell THEN 5 ELSE 1 END END) END AS v FROM b1 a JOIN b1 b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.cell)
 SELECT cell, round(v, 6) AS bed FROM b2""",
-    "e_pad_crop": f"WITH {grid.CELLS_SQL} SELECT a.r, b.c, elev FROM range(0, 6) a(r) CROSS JOIN range(0, 12) b(c) JOIN cells g ON g.r = least(greatest(a.r - 1, 0), 7) AND g.c = least(greatest(b.c - 1, 0), 9)",
+    "e_pad_crop": f"WITH {_SRC} SELECT a.i AS r, b.j AS c, v AS elev FROM z, range(0, (SELECT h + 1 FROM z)) a(i), range(0, (SELECT w + 2 FROM z)) b(j) JOIN src ON src.r = least(greatest(a.i - 1, 0), h - 1) AND src.c = least(greatest(b.j - 1, 0), w - 1)",
     "f_overlap_add": """WITH t AS (SELECT vec_id // 20 AS w_i, vec_id % 20 AS w_j, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), x AS (SELECT w_i * 6 - 2 + k // 8 AS r, w_j * 6 - 2 + k % 8 AS c, v FROM t)
 SELECT r, c, round(sum(v), 6) AS v FROM x WHERE r >= 3 AND r < 120 AND c >= 5 AND c < 90 GROUP BY r, c""",
-    "f_windows": f"WITH {grid.CELLS_SQL} SELECT cell, a.w AS w_i, b.w AS w_j, r - (a.w * 6 - 2) AS i, c - (b.w * 6 - 2) AS j FROM cells JOIN range(-2, 2000) a(w) ON r >= a.w * 6 - 2 AND r < a.w * 6 + 6 JOIN range(-2, 40) b(w) ON c >= b.w * 6 - 2 AND c < b.w * 6 + 6",
-    "f_upstream": f"""WITH {grid.CELLS_SQL}, w AS (SELECT DISTINCT a.w AS w_i, b.w AS w_j FROM cells JOIN range(-2, 2000) a(w) ON r >= a.w * 6 - 2 AND r < a.w * 6 + 6 JOIN range(-2, 40) b(w) ON c >= b.w * 6 - 2 AND c < b.w * 6 + 6 WHERE cell % 7 = 0),
- m AS (SELECT * FROM w ANTI JOIN (SELECT vec_id // 20 AS w_i, vec_id % 20 AS w_j FROM embeddings WHERE (vec_id // 20 + vec_id % 20) % 3 = 0) USING (w_i, w_j))
-SELECT DISTINCT a.u AS w_i, b.u AS w_j FROM m JOIN range(-3, 2000) a(u) ON a.u * 12 <= w_i * 6 + 6 AND a.u * 12 + 15 >= w_i * 6 - 3 JOIN range(-3, 40) b(u) ON b.u * 12 <= w_j * 6 + 6 AND b.u * 12 + 15 >= w_j * 6 - 3""",
+    "f_windows": f"WITH {grid.CELLS_SQL} SELECT cell, a.w AS w_i, b.w AS w_j, r - (a.w * 6 - 2) AS i, c - (b.w * 6 - 2) AS j FROM cells JOIN range(-2, (SELECT max(r) // 6 + 3 FROM cells)) a(w) ON r >= a.w * 6 - 2 AND r < a.w * 6 + 6 JOIN range(-2, 40) b(w) ON c >= b.w * 6 - 2 AND c < b.w * 6 + 6",
+    "f_upstream": f"""WITH {grid.CELLS_SQL}, w AS (SELECT DISTINCT a.w AS w_i, b.w AS w_j FROM cells JOIN range(-2, (SELECT max(r) * 4 // 6 + 3 FROM cells)) a(w) ON r * 4 >= a.w * 6 - 2 AND r * 4 < a.w * 6 + 6 JOIN range(-2, 40) b(w) ON c >= b.w * 6 - 2 AND c < b.w * 6 + 6),
+ m AS (SELECT * FROM w ANTI JOIN (SELECT vec_id // 20 AS w_i, vec_id % 20 AS w_j FROM embeddings) USING (w_i, w_j))
+SELECT DISTINCT a.u AS w_i, b.u AS w_j FROM m JOIN range(-3, (SELECT max(r) * 4 // 12 + 3 FROM cells)) a(u) ON a.u * 12 <= w_i * 6 + 6 AND a.u * 12 + 15 >= w_i * 6 - 3 JOIN range(-3, 40) b(u) ON b.u * 12 <= w_j * 6 + 6 AND b.u * 12 + 15 >= w_j * 6 - 3""",
 }

@@ -184,7 +184,7 @@ SQL = {
     "j_upstream": f"WITH {_CLIM_LINKS} SELECT cell, up FROM (SELECT lk.down AS cell, lk.cell AS up, row_number() OVER (PARTITION BY lk.down ORDER BY floor(precip / 100) DESC, lk.cell) AS p FROM lk JOIN climate USING (cell) WHERE lk.down IS NOT NULL) WHERE p = 1",
     "g_inflow": f"WITH {_CLIM_LINKS}, x AS (SELECT lk.cell, down, r, c, floor(precip)::BIGINT AS acc, r >= 2 AND r < 8 AND c >= 20 AND c < 70 AS ins FROM lk JOIN climate USING (cell)) SELECT x.down AS cell, sum(x.acc)::BIGINT AS inflow FROM x JOIN x y ON y.cell = x.down WHERE NOT x.ins AND y.ins GROUP BY x.down",
     "j_stamp": f"""WITH {grid.CLIMATE_SQL}, p AS (SELECT r + 0.5 AS row, c + 0.5 AS col, elev AS surface, {scalar.text('channel_radius', flow='(precip / 3000)', elev='elev')} AS radius, {scalar.text('channel_load', flow='(precip / 1000)')} AS load FROM climate WHERE precip > 1800),
- d AS (SELECT *, sqrt(power(y + 0.5 - row, 2) + power(x + 0.5 - col, 2)) AS dist FROM p JOIN range(-20, 2000) a(y) ON y BETWEEN row - radius - 3 AND row + radius + 3 JOIN range(-20, 130) b(x) ON x BETWEEN col - radius - 3 AND col + radius + 3),
+ d AS (SELECT *, sqrt(power(y + 0.5 - row, 2) + power(x + 0.5 - col, 2)) AS dist FROM p JOIN range(-20, (SELECT max(r) + 21 FROM climate)) a(y) ON y BETWEEN row - radius - 3 AND row + radius + 3 JOIN range(-20, 130) b(x) ON x BETWEEN col - radius - 3 AND col + radius + 3),
  e AS (SELECT *, least(greatest(1 - dist / greatest(0.55, radius + 0.35), 0), 1) AS q FROM d WHERE dist <= radius + 0.5), f AS (SELECT *, q * q * (3 - 2 * q) AS section FROM e WHERE q > 0)
 SELECT y AS r, x AS c, round(max(section), 6) AS section, round(first(surface ORDER BY section DESC, surface), 6) AS surface, round(max(load), 6) AS load FROM f GROUP BY y, x""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridloom.functions import hashing, noise
-from gridloom.operators import drainage, sites
+from gridloom.operators import filling, sites
 from gridloom.plans import places
 
 
@@ -94,18 +94,20 @@ def collected(spark, name, d, shape):
 
 def test_resampling_covers_the_grid(spark, full_dir):
     d, e = full_dir
-    for name, far in (("e_resize_whole", False), ("e_resize_extrapolated_whole", True)):
-        assert np.allclose(collected(spark, name, d, (32, 330)), resized(e, (32, 330), far), atol=2e-6)
+    assert np.allclose(collected(spark, "e_resize_extrapolated", d, (32, 330)), resized(e, (32, 330), True), atol=2e-6)
+    inner = {(r.r, r.c): r.elev for r in entry.queries()["e_resize"](spark, d).collect()}
+    want = resized(e, (32, 330))
+    assert set(inner) == {(i, j) for i in range(3, 30) for j in range(4, 325)} and all(abs(v - want[k]) < 2e-6 for k, v in inner.items())
     i, j = np.arange(39) * 13 // 39, np.arange(250) * 100 // 250
-    assert np.array_equal(collected(spark, "e_nearest_whole", d, (39, 250)), e[np.ix_(i, j)])
-    assert np.array_equal(collected(spark, "e_pad_crop_whole", d, (14, 102)), np.pad(e, 1, "edge")[:14])
+    assert np.array_equal(collected(spark, "e_nearest", d, (39, 250)), e[np.ix_(i, j)])
+    assert np.array_equal(collected(spark, "e_pad_crop", d, (14, 102)), np.pad(e, 1, "edge")[:14])
     low = np.array([[e[2 * a : 2 * a + 2, 2 * b : 2 * b + 2].mean() / 3 for b in range(50)] for a in range(7)])
     assert np.allclose(collected(spark, "e_pyramid", d, (13, 100)), e + resized(low, (13, 100)), atol=2e-6)
 
 
 def test_resize_has_no_value_beside_a_gap(spark, grid_dir):
     d, e = grid_dir
-    got = {(r.r, r.c): r.elev for r in entry.queries()["e_resize_whole"](spark, d).collect()}
+    got = {(r.r, r.c): r.elev for r in entry.queries()["e_resize_extrapolated"](spark, d).collect()}
     assert len(got) == 77 * 330 and got[76, 329] is None and got[70, 329] is not None and got[76, 0] is not None
 
 
@@ -138,10 +140,11 @@ def test_upstream_of_all_missing_windows(spark, full_dir, tmp_path):
     spark.read.parquet(f"{d}/events.parquet").write.parquet(str(tmp_path / "events.parquet"))
     spark.createDataFrame([(i * 20 + j, [0.0] * 64) for i, j in held], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     over = lambda n: [w for w in range(-3, n) if w * 6 - 2 < n and w * 6 + 6 > 0]
-    gone = {(i, j) for i in over(13) for j in over(100)} - set(held)
+    tall = {w for r in range(13) for w in range(-3, 20) if w * 6 - 2 <= r * 4 < w * 6 + 6}
+    gone = {(i, j) for i in tall for j in over(100)} - set(held)
     reads = lambda w: [u for u in range(-5, 50) if u * 12 <= w * 6 + 6 and u * 12 + 15 >= w * 6 - 3]
     want = {(a, b) for i, j in gone for a in reads(i) for b in reads(j)}
-    rows = entry.queries()["f_upstream_whole"](spark, str(tmp_path)).collect()
+    rows = entry.queries()["f_upstream"](spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {(r.w_i, r.w_j) for r in rows} == want
 
 
@@ -153,17 +156,27 @@ def test_class_and_condition_tables(spark, tmp_path):
     rules = [None, ("LAND", 1.0, None, [None, ("slope", "between", 1.0, 2.0, None)], [], None)]
     typed = [(1, 3, 14, "a:b", None, "OCEAN", 7, *[True, False, None, False, True], None, rules, t), (2, 4, 5, "c:d", "e:f", None, None, *[None] * 5, [], None, t)]
     spark.createDataFrame(typed, f"record_id long, pack_id int, biome_index short, biome_key string, fallbackKey string, kind string, color int, {', '.join(f'{f} boolean' for f in flags)}, requiredMods array<string>, rules {rule}, loaded_at timestamp").write.parquet(str(tmp_path / "biome_catalog.parquet"))
-    body = {"index": "38", "key": "g:h", "kind": "BEACH", "color": 9, "river": "true", "rules": {"zone": "X", "noiseConditions": [{"variable": "snowy", "op": "eq", "bool": False}, {"op": "lt", "value": "2.5"}]}}
+    body = {"index": "38", "key": "g:h", "kind": "BEACH", "color": 9, "river": "true", "rules": {"zone": "X", "noiseConditions": [{"variable": "snowy", "op": "eq", "bool": False}, {"op": "lt", "value": "2.5", "seen": 1}], "when": None}, "note": ["x"]}
     spark.createDataFrame([(8, 6, t, json.dumps(body)), (9, 6, t, "{broken")], "record_id long, pack_id int, received_at timestamp, body string").write.parquet(str(tmp_path / "catalog_raw.parquet"))
     got = sorted(map(tuple, entry.queries()["p6_classes"](spark, str(tmp_path)).collect()))
     none = [None] * 5
     assert got == [(1, 3, 14, "a:b", None, "OCEAN", 7, True, False, None, False, True), (2, 4, 5, "c:d", "e:f", None, None, *none), (8, 6, 38, "g:h", None, "BEACH", 9, None, None, True, None, None), (9, 6, *none, *none)]
     rows = sorted(map(tuple, entry.queries()["p6_conditions"](spark, str(tmp_path)).collect()))
-    assert rows == [(1, 1, "conditions", 1, "slope", "between", 1.0, 2.0, None), (8, 0, "noiseConditions", 0, "snowy", "eq", None, None, False), (8, 0, "noiseConditions", 1, None, "lt", 2.5, None, None)]
-
-
-def test_unfinished_fill_is_an_error(spark):
-    g = spark.createDataFrame([(i, j, 5.0) for i in range(13) for j in range(13)], "r long, c long, elev double")
-    with pytest.raises(RuntimeError):
-        drainage.relax_fill(g, rounds=4)
-    assert {r.filled for r in drainage.relax_fill(g, rounds=12).collect()} == {5.0}
+    assert rows == [(1, 1, "conditions", 1, "slope", "between", 1.0, 2.0, None, None), (8, 0, "noiseConditions", 0, "snowy", "eq", None, None, False, None), (8, 0, "noiseConditions", 1, None, "lt", 2.5, None, None, '{"seen": 1}')]
+    extra = sorted(map(tuple, entry.queries()["p6_extra_values"](spark, str(tmp_path)).collect()))
+    assert extra == [(8, -1, "", -1, "note", '["x"]'), (8, 0, "", -1, "when", "null"), (8, 0, "noiseConditions", 1, "seen", "1")]
+
+
+def test_fill_follows_ways_of_any_length(spark):
+    e = np.full((41, 41), 90.0)
+    for k in range(1, 40, 2):  # one valley that winds through all rows and leaves at the last
+        e[k, 1:40] = 10.0
+        e[k + 1, 39 if k % 4 == 1 else 1] = 10.0
+    e[40] = 90.0
+    e[40, 1] = e[40, 39] = 20.0
+    g = spark.createDataFrame([(i, j, float(e[i, j])) for i in range(41) for j in range(41)], "r long, c long, elev double")
+    want = filled_by_sweeps(e)
+    for side in (5, 128):
+        got = {(r.r, r.c): r.filled for r in filling.fill(g, side=side, group=2).collect()}
+        assert all(got[i, j] == want[i, j] for i in range(41) for j in range(41))
+    assert filling.fill(g.limit(0)).count() == 0
