@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import os
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,3 +131,71 @@ def model_config(path: str) -> dict:
 
 def first_existing(paths: list[str]) -> str | None:
     return next((p for p in paths if os.path.exists(p)), None)
+
+
+def png(rgba: np.ndarray) -> bytes:
+    """A picture (height, width, 4 bytes) as PNG."""
+    h, w, _ = rgba.shape
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), rgba.astype(np.uint8).reshape(h, w * 4)], axis=1).tobytes()
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 6)) + part(b"IEND", b"")
+
+
+def _window(d: pd.DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
+    r, c = d["r"] - d["r"].min(), d["c"] - d["c"].min()
+    shape = (int(r.max()) + 1, int(c.max()) + 1)
+    return (r * shape[1] + c).to_numpy(), shape
+
+
+def pictures(cells: DataFrame, by: list[str], red: str, green: str, blue: str, alpha: str) -> DataFrame:
+    """(by, height, width, png) of each window of cells (by, r, c and four channels of 0 to 255); gaps are clear.
+
+    A window is a screenful, so its cells fit a task.
+    """
+
+    def draw(d: pd.DataFrame) -> pd.DataFrame:
+        at, (h, w) = _window(d)
+        p = np.zeros((h * w, 4), np.uint8)
+        p[at] = d[[red, green, blue, alpha]].clip(0, 255).to_numpy().astype(np.uint8)
+        return pd.DataFrame({**{k: [d[k].iloc[0]] for k in by}, "height": [h], "width": [w], "png": [png(p.reshape(h, w, 4))]})
+
+    types = dict(cells.dtypes)
+    return cells.groupBy(*by).applyInPandas(draw, ", ".join(f"`{k}` {types[k]}" for k in by) + ", height int, width int, png binary")
+
+
+def raw_details(cells: DataFrame, by: list[str], temperature: bool = False) -> DataFrame:
+    """(by, height, width, layout, data) of each window: little-endian i16 elevation, temperature if wanted, class and
+    water surface, then the u8 mask, one plane after the other. Gaps read as 0."""
+    planes = [("elev", "<i2"), *([("temp", "<i2")] if temperature else []), ("class", "<i2"), ("surface", "<i2"), ("mask", "u1")]
+
+    def pack(d: pd.DataFrame) -> pd.DataFrame:
+        at, (h, w) = _window(d)
+        out = b""
+        for n, t in planes:
+            p = np.zeros(h * w, t)
+            p[at] = d[n].fillna(0).to_numpy().astype(t)
+            out += p.tobytes()
+        return pd.DataFrame({**{k: [d[k].iloc[0]] for k in by}, "height": [h], "width": [w], "layout": [",".join(f"{n}:{t}" for n, t in planes)], "data": [out]})
+
+    types = dict(cells.dtypes)
+    return cells.groupBy(*by).applyInPandas(pack, ", ".join(f"`{k}` {types[k]}" for k in by) + ", height int, width int, layout string, data binary")
+
+
+def captured(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows kept under a path; built and written there in one commit where there are none yet."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+_NAMED: dict[tuple[str, str], DataFrame] = {}
+
+
+def registered(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a name in this session: built and kept at the first call, the same one afterwards; also as a view."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _NAMED:
+        _NAMED[key] = build().persist()
+        _NAMED[key].createOrReplaceTempView(name)
+    return _NAMED[key]

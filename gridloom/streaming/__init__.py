@@ -1 +1 @@
-
+"""Sinks of tiles that come in as a stream."""

@@ -1,11 +1,15 @@
 """The query surface on small tables."""
 
 import json
+import struct
+import zlib
 
 from pyspark.sql import functions as F
 
 from gridloom import api
 from gridloom.rules import catalog as cat
+from gridloom.sources import stores
+from gridloom.streaming import tiles
 
 
 def coarse(spark):
@@ -44,3 +48,36 @@ def test_lift_numbers():
 def test_report(spark):
     text = api.report({"T": spark.range(3).withColumn("k", F.lit("a"))}, 2)
     assert text.count("| a |") == 2
+
+
+def test_tiles_from_a_stream(spark, tmp_path):
+    row = lambda i, e: [(5, 1, i, 0, r, c, e, 0, None, 3) for r in range(2) for c in range(2)]
+    ddl = "seed long, scale int, tile_i int, tile_j int, r int, c int, elev short, mask short, surface short, class short"
+    for k, rows in enumerate((row(0, 7) + row(1, 8), row(1, 99) + row(2, 9) + row(2, 9))):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = tiles.tile_sink(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")), str(tmp_path / "store"), tmp_path / "at", once=True)
+        q.awaitTermination()
+    got = stores.read_tiles(spark, str(tmp_path / "store"), 5, 1, (0, 0, 6, 2), 2)
+    assert sorted((r.tile_i, r.elev) for r in got.collect()) == [(0, 7)] * 4 + [(1, 8)] * 4 + [(2, 9)] * 4
+
+
+def test_pictures_and_planes(spark):
+    df = spark.createDataFrame([(1, 3, 5, 255, 0, 0, 255), (1, 4, 6, 0, 300, 0, 128)], "k int, r long, c long, red int, green int, blue int, alpha int")
+    p = stores.pictures(df, ["k"], "red", "green", "blue", "alpha").first()
+    assert (p.height, p.width) == (2, 2) and p.png[:8] == b"\x89PNG\r\n\x1a\n"
+    at = p.png.index(b"IDAT")
+    raw = zlib.decompress(p.png[at + 4 : at + 4 + struct.unpack(">I", p.png[at - 4 : at])[0]])
+    assert raw == bytes([0, 255, 0, 0, 255, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 255, 0, 128])
+    cells = spark.createDataFrame([(1, 0, 0, -3, 7, None, 200), (1, 0, 1, 4, 8, 5, 0)], "k int, r long, c long, elev int, class int, surface int, mask int")
+    d = stores.raw_details(cells, ["k"]).first()
+    assert d.data == struct.pack("<6h2B", -3, 4, 7, 8, 0, 5, 200, 0) and d.layout.startswith("elev:<i2")
+    assert stores.pictures(df.limit(0), ["k"], "red", "green", "blue", "alpha").count() == 0
+
+
+def test_names_and_captures(spark, tmp_path):
+    made = []
+    build = lambda: made.append(1) or spark.range(3)
+    assert stores.registered(spark, "three_rows", build) is stores.registered(spark, "three_rows", build) and spark.table("three_rows").count() == 3
+    for _ in range(2):
+        assert stores.captured(spark, str(tmp_path / "c"), build).count() == 3
+    assert len(made) == 2
