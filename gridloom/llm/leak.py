@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +38,17 @@ BLOCK_ITEMS, BLOCK_CHARS = 20_000, 40_000_000
 LANES = 32
 SLICE = 100_000
 
-_INVISIBLE: dict[int, None] = {}
 _TAG_BREAK = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|h[1-6]|table)\b[^<>]{0,200}>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _DENSE = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 
 
-def _invisible() -> dict[int, None]:
-    if not _INVISIBLE:
-        _INVISIBLE.update({c: None for r in (range(0x3000), range(0xFE00, 0x10000), range(0x1D170, 0x1D180), range(0xE0000, 0xE1000)) for c in r if unicodedata.category(chr(c)) == "Cf" or 0xFE00 <= c <= 0xFE0F or c == 0x34F})
-    return _INVISIBLE
+@lru_cache(1)
+def _invisible() -> re.Pattern:
+    """Format characters, variation selectors and joiners: everything that takes no place."""
+    codes = [c for r in (range(0x3000), range(0xFE00, 0x10000), range(0x1D170, 0x1D180), range(0xE0000, 0xE1000)) for c in r if unicodedata.category(chr(c)) == "Cf" or 0xFE00 <= c <= 0xFE0F or c == 0x34F]
+    return re.compile("[" + "".join(map(re.escape, map(chr, codes))) + "]+")
 
 
 def plain(text: str) -> str:
@@ -58,7 +59,7 @@ def plain(text: str) -> str:
         text = html.unescape(text)
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.translate(_invisible())).casefold())
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", _invisible().sub("", text)).casefold())
 
 
 def word_tokens(plain_text: str) -> list[str]:
