@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,11 @@ def _invisible() -> dict[int, None]:
     return _INVISIBLE
 
 
+@lru_cache(1)
+def _signs() -> frozenset[str]:
+    return frozenset(map(chr, _invisible()))
+
+
 def plain(text: str) -> str:
     """The text without markup, invisible characters, letter case and encoding form."""
     if "<" in text:
@@ -58,7 +64,9 @@ def plain(text: str) -> str:
         text = html.unescape(text)
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.translate(_invisible())).casefold())
+    if not _signs().isdisjoint(text):
+        text = text.translate(_invisible())
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
 
 
 def word_tokens(plain_text: str) -> list[str]:
