@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.runtime import checked_broadcast, cut
 
@@ -267,7 +268,10 @@ def unify(files: DataFrame, ids: list[str], *, max_columns: int = MAX_COLUMNS) -
     known = sorted(wanted)
     kept = lambda x: ~x["again"] & x["column"].isin(known) if known else F.lit(False)
     other = F.map_from_entries(F.transform(F.filter("f", lambda x: ~kept(x)), lambda x: F.struct(x["path"], x["raw"])))
-    table = rows.select(*ids, mapped.alias("_m"), other.alias("other")).select(*ids, *[typed(wanted[c], F.col("_m")[F.lit(c)]).alias(c) for c in known], "other")
+    # all columns are found in one walk through the map, as the fields of a JSON object, not by a look-up each
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in known])
+    wide = F.from_json(F.to_json(mapped), schema) if known else F.struct(F.lit(0))
+    table = rows.select(*ids, wide.alias("_m"), other.alias("other")).select(*ids, *[typed(wanted[c], F.col("_m").getField(c)).alias(c) for c in known], "other")
     fits = F.when(F.col("again"), "clash").when(~_castable(F.col("wanted"), F.col("raw")) | ((F.col("wanted") == "list") & (F.col("kind") != "list")), "cast")
     report = cells.join(checked_broadcast(kinds.select("column", "wanted")), "column").withColumn("reason", fits).filter("reason is not null")
     return table, report.select(*ids, "path", "column", "kind", "raw", "wanted", "reason")
