@@ -230,6 +230,11 @@ def _castable(kind: Column, raw: Column) -> Column:
     )
 
 
+def _before(array: str) -> Column:
+    """The array with each element in the place of the next one, and null in the first."""
+    return F.when(F.size(array) > 0, F.concat(F.array(F.lit(None)), F.slice(array, 1, F.size(array) - 1))).otherwise(F.col(array))
+
+
 def unify(files: DataFrame, ids: list[str], *, max_columns: int = MAX_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """One consistent table over all files (``ids`` and ``body``), and a report of the values that did not fit.
 
@@ -245,13 +250,14 @@ def unify(files: DataFrame, ids: list[str], *, max_columns: int = MAX_COLUMNS) -
     own = F.filter(F.coalesce(F.col("fields"), F.array().cast(FIELDS_DDL)), lambda x: ~x["kind"].isin("object", "null"))
     rows = rows.select(*ids, own.alias("fields"))
     # a name that one file holds twice stands for several settings; the list is part of the schema
-    names = F.array_sort(F.transform("fields", lambda x: x["name"]))
-    twice = F.filter(names, lambda x, i: (i > 0) & (x == F.element_at(names, F.greatest(i, F.lit(1)))))
-    split = sorted(r.x for r in rows.select(F.explode(F.array_distinct(twice)).alias("x")).distinct().collect())
+    names = rows.select(F.array_sort(F.transform("fields", lambda x: x["name"])).alias("n"))
+    twice = names.select(F.filter(F.zip_with("n", _before("n"), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()).alias("x")).filter(F.size("x") > 0)
+    split = sorted(r.x for r in twice.select(F.explode("x").alias("x")).distinct().collect())
     column = lambda x: (F.when(x["name"].isin(split), x["whole"]).otherwise(x["name"]) if split else x["name"])
     placed = F.array_sort(F.transform("fields", lambda x: F.struct(column(x).alias("column"), x["path"].alias("path"), x["kind"].alias("kind"), x["raw"].alias("raw"))))
     rows = rows.select(*ids, placed.alias("f"))
-    rows = rows.withColumn("f", F.transform("f", lambda x, i: F.struct(x["column"].alias("column"), x["path"].alias("path"), x["kind"].alias("kind"), x["raw"].alias("raw"), ((i > 0) & (x["column"] == F.element_at("f", F.greatest(i, F.lit(1)))["column"])).alias("again"))))
+    again = lambda x, y: F.struct(x["column"].alias("column"), x["path"].alias("path"), x["kind"].alias("kind"), x["raw"].alias("raw"), F.coalesce(x["column"] == y["column"], F.lit(False)).alias("again"))
+    rows = rows.select(*ids, F.zip_with("f", _before("f"), again).alias("f"))
     order = F.when(F.col("kind") == "boolean", 0).when(F.col("kind") == "number", 1).when(F.col("kind") == "string", 2).otherwise(3)
     cells = rows.select(*ids, F.explode("f").alias("x")).select(*ids, "x.*")
     kinds = cells.groupBy("column", "kind").agg(F.count("*").alias("n")).groupBy("column").agg(F.max_by("kind", F.struct("n", -order)).alias("wanted"), F.sum("n").alias("n"))
