@@ -109,10 +109,16 @@ def text(law: str, **args: str | float) -> str:
     out = body
     for n in names:
         v = args[n]
-        out = out.replace("{" + n + "}", f"({v:e})" if isinstance(v, float) else f"({v})" if not str(v).replace("_", "").isalnum() else str(v))
+        out = out.replace("{" + n + "}", f"({_double(v)})" if isinstance(v, float) else f"({v})" if not str(v).replace("_", "").isalnum() else str(v))
     return f"({out})"
 
 
+def _double(v: float) -> str:
+    """A number as a double literal with all its digits."""
+    r = repr(float(v))
+    return r if "e" in r else f"{r}e0"
+
+
 def col(law: str, **args: str | float) -> Column:
     """The law as a Spark column over the given expressions."""
     return F.expr(text(law, **args))
@@ -121,11 +127,11 @@ def col(law: str, **args: str | float) -> Column:
 def interp(x: str, points: list[tuple[float, float]]) -> str:
     """Piecewise linear interpolation through fixed points, constant outside them; a value on a knot takes its own."""
     p = sorted(points)
-    parts = [f"WHEN {x} <= {p[0][0]!r} THEN {p[0][1]:e}"]
+    parts = [f"WHEN {x} <= {_double(p[0][0])} THEN {_double(p[0][1])}"]
     for (a, fa), (b, fb) in zip(p, p[1:]):
         if b > a:
-            parts.append(f"WHEN {x} <= {b!r} THEN {fa:e} + ({x} - {a:e}) * {(fb - fa) / (b - a):e}")
-    return f"(CASE {' '.join(parts)} ELSE {p[-1][1]:e} END)"
+            parts.append(f"WHEN {x} <= {_double(b)} THEN {_double(fa)} + ({x} - {_double(a)}) * {_double((fb - fa) / (b - a))}")
+    return f"(CASE {' '.join(parts)} ELSE {_double(p[-1][1])} END)"
 
 
 #: Cumulative distribution of the competition noise over [-1, 1] at 33 even steps (fixed values).

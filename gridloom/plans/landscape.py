@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import scalar
 from gridloom.functions.noise import FIELDS, Field
 from gridloom.operators import channels, focal, stats, terrain
-from gridloom.plans import grid
+from gridloom.plans import grid, noise_sql
 from gridloom.plans.scalars import _noise_sql
 from gridloom.runtime import cut
 
@@ -101,12 +101,14 @@ def f_conditioning(spark: SparkSession, d: str) -> DataFrame:
     return v.select("key", F.posexplode("vector").alias("i", "v")).select("key", "i", F.round("v", 6).alias("v"))
 
 
+RASTER = {n: Field(100 + k, 1 / 40, 3) for k, n in enumerate(("elev", "temp", "t_std", "precip", "pcv"))}
+EVEN = [-0.6 + 0.3 * k for k in range(5)]
+MEASURED = {"elev": [-3000.0, -200.0, 0.0, 400.0, 3000.0], "temp": [-15.0, 5.0, 14.0, 22.0, 35.0], "t_std": [50.0, 200.0, 400.0, 800.0, 1500.0], "precip": [0.0, 200.0, 700.0, 1400.0, 3500.0], "pcv": [5.0, 25.0, 45.0, 80.0, 150.0]}
+
+
 def a_synthetic(spark: SparkSession, d: str) -> DataFrame:
     """A raster of noise matched to measured distributions."""
-    fields = {n: Field(100 + k, 1 / 40, 3) for k, n in enumerate(("elev", "temp", "t_std", "precip", "pcv"))}
-    even = [-0.6 + 0.3 * k for k in range(5)]
-    data = {"elev": [-3000.0, -200.0, 0.0, 400.0, 3000.0], "temp": [-15.0, 5.0, 14.0, 22.0, 35.0], "t_std": [50.0, 200.0, 400.0, 800.0, 1500.0], "precip": [0.0, 200.0, 700.0, 1400.0, 3500.0], "pcv": [5.0, 25.0, 45.0, 80.0, 150.0]}
-    s = terrain.synthetic(grid.cells(spark, d).select("r", "c"), fields, {n: even for n in fields}, data, (-8.0, 300.0, 60.0, 1400.0))
+    s = terrain.synthetic(grid.cells(spark, d).select("r", "c"), RASTER, {n: EVEN for n in RASTER}, MEASURED, (-8.0, 300.0, 60.0, 1400.0))
     return s.select("r", "c", *[F.round(x, 6).alias(x) for x in ("elev", "temp", "t_std", "precip", "pcv")])
 
 
@@ -170,7 +172,37 @@ def _conditioning_sql() -> str:
     return f"WITH {grid.CELLS_SQL}, a AS (SELECT r // 4 * 25 + c // 4 AS key, r % 4 * 4 + c % 4 AS i, elev, (cell % 4)::DOUBLE AS w FROM cells), x AS (SELECT * FROM a WHERE key IN (SELECT key FROM a GROUP BY key HAVING count(*) = 16)), u AS ({' UNION ALL '.join(parts)}) SELECT key, i::INTEGER AS i, round(v, 6) AS v FROM u"
 
 
+def _synthetic_sql() -> str:
+    def matched(n: str) -> str:
+        knots = list(zip(EVEN, MEASURED[n]))
+        parts = [f"WHEN nf.{n} <= {knots[0][0]!r}::DOUBLE THEN {knots[0][1]!r}::DOUBLE"] + [f"WHEN nf.{n} <= {b!r}::DOUBLE THEN {fa!r}::DOUBLE + (nf.{n} - {a!r}::DOUBLE) * {(fb - fa)!r}::DOUBLE / {(b - a)!r}::DOUBLE" for (a, fa), (b, fb) in zip(knots, knots[1:])]
+        return f"CASE {' '.join(parts)} ELSE {knots[-1][1]!r}::DOUBLE END AS {n}"
+
+    return f"""WITH {grid.CELLS_SQL}, {noise_sql.fields_sql('cells', 'nf', RASTER, 'c', 'r')}, m AS (SELECT r, c, {', '.join(map(matched, RASTER))} FROM cells JOIN nf USING (cell)),
+ t AS (SELECT * REPLACE (greatest(-10, least(40, temp + greatest(-9.8::DOUBLE, least(-4::DOUBLE, -6.5::DOUBLE + 0.0015::DOUBLE * precip)) / 1000 * greatest(elev, 0))) AS temp) FROM m),
+ b AS (SELECT *, -8 * temp + 300 AS bl, greatest(60, 8 * temp - 300) AS fl FROM t)
+SELECT r, c, round(sign(elev) * sqrt(abs(elev)), 6) AS elev, round(temp, 6) AS temp, round(greatest((t_std - 60) / 1340 * (1400 - fl) + fl + bl, 20), 6) AS t_std, round(precip, 6) AS precip, round(pcv * greatest(0, (185 - 0.04111::DOUBLE * precip) / 185), 6) AS pcv FROM b"""
+
+
+def _detail_sql() -> str:
+    fields = terrain.detail_fields(20240611) | {"fine": Field(FIELDS["temperature"].seed, 1 / 6, 2, 0.6), "coarse": Field(FIELDS["temperature"].seed, 1 / 24, 3)}
+    ease = lambda v: f"(({v}) * ({v}) * (3 - 2 * ({v})))"
+    one = lambda v: f"least(greatest({v}, 0), 1)"
+    return f"""WITH {grid.SLOPE_SQL}, {noise_sql.fields_sql('cells', 'nf', fields, 'c', 'r')}, a AS (SELECT nf.*, elev, least(1, slope * 3000 / 40) AS s FROM nf JOIN sloped USING (cell)),
+ b AS (SELECT *, coarse * 100 + fine * 70 AS fbm, CASE WHEN style < 0 THEN -1 ELSE 1 END * (ridged_coarse * 100 + ridged_fine * 70) AS ridge, {ease(one('(abs(style) - 0.15) / 0.55'))} AS t, {ease(one('(plains - 0.05) / 0.5'))} AS g FROM a)
+SELECT cell, round(CASE WHEN elev < 0 THEN elev ELSE elev + (CASE WHEN power(s, 2.5) > 1e-4 THEN (fbm + (ridge - fbm) * t) * power(s, 2.5) * (1 + 0.65 * character) ELSE 0 END + swell * 75 * g * (1 - s) * (1 - s)) * {one('elev / 25')} END, 6) AS elev FROM b"""
+
+
+def _strided_sql() -> str:
+    return f"""WITH {grid.CELLS_SQL}, lt AS (SELECT i * 1000000 + j AS cell, i AS lr, j AS lc FROM range(0, (SELECT max(r) // 64 + 2 FROM cells)) a(i), range(0, (SELECT max(c) // 64 + 2 FROM cells)) b(j)), {noise_sql.fields_sql('lt', 'nf', {'v': Field(4711, 1 / 900, 2)}, 'lc * 64', 'lr * 64')},
+ g AS (SELECT lr, lc, v FROM lt JOIN nf USING (cell)), p AS (SELECT cell, r // 64 AS y, c // 64 AS x, (r % 64)::DOUBLE / 64 AS fy, (c % 64)::DOUBLE / 64 AS fx FROM cells)
+SELECT cell, round((q1.v * (1 - fx) + q2.v * fx) * (1 - fy) + (q3.v * (1 - fx) + q4.v * fx) * fy, 8) AS v FROM p JOIN g q1 ON q1.lr = y AND q1.lc = x JOIN g q2 ON q2.lr = y AND q2.lc = x + 1 JOIN g q3 ON q3.lr = y + 1 AND q3.lc = x JOIN g q4 ON q4.lr = y + 1 AND q4.lc = x + 1"""
+
+
 SQL = {
+    "a_synthetic": _synthetic_sql(),
+    "e_detail": _detail_sql(),
+    "e_strided": _strided_sql(),
     "d_caves": _caves_sql(),
     "g_nearest_class": _nearest_sql(),
     "f_climate": _climate_sql(),

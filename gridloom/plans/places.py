@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import hashing, noise
 from gridloom.operators import focal, sites
-from gridloom.plans import grid
+from gridloom.plans import grid, noise_sql
 from gridloom.plans.ruling import CAT
 from gridloom.rules import compile as comp
 from gridloom.runtime import cut
@@ -134,3 +134,7 @@ _RASTER_SQL = f"""{grid.CELLS_SQL}, ce AS (SELECT cell, r, c, CASE WHEN cell % 3
 _PARTS = [_feature_sql(n) for n in sites.FEATURES]
 SQL["site_features"] = f"WITH {_RASTER_SQL}, lat AS (SELECT cx, cz FROM range(0, (SELECT max(x) // 4 + 1 FROM ras)) a(cx), range(0, (SELECT max(z) // 4 + 1 FROM ras)) b(cz)), {', '.join(c for c, _ in _PARTS)} {' UNION ALL '.join(q for _, q in _PARTS)}"
 SQL["h_status"] = f"SELECT status, count(*) AS n FROM ({SQL['g_overlay']}) GROUP BY status"
+_NOISE = f"{grid.CELLS_SQL}, np AS (SELECT cell, c * 37 AS x, r * 53 AS z FROM cells), {noise_sql.fields_sql('np', 'nf', noise.FIELDS, 'x', 'z')}"
+_WARPED = f"nq AS (SELECT np.cell, x + {noise.WARP} * warp_x AS x, z + {noise.WARP} * warp_z AS z FROM np JOIN nf USING (cell)), {noise_sql.fields_sql('nq', 'nw', {'region': noise.FIELDS['region']}, 'x', 'z')}"
+SQL["c_fields"] = f"WITH {_NOISE}, {_WARPED} SELECT nf.cell, {', '.join(f'round(nf.{n}, 9) AS {n}' for n in noise.FIELDS)}, round(nw.region, 9) AS region_warped FROM nf JOIN nw USING (cell)"
+SQL["c_quantiles"] = f"WITH {_NOISE}, k AS (SELECT unnest(range(0, 101)) AS k), q AS (SELECT k, (SELECT quantile_cont(variant, [{', '.join(repr(i / 100) for i in range(101))}]) FROM nf)[k + 1] AS v FROM k) SELECT round(k::DOUBLE, 6) AS pct, round(v, 9) AS v FROM q"
