@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import hashing, scalar
-from gridloom.plans import grid
+from gridloom.plans import grid, scalars_sql
 
 _T = scalar.text
 #: query name: output column to law over the climate columns; each law also stands alone in functions.scalar.
@@ -138,7 +138,7 @@ SELECT cell, round(patch, 9) AS patch, CASE WHEN patch < 0.235 THEN 'blue' WHEN
 _CH, _CL = hashing.sql_hash_ctes("cells", "k", {"h": (str(hashing.signed64(HASH_SEED)), "c", "r")})
 _M32 = "4294967296::HUGEINT"
 _M64 = "18446744073709551616::HUGEINT"
-SQL = {k: f"WITH {grid.CLIMATE_SQL}, z AS (SELECT *, pcv / 60 AS slope_like FROM climate) SELECT cell, {', '.join(_outputs(g))} FROM z" for k, g in GROUPS.items()} | {
+SQL = scalars_sql.SQL | {
     "b_sample": f'WITH {grid.SAMPLE_SQL} SELECT cell, zone, ocean, snowy, "bareSlope", mountain, lowland, ' + ", ".join(f'round("{n}", 6) AS "{n}"' for n in ("aridity", "treeMoisture", "treeCoverage", "sparsity", "slope", "growingSeasonDays")) + " FROM smp",
     "c_hash": f"WITH {grid.CELLS_SQL}, {_CH} SELECT cell, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - {_M64} ELSE h END)::VARCHAR AS h, {hashing.sql_unit('h')} AS u, {hashing.sql_unit('h')} * 2 - 1 AS s FROM {_CL}",
     "c_value_noise": _value_noise_sql(),
