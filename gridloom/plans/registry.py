@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import extras, landscape, places, rasters, records, ruling, scalars, water
+from gridloom.plans import extras, landscape, places, rasters, records, ruling, scalars, surface, water
 
-MODULES = [records, scalars, rasters, ruling, water, places, extras, landscape]
+MODULES = [records, scalars, rasters, ruling, water, places, extras, landscape, surface]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
