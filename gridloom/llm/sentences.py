@@ -486,33 +486,33 @@ def _unpacked_model(data: bytes, prior: float, joint: bool) -> Model:
     return Model(tables[: len(SIZES)], tables[len(SIZES) :], prior, joint)
 
 
-def _side_counts(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
-    """Sums by side and slot: sites, edges, expected boundaries. Shapes are counted from rare words once those are known."""
+def _side_counts(batches: Iterator[pa.RecordBatch], model: Model | None, expect: bool) -> Iterator[pa.RecordBatch]:
+    """Sums by side and slot: sites, edges, expected boundaries (with ``expect``). Shapes are counted from rare words once
+    those are known."""
     sums = [np.zeros((z, 3)) for z in SIZES]
 
     def add(k: int, kind: int, slot: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Counts under ``kind``, and weights under the expected boundaries."""
         if len(slot):
             at, inverse = np.unique(slot, return_inverse=True)
-            sums[k][at, kind] += np.bincount(inverse, weight, len(at))
+            sums[k][at, kind] += np.bincount(inverse, minlength=len(at))
+            if weight is not None:
+                sums[k][at, 2] += np.bincount(inverse, weight, len(at))
 
     for b in batches:
         for data in b.column("data").to_pylist():
             d = Packed.read(data)
             x, e = d.sites, d.blocks
-            p = np.zeros(len(x["lw"])) if model is None else model.events(d)
+            p = model.events(d) if expect else None
             slots = (x["lw"], x["ls"], x["rw"], x["rs"], with_class(x["lw"], x["rc"]), x["rc"])
             edge = {0: e["lw"][e["lw"] >= 0], 1: e["ls"][e["lw"] >= 0], 2: e["rw"], 3: e["rs"]}
             for k, slot in enumerate(slots):
-                on, rim = slot, edge.get(k, np.zeros(0, int))
-                weight = p
+                on, rim = slice(None), edge.get(k, np.zeros(0, int))
                 if model is not None and k in (1, 3):
-                    rare = model.n[k - 1][slots[k - 1]] < RARE
-                    on, weight = slot[rare], p[rare]
-                    words = edge[k - 1]
-                    rim = rim[model.n[k - 1][words] < RARE]
-                add(k, 0, on)
+                    on = model.n[k - 1][slots[k - 1]] < RARE
+                    rim = rim[model.n[k - 1][edge[k - 1]] < RARE]
+                add(k, 0, slot[on], None if p is None else p[on])
                 add(k, 1, rim)
-                add(k, 2, on, weight)
     for k, t in enumerate(sums):
         at = np.flatnonzero(t.any(axis=1))
         if len(at):
@@ -525,6 +525,10 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return cut(rows.mapInArrow(_packs, "data binary"))
 
 
+def _counting(shared, expect: bool):  # noqa: ANN001, ANN202
+    return lambda batches: _side_counts(batches, shared.value, expect)
+
+
 def fit(packs: DataFrame) -> Model:
     """The model from all documents' possible boundaries: two counts, then passes of expected counts."""
     spark = packs.sparkSession
@@ -533,7 +537,7 @@ def fit(packs: DataFrame) -> Model:
     rho = rho_right = 1.0
     for step in range(2 + PASSES):
         shared = spark.sparkContext.broadcast(model)
-        rows = packs.mapInArrow(lambda it, shared=shared: _side_counts(it, shared.value), "kind int, slot int, sites double, edges double, expected double")
+        rows = packs.mapInArrow(_counting(shared, step >= 2), "kind int, slot int, sites double, edges double, expected double")
         # at most sum(SIZES) rows, whatever the corpus
         sums = rows.groupBy("kind", "slot").agg(F.sum("sites").alias("sites"), F.sum("edges").alias("edges"), F.sum("expected").alias("expected"))
         got = sums.filter(f"kind in (1, 3, 5) or sites + edges >= {SEEN}").toArrow().to_pandas()
