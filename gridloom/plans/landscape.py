@@ -199,7 +199,26 @@ def _strided_sql() -> str:
 SELECT cell, round((q1.v * (1 - fx) + q2.v * fx) * (1 - fy) + (q3.v * (1 - fx) + q4.v * fx) * fy, 8) AS v FROM p JOIN g q1 ON q1.lr = y AND q1.lc = x JOIN g q2 ON q2.lr = y AND q2.lc = x + 1 JOIN g q3 ON q3.lr = y + 1 AND q3.lc = x JOIN g q4 ON q4.lr = y + 1 AND q4.lc = x + 1"""
 
 
+def _taps(p: str, src: str, size: str, target: str, extrapolate: bool = False) -> str:
+    """CTEs from a grid (r, c, v) of a size (h, w) to ``<p>`` (r, c, v) of another, by four taps."""
+    at = lambda x, n: f"(({x} + 0.5::DOUBLE) * s.{n} / g.{n} - 0.5::DOUBLE)" if extrapolate else f"least(greatest(({x} + 0.5::DOUBLE) * s.{n} / g.{n} - 0.5::DOUBLE, 0), s.{n} - 1)"
+    return f"""{p}t AS (SELECT a.i AS r, b.j AS c, s.h, s.w, {at('a.i', 'h')} AS y, {at('b.j', 'w')} AS x FROM {size} s, {target} g, range(0, (SELECT h FROM {target})) a(i), range(0, (SELECT w FROM {target})) b(j)),
+ {p}u AS (SELECT *, least(greatest(floor(y), 0), h - 2)::BIGINT AS y0, least(greatest(floor(x), 0), w - 2)::BIGINT AS x0 FROM {p}t),
+ {p} AS MATERIALIZED (SELECT u.r, u.c, (k.v * (1 - (x - x0)) + l.v * (x - x0)) * (1 - (y - y0)) + (m.v * (1 - (x - x0)) + n.v * (x - x0)) * (y - y0) AS v FROM {p}u u JOIN {src} k ON k.r = y0 AND k.c = x0 JOIN {src} l ON l.r = y0 AND l.c = x0 + 1 JOIN {src} m ON m.r = y0 + 1 AND m.c = x0 JOIN {src} n ON n.r = y0 + 1 AND n.c = x0 + 1)"""
+
+
+def _elevation_sql() -> str:
+    kernel = focal.gaussian_kernel(2.0)
+    ker = ", ".join(f"({i - len(kernel) // 2}, {x!r}::DOUBLE)" for i, x in enumerate(kernel))
+    return f"""WITH {grid.CELLS_SQL}, fine AS (SELECT r, c, elev / 800 * 1.5 + 0.1 AS v FROM cells), low AS (SELECT r // 2 AS r, c // 2 AS c, avg(elev) / 800 * 3 + 2 AS v FROM cells GROUP BY ALL),
+ fs AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM fine), ls AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM low), {_taps('up', 'low', 'ls', 'fs', True)}, fl AS (SELECT r, c, fine.v + up.v AS v FROM fine JOIN up USING (r, c)), {_taps('dn', 'fl', 'fs', 'ls')},
+ ker(o, k) AS (VALUES {ker}), b1 AS (SELECT a.r, a.c, sum(b.v * k) AS v FROM dn a CROSS JOIN ker CROSS JOIN ls JOIN dn b ON b.r = a.r AND b.c = least(greatest(a.c + o, 0), w - 1) GROUP BY ALL), b2 AS MATERIALIZED (SELECT a.r, a.c, sum(b.v * k) AS v FROM b1 a CROSS JOIN ker CROSS JOIN ls JOIN b1 b ON b.c = a.c AND b.r = least(greatest(a.r + o, 0), h - 1) GROUP BY ALL),
+ {_taps('u2', 'b2', 'ls', 'fs')}, e AS (SELECT r, c, fine.v + u2.v AS v FROM fine JOIN u2 USING (r, c))
+SELECT r - 2 AS r, c - 2 AS c, round(sign(v) * v * v, 6) AS elev FROM e, fs WHERE r >= 2 AND c >= 2 AND r < h - 2 AND c < w - 2"""
+
+
 SQL = {
+    "f_elevation": _elevation_sql(),
     "a_synthetic": _synthetic_sql(),
     "e_detail": _detail_sql(),
     "e_strided": _strided_sql(),

@@ -138,3 +138,25 @@ _NOISE = f"{grid.CELLS_SQL}, np AS (SELECT cell, c * 37 AS x, r * 53 AS z FROM c
 _WARPED = f"nq AS (SELECT np.cell, x + {noise.WARP} * warp_x AS x, z + {noise.WARP} * warp_z AS z FROM np JOIN nf USING (cell)), {noise_sql.fields_sql('nq', 'nw', {'region': noise.FIELDS['region']}, 'x', 'z')}"
 SQL["c_fields"] = f"WITH {_NOISE}, {_WARPED} SELECT nf.cell, {', '.join(f'round(nf.{n}, 9) AS {n}' for n in noise.FIELDS)}, round(nw.region, 9) AS region_warped FROM nf JOIN nw USING (cell)"
 SQL["c_quantiles"] = f"WITH {_NOISE}, k AS (SELECT unnest(range(0, 101)) AS k), q AS (SELECT k, (SELECT quantile_cont(variant, [{', '.join(repr(i / 100) for i in range(101))}]) FROM nf)[k + 1] AS v FROM k) SELECT round(k::DOUBLE, 6) AS pct, round(v, 9) AS v FROM q"
+
+
+def _anchors_sql() -> str:
+    """Eligible sites of the features with a span, their candidates on a ring, and the deepest dip between."""
+    ctes, sites_ = [], []
+    for n, f in sites.FEATURES.items():
+        if f.span:
+            c, q = _feature_sql(n)
+            ctes.append(c.replace("AS z FROM", "AS z, site FROM").replace("(SELECT x, z FROM", "(SELECT x, z, site FROM"))
+            num = lambda v: "NULL" if v is None else f"{v * 15!r}"
+            sites_.append(q.replace("AS feature, x, z, round(elev, 6) AS elev", f"AS feature, site, x, z, elev, {f.span[0]} AS lo, {f.span[1]} AS hi, {f.samples} AS n, {num(f.tolerance)}::DOUBLE AS tol, {num(f.gap)}::DOUBLE AS gap"))
+    ring, last = hashing.sql_hash_ctes("es", "rg", {"ring": ("site", "0", "0")})
+    span, last2 = hashing.sql_hash_ctes("ci", "sp", {"spn": ("site", "i", "7")})
+    return f"""WITH {_RASTER_SQL}, lat AS (SELECT cx, cz FROM range(0, (SELECT max(x) // 4 + 1 FROM ras)) a(cx), range(0, (SELECT max(z) // 4 + 1 FROM ras)) b(cz)), {', '.join(ctes)}, es AS MATERIALIZED ({' UNION ALL '.join(sites_)}), {ring},
+ ci AS (SELECT *, unnest(range(0, n)) AS i FROM {last}), {span}, an AS (SELECT *, {hashing.sql_unit('ring')} * 2 * pi() + i * 2 * pi() / n AS a, lo + floor({hashing.sql_unit('spn')} * (hi - lo)) AS sp_ FROM {last2}),
+ b AS (SELECT *, x + floor(cos(a) * sp_ + 0.5)::BIGINT AS bx, z + floor(sin(a) * sp_ + 0.5)::BIGINT AS bz FROM an), m AS (SELECT *, trunc((x + bx) / 2)::BIGINT AS mx, trunc((z + bz) / 2)::BIGINT AS mz FROM b),
+ j AS (SELECT m.*, p.elev AS eb, q.elev AS em FROM m JOIN ras p ON p.x = bx AND p.z = bz JOIN ras q ON q.x = mx AND q.z = mz WHERE p.elev > 0 AND (tol IS NULL OR abs(p.elev - m.elev) <= tol)),
+ d AS (SELECT *, (elev + eb) / 2 - em AS dip FROM j), w AS (SELECT *, row_number() OVER (PARTITION BY feature, site, x, z ORDER BY dip DESC, i) AS p FROM d WHERE gap IS NULL OR dip >= gap)
+SELECT feature, x, z, bx, bz, round(dip, 6) AS dip FROM w WHERE p = 1"""
+
+
+SQL["site_anchors"] = _anchors_sql()

@@ -48,6 +48,11 @@ def j_flood(spark: SparkSession, d: str) -> DataFrame:
     return drainage.flood_tiles(g, ["tile_i", "tile_j"]).select("r", "c", F.round("filled", 6).alias("filled"), "down_r", "down_c")
 
 
+def j_flood_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The filled levels of ``j_flood``."""
+    return j_flood(spark, d).select("r", "c", "filled")
+
+
 def j_flood_rim(spark: SparkSession, d: str) -> DataFrame:
     """J01 with tiles of 40 x 40 cells and a rim of 12."""
     return drainage.flood_with_rim(_cells(spark, d), 40, 12).select("r", "c", F.round("filled", 6).alias("filled"), "down_r", "down_c")
@@ -169,7 +174,7 @@ def g_inflow(spark: SparkSession, d: str) -> DataFrame:
     return drainage.boundary_inflow(c, (2, 20, 8, 70))
 
 
-QUERIES = {f.__name__: f for f in (j_links, j_depth, j_accumulate, j_fill, j_flood, j_flood_rim, j_flats, j_ranked, j_route, j_drain, j_network, j_tile, j_coarse, g_injection, j_meander, j_bodies, j_visible, j_upstream, j_centres, j_stamp, g_inflow)}
+QUERIES = {f.__name__: f for f in (j_links, j_depth, j_accumulate, j_fill, j_flood, j_flood_levels, j_flood_rim, j_flats, j_ranked, j_route, j_drain, j_network, j_tile, j_coarse, g_injection, j_meander, j_bodies, j_visible, j_upstream, j_centres, j_stamp, g_inflow)}
 
 _OFF = "off_ AS (SELECT row_number() OVER (ORDER BY dr, dc) AS k, dr, dc FROM range(-1, 2) x(dr), range(-1, 2) y(dc) WHERE NOT (dr = 0 AND dc = 0))"
 _NB = "nb AS (SELECT a.cell, b.cell AS ncell, a.elev AS e, b.elev AS ne, k FROM cells a CROSS JOIN off_ JOIN cells b ON b.r = a.r + dr AND b.c = a.c + dc)"

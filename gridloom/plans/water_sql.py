@@ -82,6 +82,7 @@ SELECT cell, round(least(greatest(coalesce(y - dx * sh, y), y - 0.48), y + 0.48)
 
 SQL = {
     "j_fill": f"WITH RECURSIVE {grid.CELLS_SQL}, {FILL} SELECT r, c, round(lvl, 6) AS filled FROM fl JOIN cells USING (cell)",
+    "j_flood_levels": f"WITH RECURSIVE {grid.CELLS_SQL}, {FILL.replace('b.c = a.c + dc)', 'b.c = a.c + dc AND b.r // 25 = a.r // 25 AND b.c // 25 = a.c // 25)')} SELECT r, c, round(lvl, 6) AS filled FROM fl JOIN cells USING (cell)",
     "j_flats": f"WITH RECURSIVE {grid.CELLS_SQL}, {FLATS} SELECT cell, spill::BIGINT AS spill, inflow::BIGINT AS inflow FROM fd",
     "j_ranked": f"WITH RECURSIVE {grid.CELLS_SQL}, {FLATS} SELECT cell, pot AS potential, row_number() OVER (PARTITION BY lvl ORDER BY pot, cell) - 1 AS place FROM pt",
     "j_route": f"WITH RECURSIVE {grid.CELLS_SQL}, {ROUTE} SELECT cell, down FROM rt",
