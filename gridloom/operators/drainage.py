@@ -96,7 +96,7 @@ def lowest_links(cells: DataFrame, elev: str, width: int) -> DataFrame:
 
 
 #: Cells a side of the blocks in which chains of links are followed in memory.
-BLOCK = 512
+BLOCK = 128
 
 
 def _forest(links: DataFrame, *extra: str) -> DataFrame:
