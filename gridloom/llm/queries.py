@@ -100,4 +100,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(_documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_percentiles, p5_within, p5_noise, p7_packing, p7_placed, p7_usage, p8_found, p8_items, p9_found)}
+def p9_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the units of every document cover its text without gaps and overlaps."""
+    docs = _documents(spark, d)
+    return sentences.covered(docs, sentences.split(docs))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p5_percentiles, p5_within, p5_noise, p7_packing, p7_placed, p7_usage, p8_found, p8_items, p9_found, p9_covered)}

@@ -592,3 +592,32 @@ def split(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "start_pos", "end_pos"])
 
     return packs.mapInArrow(decode, "doc_id long, start_pos int, end_pos int")
+
+
+def covered(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, sound) of every document that is not blank: whether its units are in order, do not overlap, begin and end
+    with text, and leave only white space between them, before and after. A document without units is not sound.
+
+    found: from ``split``. Each document meets only its own units. Repeated rows of a document count once.
+    """
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null and doc_id is not null").dropDuplicates()
+    # a document's units are as many as its text has sentences
+    per = found.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))).alias("u"))
+    j = own.join(per, "doc_id", "left").select("doc_id", "text", F.transform("u", lambda x: x["start_pos"]).alias("a"), F.transform("u", lambda x: x["end_pos"]).alias("b"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ok = [], []
+            for i, t, a, b in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "a", "b"))):
+                if not t.strip():
+                    continue
+                at, sound = 0, bool(a)
+                for s, e in zip(a or [], b or []):
+                    part = t[s:e]
+                    sound = sound and s >= at and part == part.strip() != "" and not t[at:s].strip()
+                    at = e
+                ids.append(i)
+                ok.append(sound and not t[at:].strip())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ok, pa.bool_())], names=["doc_id", "sound"])
+
+    return j.mapInArrow(check, "doc_id long, sound boolean")

@@ -28,5 +28,6 @@ SQL = {
  ok AS (SELECT * FROM v WHERE x IS NOT NULL AND NOT isnan(x) AND x <> -9999),
  g AS (SELECT 'zone' AS "by", zone AS "key", metric FROM ok UNION ALL SELECT 'biome', biome, metric FROM ok UNION ALL SELECT 'world', world, metric FROM ok UNION ALL SELECT 'zone_biome_world', zone || '|' || biome || '|' || world, metric FROM ok)
 SELECT "by", "key", metric, count(*) AS n, TRUE AS within FROM g WHERE "key" IS NOT NULL GROUP BY ALL""",
+    "p9_covered": "SELECT doc_id, TRUE AS sound FROM documents WHERE regexp_matches(text, '\\S')",
     "p7_placed": "SELECT doc_id, count(*) AS copies, TRUE AS sound FROM documents GROUP BY doc_id",
 }

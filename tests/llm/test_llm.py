@@ -308,3 +308,11 @@ def test_heading_lines_and_line_ends():
 
 def test_arrow_types():
     assert pa.types.is_list(dict(quantiles._TYPES)["vals"])
+
+
+def test_units_cover_texts(spark):
+    docs = spark.createDataFrame([(1, "One. Two here.\n\n* a\n* b"), (2, "  "), (3, None), (4, "Nothing ends"), (4, "Nothing ends")], "doc_id long, text string").withColumn("start_pos", F.lit("clash"))
+    found = sentences.split(docs)
+    assert {r.doc_id: r.sound for r in sentences.covered(docs, found).collect()} == {1: True, 4: True}
+    assert {r.doc_id: r.sound for r in sentences.covered(docs, found.filter("doc_id = 1 and start_pos > 0")).collect()} == {1: False, 4: False}
+    assert sentences.covered(docs.limit(0), found).count() == 0
