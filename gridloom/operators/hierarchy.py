@@ -200,11 +200,12 @@ def _rounds(nodes: DataFrame, base_rows: int) -> DataFrame:
     """(s, v, root, depth) of nodes (s, v, p, len, low, root, depth) whose ends are known, by joins."""
     pieces = [nodes.filter("p is null").select("s", "v", "root", "depth")]
     opened = nodes.filter("p is not null").select("s", "v", "p", "len", "low")
-    records: list[DataFrame] = []
+    records: list[tuple[DataFrame, int]] = []
     for k in range(MAX_ROUNDS):
         pieces.append(opened.filter("p = v").select("s", "v", F.col("low").alias("root"), F.lit(-1).cast("long").alias("depth")))
         opened = opened.filter("p <> v")
-        if opened.limit(base_rows + 1).count() <= base_rows:
+        n = opened.count()
+        if n <= base_rows:
             break
         kids = opened.groupBy("s", F.col("p").alias("v")).agg(F.count("*").alias("kids"), F.min("v").alias("child"))
         rank = lambda c: F.xxhash64("s", c, F.lit(k))  # noqa: B023, E731
@@ -214,26 +215,26 @@ def _rounds(nodes: DataFrame, base_rows: int) -> DataFrame:
         # a spliced node has one child, so this join meets no hub on its right; hubs on the left are served apart
         over = state.filter("spliced").select("s", F.col("v").alias("p"), F.col("p").alias("p2"), F.col("len").alias("len2"), F.col("low").alias("low2"))
         moved = cut(
-            hub_join(state, over, ["s", "p"]).select(
+            hub_join(state, over, ["s", "p"], rows=n).select(
                 "s", "v", F.coalesce("p2", "p").alias("p"), (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len"),
                 F.least("low", "low2").alias("low"), (F.col("kids").isNull() | F.col("spliced")).alias("gone"),
             )
         )
-        records.append(moved.filter("gone").select("s", "v", "p", "len"))
+        records.append((moved.filter("gone").select("s", "v", "p", "len"), n))
         opened = moved.filter(~F.col("gone")).drop("gone")
     else:
         raise RuntimeError("the contraction did not end")
     if base_rows:
         base = cut(opened.select("s", "v", "p", "len", "low").coalesce(1).mapInArrow(_base_case, "s long, v long, p long, len long, circle long"))
         pieces.append(base.filter("circle is not null").select("s", "v", F.col("circle").alias("root"), F.lit(-1).cast("long").alias("depth")))
-        records.append(base.filter("circle is null").select("s", "v", "p", "len"))
-    for rec in reversed(records):
+        records.append((base.filter("circle is null").select("s", "v", "p", "len"), n))
+    for rec, n in reversed(records):
         known = pieces[0]
         for piece in pieces[1:]:
             known = known.unionByName(piece)
         at = known.select("s", F.col("v").alias("p"), "root", F.col("depth").alias("at"))
         # each record is written once; what has been written before is only read
-        pieces.append(cut(hub_join(rec, at, ["s", "p"]).select("s", "v", "root", F.when(F.col("at") < 0, F.col("at")).otherwise(F.col("at") + F.col("len")).alias("depth"))))
+        pieces.append(cut(hub_join(rec, at, ["s", "p"], rows=n).select("s", "v", "root", F.when(F.col("at") < 0, F.col("at")).otherwise(F.col("at") + F.col("len")).alias("depth"))))
     out = pieces[0]
     for piece in pieces[1:]:
         out = out.unionByName(piece)
@@ -346,14 +347,15 @@ def _sum_rounds(nodes: DataFrame, base_rows: int) -> DataFrame:
     pieces: list[DataFrame] = []
     records: list[DataFrame] = []
     for k in range(MAX_ROUNDS):
-        if opened.filter("p is not null").limit(base_rows + 1).count() <= base_rows:
+        n = opened.filter("p is not null").count()
+        if n <= base_rows:
             break
         kids = opened.filter("p is not null").groupBy("s", F.col("p").alias("v")).agg(F.count("*").alias("kids"), F.min("v").alias("child"))
         rank = lambda c: F.xxhash64("s", c, F.lit(k))  # noqa: B023, E731
         free = (F.col("kids") == 1) & F.col("p").isNotNull() & (rank("v") > rank("p")) & (rank("v") > rank("child"))
         state = opened.join(kids, ["s", "v"], "left").withColumn("spliced", F.coalesce(free, F.lit(False)))
         over = state.filter("spliced").select("s", F.col("v").alias("p"), F.col("p").alias("p2"), (F.col("load") + F.col("carry")).alias("both"), F.col("load").alias("load2"))
-        moved = cut(hub_join(state.filter(~F.col("spliced")), over, ["s", "p"]))
+        moved = cut(hub_join(state.filter(~F.col("spliced")), over, ["s", "p"], rows=n))
         records.append(moved.filter("p2 is not null").select("s", F.col("p").alias("v"), F.col("v").alias("child"), (F.col("load2") + F.col("carry")).alias("before")))
         now = moved.select("s", "v", F.coalesce("p2", "p").alias("p"), "load", (F.col("carry") + F.coalesce("both", F.lit(0.0))).alias("carry"), "kids")
         leaf = F.col("kids").isNull() & F.col("p").isNotNull()

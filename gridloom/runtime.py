@@ -72,13 +72,16 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if bounded_rows(df, limit) else df
 
 
-def hub_join(left: DataFrame, right: DataFrame, keys: list[str], *, hub: int = HUB_ROWS) -> DataFrame:
+def hub_join(left: DataFrame, right: DataFrame, keys: list[str], *, hub: int = HUB_ROWS, rows: int | None = None) -> DataFrame:
     """Left join on ``keys`` where a few keys may hold most of the left rows; the right side is unique on the keys.
 
     Keys with more than ``hub`` left rows are counted first (a partial aggregate). Their rows stay where they are and
     meet the matching right rows as a broadcast, of which there are at most the left rows over ``hub``; all others go
-    through an ordinary join. Rows with a null key match nothing and stay.
+    through an ordinary join. Rows with a null key match nothing and stay. ``rows``: how many left rows there are at most,
+    if that is known; no more than ``hub`` of them hold no hub.
     """
+    if rows is not None and rows <= hub:
+        return left.join(right, keys, "left")
     heavy = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hub).select(*keys)
     if not bounded_rows(heavy, 0) and bounded_rows(heavy, BROADCAST_ROWS):
         heavy = cut(heavy)
