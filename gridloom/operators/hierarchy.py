@@ -209,7 +209,7 @@ def _rounds(nodes: DataFrame, base_rows: int) -> DataFrame:
             break
         kids = opened.groupBy("s", F.col("p").alias("v")).agg(F.count("*").alias("kids"), F.min("v").alias("child"))
         rank = lambda c: F.xxhash64("s", c, F.lit(k))  # noqa: B023, E731
-        state = opened.join(kids, ["s", "v"], "left").withColumn(
+        state = opened.join(kids.hint("merge"), ["s", "v"], "left").withColumn(
             "spliced", F.coalesce((F.col("kids") == 1) & (rank("v") > rank("p")) & (rank("v") > rank("child")), F.lit(False))
         )
         # a spliced node has one child, so this join meets no hub on its right; hubs on the left are served apart
@@ -353,7 +353,7 @@ def _sum_rounds(nodes: DataFrame, base_rows: int) -> DataFrame:
         kids = opened.filter("p is not null").groupBy("s", F.col("p").alias("v")).agg(F.count("*").alias("kids"), F.min("v").alias("child"))
         rank = lambda c: F.xxhash64("s", c, F.lit(k))  # noqa: B023, E731
         free = (F.col("kids") == 1) & F.col("p").isNotNull() & (rank("v") > rank("p")) & (rank("v") > rank("child"))
-        state = opened.join(kids, ["s", "v"], "left").withColumn("spliced", F.coalesce(free, F.lit(False)))
+        state = opened.join(kids.hint("merge"), ["s", "v"], "left").withColumn("spliced", F.coalesce(free, F.lit(False)))
         over = state.filter("spliced").select("s", F.col("v").alias("p"), F.col("p").alias("p2"), (F.col("load") + F.col("carry")).alias("both"), F.col("load").alias("load2"))
         moved = cut(hub_join(state.filter(~F.col("spliced")), over, ["s", "p"], rows=n))
         records.append(moved.filter("p2 is not null").select("s", F.col("p").alias("v"), F.col("v").alias("child"), (F.col("load2") + F.col("carry")).alias("before")))
@@ -361,7 +361,7 @@ def _sum_rounds(nodes: DataFrame, base_rows: int) -> DataFrame:
         leaf = F.col("kids").isNull() & F.col("p").isNotNull()
         given = now.filter(leaf).groupBy("s", F.col("p").alias("v")).agg(F.sum(F.col("load") + F.col("carry")).alias("more"))
         pieces.append(now.filter(leaf).select("s", "v", F.col("load").alias("acc")))
-        opened = cut(now.filter(~leaf).drop("kids").join(given, ["s", "v"], "left").select("s", "v", "p", (F.col("load") + F.coalesce("more", F.lit(0.0))).alias("load"), "carry"))
+        opened = cut(now.filter(~leaf).drop("kids").join(given.hint("merge"), ["s", "v"], "left").select("s", "v", "p", (F.col("load") + F.coalesce("more", F.lit(0.0))).alias("load"), "carry"))
     else:
         raise RuntimeError("the contraction did not end")
     pieces.append(cut(opened.coalesce(1).mapInArrow(_base_sums, "s long, v long, acc double")) if base_rows else opened.select("s", "v", F.col("load").alias("acc")))

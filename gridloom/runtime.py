@@ -78,16 +78,18 @@ def hub_join(left: DataFrame, right: DataFrame, keys: list[str], *, hub: int = H
     Keys with more than ``hub`` left rows are counted first (a partial aggregate). Their rows stay where they are and
     meet the matching right rows as a broadcast, of which there are at most the left rows over ``hub``; all others go
     through an ordinary join. Rows with a null key match nothing and stay. ``rows``: how many left rows there are at most,
-    if that is known; no more than ``hub`` of them hold no hub.
+    if that is known; no more than ``hub`` of them hold no hub. The ordinary join is a merge of both sides: in loops of
+    many joins, small sides that are broadcast each time would pile up in the driver.
     """
+    right_ = right.hint("merge")
     if rows is not None and rows <= hub:
-        return left.join(right, keys, "left")
+        return left.join(right_, keys, "left")
     heavy = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hub).select(*keys)
     if not bounded_rows(heavy, 0) and bounded_rows(heavy, BROADCAST_ROWS):
         heavy = cut(heavy)
         few = left.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")), keys, "left")
-        return left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, "left").unionByName(few)
-    return left.join(right, keys, "left")
+        return left.join(F.broadcast(heavy), keys, "left_anti").join(right_, keys, "left").unionByName(few)
+    return left.join(right_, keys, "left")
 
 
 def clean_name(col, *, lower: bool = True):
