@@ -124,6 +124,16 @@ def col(law: str, **args: str | float) -> Column:
     return F.expr(text(law, **args))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines round doubles: scaled, then half away from zero. ``F.round`` takes the shortest
+    decimal text instead, so the two part where scaling lands on a half. Values too large for a fraction stay."""
+    scaled = x * float(10**digits)
+    size = F.abs(scaled)
+    whole = F.floor(size).cast("double")
+    up = F.when(size - whole >= 0.5, 1.0).otherwise(0.0)
+    return F.when(size < 2.0**52, F.signum(scaled) * (whole + up) / float(10**digits)).otherwise(x)
+
+
 def interp(x: str, points: list[tuple[float, float]]) -> str:
     """Piecewise linear interpolation through fixed points, constant outside them; a value on a knot takes its own."""
     p = sorted(points)

@@ -204,9 +204,14 @@ def resize(g: DataFrame, value: str, size: tuple[int, int], target: tuple[int, i
     d = cells.select("r", "c", rl.alias("_r"), cl.alias("_c"), rf.alias("_fr"), cf.alias("_fc"))
     four = quads(g.select("r", "c", F.col(value).cast("double").alias("v")), ["v"], repeat=False).select(F.col("r").alias("_r"), F.col("c").alias("_c"), "quad")
     d = d.join(checked_broadcast(four), ["_r", "_c"], "left")
-    weights = {"a": (1 - F.col("_fr")) * (1 - F.col("_fc")), "b": (1 - F.col("_fr")) * F.col("_fc"), "e": F.col("_fr") * (1 - F.col("_fc")), "f": F.col("_fr") * F.col("_fc")}
-    parts = [F.when(x == 0, 0.0).otherwise(F.col("quad")[k]["v"] * x) for k, x in weights.items()]
-    return d.select("r", "c", sum(parts[1:], parts[0]).alias(value))
+
+    def between(p: Column, q: Column, f: Column) -> Column:
+        return F.when(f == 0, p).when(f == 1, q).otherwise(p * (1 - f) + q * f)
+
+    # along the row first: the order of the sums decides which way a half is rounded
+    a, b, e, f = (F.col("quad")[k]["v"] for k in "abef")
+    out = between(between(a, b, F.col("_fc")), between(e, f, F.col("_fc")), F.col("_fr"))
+    return d.select("r", "c", out.alias(value))
 
 
 def nearest(g: DataFrame, value: str, size: tuple[int, int], target: tuple[int, int]) -> DataFrame:

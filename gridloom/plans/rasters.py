@@ -112,8 +112,11 @@ def e_pyramid(spark: SparkSession, d: str) -> DataFrame:
     """A fine residual plus a resized coarse band of half the size, over the whole grid."""
     fine = grid.cells(spark, d).select("r", "c", "elev")
     h, w = _size(fine)
-    low = fine.groupBy(F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).alias("c")).agg((F.avg("elev") / 3).alias("elev"))
-    return focal.pyramid_decode(fine, low, "elev", ((h + 1) // 2, (w + 1) // 2), (h, w)).select("r", "c", F.round("elev", 6).alias("elev"))
+    # the four cells are added in row order, whatever the partitions, so that halves are rounded the same way each time
+    four = [F.coalesce(F.sum(F.when((F.col("r") % 2 == i) & (F.col("c") % 2 == j), F.col("elev"))), F.lit(0.0)) for i in (0, 1) for j in (0, 1)]
+    mean = F.when(F.count("elev") > 0, sum(four[1:], four[0]) / F.count("elev"))
+    low = fine.groupBy(F.floor(F.col("r") / 2).alias("r"), F.floor(F.col("c") / 2).alias("c")).agg((mean / 3).alias("elev"))
+    return focal.pyramid_decode(fine, low, "elev", ((h + 1) // 2, (w + 1) // 2), (h, w)).select("r", "c", scalar.rounded(F.col("elev"), 6).alias("elev"))
 
 
 def e_lapse(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gridloom.functions import hashing, noise
+from gridloom.functions import hashing, noise, scalar
 from gridloom.operators import filling, sites
 from gridloom.plans import places
 
@@ -105,6 +105,37 @@ def test_resampling_covers_the_grid(spark, full_dir):
     assert np.allclose(collected(spark, "e_pyramid", d, (13, 100)), e + resized(low, (13, 100)), atol=2e-6)
 
 
+def differing(spark, name, d, keys):
+    """Rows of a query that its SQL twin, run by DuckDB, does not give to the last digit, and the number of rows."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{d}/events.parquet/*.parquet')")
+    want = {r[:keys]: r[keys:] for r in con.execute(entry.oracle_sql()[name]).fetchall()}
+    got = {tuple(r)[:keys]: tuple(r)[keys:] for r in entry.queries()[name](spark, d).collect()}
+    assert set(got) == set(want)
+    return [k for k in want if got[k] != want[k]], len(want)
+
+
+@pytest.fixture(scope="module")
+def even_dir(spark, tmp_path_factory):
+    """40 full rows of 100 cells: at half the size, many results lie on a half of the last digit."""
+    d = tmp_path_factory.mktemp("even")
+    v = np.round(np.random.default_rng(4).exponential(50, 4000), 2)
+    spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "event_id long, value double").coalesce(1).write.parquet(str(d / "events.parquet"))
+    return str(d)
+
+
+def test_pyramid_rounds_as_its_sql(spark, even_dir):
+    assert differing(spark, "e_pyramid", even_dir, 2) == ([], 4000)
+
+
+def test_rounding_of_halves(spark):
+    v = [1.0000005, -1.0000005, 0.0000015, 383.8421875, -64.6546875, 1e12, -2.5e-7, 5e-7, 0.0, 1e300, None]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(v)), "i int, v double").select("i", scalar.rounded(F.col("v"), 6).alias("x")).orderBy("i").collect()]
+    away = lambda x: np.copysign(np.floor(abs(x * 1e6) + 0.5), x) / 1e6
+    assert got == [float(away(x)) for x in v[:9]] + [1e300, None]
+
+
 def test_resize_has_no_value_beside_a_gap(spark, grid_dir):
     d, e = grid_dir
     got = {(r.r, r.c): r.elev for r in entry.queries()["e_resize_extrapolated"](spark, d).collect()}
