@@ -98,7 +98,7 @@ def f_conditioning(spark: SparkSession, d: str) -> DataFrame:
     planes = F.array(*[plane(k) for k in range(6)], F.transform(F.col("x"), lambda e: e["w"]))
     windows = cells.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "elev", "w"))).alias("x")).filter(F.size("x") == 16).select("key", planes.alias("planes"))
     v = terrain.conditioning(windows, MEANS, STDS, [0.0, 0.2, 0.4, 0.6, 0.8], SCALES)
-    return v.select("key", F.posexplode("vector").alias("i", "v")).select("key", "i", F.round("v", 6).alias("v"))
+    return v.select("key", F.posexplode("vector").alias("i", "v")).select("key", "i", scalar.rounded(F.col("v"), 6).alias("v"))
 
 
 RASTER = {n: Field(100 + k, 1 / 40, 3) for k, n in enumerate(("elev", "temp", "t_std", "precip", "pcv"))}

@@ -129,6 +129,10 @@ def test_pyramid_rounds_as_its_sql(spark, even_dir):
     assert differing(spark, "e_pyramid", even_dir, 2) == ([], 4000)
 
 
+def test_conditioning_rounds_as_its_sql(spark, even_dir):
+    assert differing(spark, "f_conditioning", even_dir, 2) == ([], 10 * 25 * 58)
+
+
 def test_rounding_of_halves(spark):
     v = [1.0000005, -1.0000005, 0.0000015, 383.8421875, -64.6546875, 1e12, -2.5e-7, 5e-7, 0.0, 1e300, None]
     got = [r.x for r in spark.createDataFrame(list(enumerate(v)), "i int, v double").select("i", scalar.rounded(F.col("v"), 6).alias("x")).orderBy("i").collect()]
